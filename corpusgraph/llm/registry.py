@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES = {}
 ORACLE_SQL = {}
-for _name in ("op5", "op6", "op8", "op10"):
+for _name in ("op4", "op5", "op6", "op8", "op10"):
     _module = import_module(f"corpusgraph.llm.{_name}")
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
