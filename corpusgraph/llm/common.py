@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,13 @@ def has_repeats(df: DataFrame, key: str) -> bool:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, kept_out: Column, rows: int) -> DataFrame:
+    """(y, text) of at most ``rows`` labelled rows of each class, chosen by the hash of their id; the chosen ids, 2 * rows at most, are broadcast."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("_cg_id"), F.col(column).cast("int").alias("y"), "doc_id").where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~kept_out).select("_cg_id", "y")
+    chosen = None
+    for y in (0, 1):
+        part = usable.where(F.col("y") == y).orderBy(F.xxhash64("_cg_id"), "_cg_id").limit(rows)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    return docs.select(F.col("doc_id").cast("long").alias("_cg_doc"), "text").join(F.broadcast(chosen), F.col("_cg_doc") == F.col("_cg_id")).select("y", "text", F.col("_cg_id"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import batch_of, map_arrow, slices, text_bytes
+from corpusgraph.llm.common import batch_of, labelled_sample, map_arrow, slices, text_bytes
 
 TAPS = 8  # bytes that a filter sees
 PLACES = 256  # places of a filter in a chunk
@@ -188,16 +188,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, kept_out: Column, rows: int) -> DataFrame:
-    """(y, text) of at most ``rows`` labelled rows of each class, chosen by the hash of their id; the chosen ids, 2 * rows at most, are broadcast."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("_cg_id"), F.col(column).cast("int").alias("y"), "doc_id").where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~kept_out).select("_cg_id", "y")
-    chosen = None
-    for y in (0, 1):
-        part = usable.where(F.col("y") == y).orderBy(F.xxhash64("_cg_id"), "_cg_id").limit(rows)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select(F.col("doc_id").cast("long").alias("_cg_doc"), "text").join(F.broadcast(chosen), F.col("_cg_doc") == F.col("_cg_id")).select("y", "text", F.col("_cg_id"))
-
-
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, column: str = "quality") -> Model:
     """Trains on FIT_CHUNKS chunks, spread over the text, of at most ``rows`` labelled rows of each class."""
     schema = pa.schema([("y", pa.int32()), ("id", pa.int64()), ("chunks", pa.binary())])

@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES = {}
 ORACLE_SQL = {}
-for _name in ("op4", "op5", "op6", "op7", "op8", "op9", "op10"):
+for _name in ("op1", "op4", "op5", "op6", "op7", "op8", "op9", "op10"):
     _module = import_module(f"corpusgraph.llm.{_name}")
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
