@@ -15,22 +15,22 @@ import json
 import os
 import tempfile
 import uuid
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import batch_of, map_arrow, slices
+from corpusgraph.llm.common import batch_of, map_arrow, slices, stage_table
 
 #: Fixed value: the published pattern of byte-level pre-tokenizers
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEXICON_WORDS = 1 << 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 _LONG = 48  # bytes; longer words merge one by one, through a heap
 
 
@@ -262,66 +262,102 @@ class Transducer:
 
 
 class Encoder:
-    """Words to ids, with a bounded cache of what was asked before."""
+    """Words to ids: through the lexicon, and what it lacks by merging."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None = None) -> None:
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.ids: dict[str, list[int]] = {}
-
-    def resolve(self, words: Iterable[str]) -> list[str]:
-        """Puts the ids of all given words into the cache; returns those that were new."""
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.ids]
-        plain = [w for w in new if w not in self.vocabulary.special]
-        for w in new:
-            if w in self.vocabulary.special:
-                self.ids[w] = [self.vocabulary.special[w]]
-        raw = [w.encode() for w in plain]
-        rest = range(len(raw))
+
+    def ids_of(self, words: list[str]) -> list[list[int]]:
+        special = self.vocabulary.special
+        out: list[list[int]] = [[special[w]] if w in special else [] for w in words]
+        at = [k for k, w in enumerate(words) if w not in special]
+        raw = [words[k].encode() for k in at]
         if self.lexicon is not None and raw:
             place = self.lexicon.look_up(raw)
             for k in np.flatnonzero(place >= 0).tolist():
-                self.ids[plain[k]] = self.lexicon.ids_at(int(place[k]))
+                out[at[k]] = self.lexicon.ids_at(int(place[k]))
             rest = np.flatnonzero(place < 0).tolist()
-        for k, ids in zip(rest, self.vocabulary.merge_many([raw[k] for k in rest]), strict=True):
-            self.ids[plain[k]] = ids
-        return new
+            at, raw = [at[k] for k in rest], [raw[k] for k in rest]
+        for k, ids in zip(at, self.vocabulary.merge_many(raw), strict=True):
+            out[k] = ids
+        return out
 
     def encode(self, text: str) -> list[int]:
         words = self.vocabulary.words(text)
-        self.resolve(words)
-        return [i for w in words for i in self.ids[w]]
+        new = list(dict.fromkeys(words))
+        ids = dict(zip(new, self.ids_of(new), strict=True))
+        return [i for w in words for i in ids[w]]
+
+
+class Coder:
+    """An encoder with what it printed and decoded before, for as many words as CACHE_WORDS; one lives as long as its Python worker."""
+
+    _made: dict[tuple[str, str | None], Coder] = {}
+
+    @staticmethod
+    def get(path: str, lexicon: str | None = None) -> Coder:
+        if (path, lexicon) not in Coder._made:
+            Coder._made = {(path, lexicon): Coder(path, lexicon)}
+        return Coder._made[path, lexicon]
+
+    def __init__(self, path: str, lexicon: str | None) -> None:
+        self.vocabulary = Vocabulary(path)
+        self.encoder = Encoder(self.vocabulary, Transducer(SparkFiles.get(lexicon)) if lexicon else None)
+        size = max(self.vocabulary.bytes_of) + 1
+        self.number = [b"%d" % i for i in range(size)]
+        self.bytes_of = [self.vocabulary.bytes_of.get(i, b"") for i in range(size)]
+        self.printed: dict[str, bytes] = {}
+        self.decoded: dict[str, bytes] = {}
+        self.count: dict[str, int] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Fills printed and decoded for all of the words."""
+        new = list(words.difference(self.printed))
+        if len(self.printed) + len(new) > CACHE_WORDS and self.printed:
+            self.printed.clear()
+            self.decoded.clear()
+            new = list(words)
+        number, bytes_of = self.number, self.bytes_of
+        for w, ids in zip(new, self.encoder.ids_of(new), strict=True):
+            self.printed[w] = b",".join([number[i] for i in ids])
+            self.decoded[w] = b"".join([bytes_of[i] for i in ids])
+
+    def counts(self, words: set[str]) -> dict[str, int]:
+        """Number of ids of each word."""
+        new = list(words.difference(self.count))
+        if len(self.count) + len(new) > CACHE_WORDS and self.count:
+            self.count.clear()
+            new = list(words)
+        self.count.update(zip(new, map(len, self.encoder.ids_of(new)), strict=True))
+        return self.count
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): how often the pieces between spaces occur over all documents. A task leaves out what it saw once; its table of words is emptied whenever it is full."""
+    """(word, n): how often the pieces between spaces occur over all documents. A batch leaves out the pieces that it saw once."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
-    def rows(counts: Counter) -> Iterator[pa.RecordBatch]:
-        some = [(w, n) for w, n in counts.items() if n > 1 and len(w) <= 64]
-        if some:
-            w, n = zip(*some, strict=True)
-            yield batch_of(schema, word=w, n=n)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for b in slices(batches, 256):
-            for t in b.column("text").to_pylist():
-                if t:
-                    counts.update(t.split(" "))
-            if len(counts) > 2 * CACHE_WORDS:
-                yield from rows(counts)
-                counts = Counter()
-        yield from rows(counts)
+        for b in slices(batches, 4096):
+            pieces = pc.value_counts(pc.list_flatten(pc.split_pattern(b.column("text"), " ")))
+            word, n = pieces.field("values"), pieces.field("counts")
+            some = pc.and_(pc.greater(n, 1), pc.less_equal(pc.utf8_length(word), 64))
+            yield batch_of(schema, word=word.filter(some), n=n.filter(some))
 
     return map_arrow(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> str:
-    """Compiles the ``size`` most frequent words (that bound, a few MB at any input) and ships the file to all executors; returns its name."""
+    """Compiles the most frequent words, ``size`` at most (a few MB at any input), and ships the file to all executors; returns its name."""
     vocabulary = Vocabulary(path)
-    top = [r.word for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(size).collect()]
+    counts = stage_table(word_counts(docs), "words")
+    step = F.least(F.col("n"), F.lit(4096))  # words of more occurrences count together
+    often = {r.c: r.k for r in counts.groupBy(step.alias("c")).agg(F.count("*").alias("k")).collect()}
+    room, least = size, 1 << 40
+    for c in sorted(often, reverse=True):
+        if often[c] > room:
+            break
+        room, least = room - often[c], c
+    top = sorted(r.word for r in counts.where(F.col("n") >= least).limit(size).collect())
     words = [w for w in dict.fromkeys(p for t in top for p in vocabulary.words(" " + t)) if w not in vocabulary.special]
     raw = [w.encode() for w in words]
     name = f"lexicon-{uuid.uuid4().hex}.bin"
@@ -338,38 +374,22 @@ def _rows(path: str, lexicon: str | None, columns: list[str]):
     schema = pa.schema([_ENCODED.field(c) for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
-        encoder = Encoder(vocabulary, Transducer(SparkFiles.get(lexicon)) if lexicon else None)
-        printed: dict[str, bytes] = {}
-        decoded: dict[str, bytes] = {}
+        coder = Coder.get(path, lexicon)
         for b in slices(batches, 256):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            words = [vocabulary.words(t) for t in texts]
-            fresh: dict[str, None] = {}
-            for ws in words:
-                fresh.update(dict.fromkeys(ws))
-            if len(printed) > CACHE_WORDS:
-                printed.clear()
-                decoded.clear()
-                encoder.ids.clear()
-            encoder.resolve(fresh)
-            bytes_of = vocabulary.bytes_of
-            for w in fresh:
-                if w not in printed:
-                    ids = encoder.ids[w]
-                    printed[w] = b",".join(b"%d" % i for i in ids)
-                    decoded[w] = b"".join([bytes_of[i] for i in ids])
+            words = [coder.vocabulary.words(t) if t else [] for t in b.column("text").to_pylist()]
+            coder.learn(set().union(*words))
             out: dict[str, list] = {c: [] for c in columns if c != "doc_id"}
             for ws in words:
-                ids = b",".join(map(printed.__getitem__, ws))
+                ids = b",".join(map(coder.printed.__getitem__, ws))
                 if "n_tokens" in out:
                     out["n_tokens"].append(ids.count(b",") + 1 if ids else 0)
                 if "ids_sha256" in out:
                     out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
                 if "ids" in out:
-                    out["ids"].append([i for w in ws for i in encoder.ids[w]])
+                    out["ids"].append(np.array(ids.split(b",") if ids else [], np.int32))
                 if "decoded" in out or "decoded_sha256" in out:
-                    text = b"".join(map(decoded.__getitem__, ws)).decode("utf-8", "replace")
+                    raw = b"".join(map(coder.decoded.__getitem__, ws))
+                    text = raw.decode("utf-8", "replace")
                     if "decoded_sha256" in out:
                         out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
                     if "decoded" in out:
@@ -387,3 +407,18 @@ def encode_documents(docs: DataFrame, path: str, lexicon: str | None = None, col
     """
     sql = {"doc_id": "long", "n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _rows(path, lexicon, list(columns)), ", ".join(f"{c} {sql[c]}" for c in columns))
+
+
+def append_tokens(docs: DataFrame, path: str, lexicon: str | None = None) -> DataFrame:
+    """docs with n_tokens and ids of its texts; columns of these names that docs has are replaced. Null text has no ids."""
+    base = docs.drop("n_tokens", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder.get(path, lexicon)
+        for b in slices(batches, 256):
+            words = [coder.vocabulary.words(t) if t else [] for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            coder.learn(set().union(*words))
+            ids = [np.array(x.split(b",") if x else [], np.int32) for x in (b",".join(map(coder.printed.__getitem__, ws)) for ws in words)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, "n_tokens", "ids"])
+
+    return map_arrow(base, run, f"{base.schema.simpleString()[7:-1]}, n_tokens bigint, ids array<int>")
