@@ -1,12 +1,17 @@
-"""Queries of the training-data operators, by name."""
+"""Queries of the training-data operators and of the pipeline, by name."""
 
 from __future__ import annotations
 
 from importlib import import_module
 
+import corpus_pipeline
+
 QUERIES = {}
 ORACLE_SQL = {}
-for _name in ("op1", "op4", "op5", "op6", "op7", "op8", "op9", "op10"):
-    _module = import_module(f"corpusgraph.llm.{_name}")
+for _n in range(1, 11):
+    _module = import_module(f"corpusgraph.llm.op{_n}")
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

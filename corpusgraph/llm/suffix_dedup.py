@@ -341,22 +341,24 @@ def spans_of(spots: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndar
     return start[first], end[np.r_[np.flatnonzero(first)[1:] - 1, len(end) - 1]]
 
 
-def matches(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(texts, found): the table bucketed by doc_id, of doc_id, occ, text; and (doc_id, spots), the matched runs of each doc_id."""
+def matches(docs: DataFrame, width: int = WIDTH, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(texts, found): the table bucketed by doc_id, of doc_id, occ, text, with carry also rest, all other columns as a struct; and (doc_id, spots), the matched runs of each doc_id."""
     spark = docs.sparkSession
     n = partitions(spark)
     shards = 4 * n
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")] if carry else []
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest)
     # occ tells rows of one doc_id apart; their order is of no effect, as neither is smaller
     occ = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))) - 1 if has_repeats(base, "doc_id") else F.lit(0)
     name = f"cg_texts_{uuid.uuid4().hex}"
     base = base.withColumn("occ", occ.cast("int"))
     base.repartition(n, "doc_id").write.bucketBy(n, "doc_id").option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/corpusgraph/{name}").format("parquet").saveAsTable(name)
     texts = spark.table(name)
-    sent = map_arrow(texts, _find_runs(shards, width), _SENT_SQL).repartition(n, "shard").sortWithinPartitions("shard")
+    texts_only = texts.select("doc_id", "occ", "text")
+    sent = map_arrow(texts_only, _find_runs(shards, width), _SENT_SQL).repartition(n, "shard").sortWithinPartitions("shard")
     settled = stage_table(map_arrow(sent, _settle, _FOUND_SQL), "runs")
     wanted = settled.where("key is not null").groupBy("doc_id").agg(F.collect_list("spot").alias("spots"), F.collect_list("key").alias("keys"))
-    fetched = map_arrow(texts.join(wanted.hint("shuffle_hash"), "doc_id"), _fetch(shards, width), _TEXTS_SQL)
+    fetched = map_arrow(texts_only.join(wanted.hint("shuffle_hash"), "doc_id"), _fetch(shards, width), _TEXTS_SQL)
     parts = map_arrow(fetched.repartition(n, "shard").sortWithinPartitions("shard"), _match(width), "doc_id long, spot long")
     found = settled.where("key is null").select("doc_id", "spot").unionByName(parts)
     return texts, found.groupBy("doc_id").agg(F.collect_list("spot").alias("spots"))
@@ -392,5 +394,36 @@ def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return map_arrow(texts.join(found.hint("shuffle_hash"), "doc_id", "left"), cut, "doc_id long, occ int, n_bytes long, kept binary, starts array<long>, ends array<long>")
 
 
+def cut_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with what repeats earlier documents cut from text; n_chars, if it is there, follows. Columns and their order stay.
+
+    A character that is cut in its middle goes. Rows of which nothing is left go; rows that were empty or null before stay.
+    """
+    texts, found = matches(docs, width, carry=True)
+    out = docs.schema
+    kind = f"{out[[f.name for f in out].index('text')].dataType.simpleString()}"
+    rest = texts.schema["rest"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 512):
+            spots, kept = b.column("spots"), []
+            for k, (occ, t) in enumerate(zip(b.column("occ").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True)):
+                if t is None or not spots[k].is_valid:
+                    kept.append((None if t is None else t.decode("utf-8", "replace"), True))
+                    continue
+                spot = spots[k].values.to_numpy(zero_copy_only=False)
+                spot = spot[spot >> (_LEN_BITS + _POS_BITS) == occ]
+                a, e = (x.tolist() for x in spans_of(spot, width)) if len(spot) else ([], [])
+                text = b"".join(t[x:y] for x, y in zip([0, *e], [*a, len(t)], strict=True)).decode("utf-8", "ignore")
+                kept.append((text, bool(text) or not a))
+            stay = pa.array([s for _, s in kept], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("rest").filter(stay), pa.array([t for t, s in kept if s], pa.string())], ["rest", "text"])
+
+    joined = texts.join(found.hint("shuffle_hash"), "doc_id", "left").select("occ", "text", "rest", "spots")
+    done = map_arrow(joined, cut, f"rest {rest}, text {kind}")
+    columns = [F.col("text") if f.name == "text" else F.length("text").cast(f.dataType).alias(f.name) if f.name == "n_chars" else F.col(f"rest.`{f.name}`").alias(f.name) for f in out]
+    return done.select(*columns)
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

@@ -87,3 +87,20 @@ def test_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]
     assert query(df) == brute(rows)
+
+
+def WIDTH_CUT(rows, w=50):  # noqa: N802
+    """Texts by doc_id with what earlier documents hold cut, from every string of w bytes."""
+    least, out = {}, {}
+    for i, t in rows:
+        b = t.encode()
+        for p in range(len(b) - w + 1):
+            least[b[p : p + w]] = min(least.get(b[p : p + w], i), i)
+    for i, t in rows:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - w + 1):
+            if least[b[p : p + w]] < i:
+                gone[p : p + w] = b"\1" * w
+        out[i] = bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+    return out
