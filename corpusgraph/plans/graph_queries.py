@@ -107,7 +107,7 @@ def _symbols(spark, d):
 
 
 def _references(spark, d):
-    return table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat_ws(" ", "p_name", "p_brand").alias("target_name")).where("l_suppkey % 7 = 0")
+    return table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat_ws(" ", "p_name", "p_brand").alias("target_name"))
 
 
 def symbol_resolution(spark, d):
@@ -122,21 +122,21 @@ def pending_resolution(spark, d):
 
 def _ranges(spark, d):
     """Units of a file: lines of an order as line ranges."""
-    line = table(spark, d, "lineitem").where("l_suppkey % 5 = 0")
-    start = (F.col("l_partkey") % 97).cast("int")
+    line = table(spark, d, "lineitem")
+    start = (F.col("l_orderkey") % 997).cast("int")
     kind = F.when(F.col("l_returnflag") == "A", "class").when(F.col("l_returnflag") == "N", "function").otherwise("namespace")
-    return line.select((F.col("l_orderkey") % 300).cast("string").alias("file_path"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("id"), kind.alias("entity_type"), start.alias("line_start"), (start + F.col("l_quantity").cast("int")).alias("line_end"), F.concat(F.lit("n"), (F.col("l_suppkey") % 3).cast("string")).alias("name"))
+    return line.select(F.concat(F.lit("p"), "l_partkey").alias("file_path"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("id"), kind.alias("entity_type"), start.alias("line_start"), (start + 4 * F.col("l_quantity").cast("int")).alias("line_end"), F.concat(F.lit("n"), (F.col("l_suppkey") % 3).cast("string")).alias("name"))
 
 
 _RANGES = """ranges AS (
-  SELECT (l_orderkey % 300)::VARCHAR AS file_path, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INTEGER) AS id,
-    CASE l_returnflag WHEN 'A' THEN 'class' WHEN 'N' THEN 'function' ELSE 'namespace' END AS entity_type, (l_partkey % 97)::INTEGER AS line_start,
-    (l_partkey % 97)::INTEGER + l_quantity::INTEGER AS line_end, 'n' || (l_suppkey % 3) AS name
-  FROM lineitem WHERE l_suppkey % 5 = 0)"""
+  SELECT 'p' || l_partkey AS file_path, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INTEGER) AS id,
+    CASE l_returnflag WHEN 'A' THEN 'class' WHEN 'N' THEN 'function' ELSE 'namespace' END AS entity_type, (l_orderkey % 997)::INTEGER AS line_start,
+    (l_orderkey % 997)::INTEGER + 4 * l_quantity::INTEGER AS line_end, 'n' || (l_suppkey % 3) AS name
+  FROM lineitem)"""
 
 
 def contains_interval_join(spark, d):
-    return R.containment(_ranges(spark, d), bucket=32).groupBy("file_path", "outer_id").agg(F.count("*").alias("n"), F.min("inner_id").alias("first_inner"))
+    return R.containment(_ranges(spark, d), bucket=128).groupBy("file_path", "outer_id").agg(F.count("*").alias("n"), F.min("inner_id").alias("first_inner"))
 
 
 def containment_dedup(spark, d):
@@ -144,7 +144,7 @@ def containment_dedup(spark, d):
 
 
 def interval_merge(spark, d):
-    r = _ranges(spark, d).where("line_start % 4 = 0")
+    r = _ranges(spark, d)
     return R.merge_intervals(r.select("file_path", "line_start", "line_end", "name", F.col("entity_type").alias("kind")), "file_path").select("file_path", "line_start", "line_end")
 
 
@@ -198,10 +198,10 @@ ORACLE_SQL = {
     "impact_analysis": f"{_E}, {_reach('part:1', 3, G.FORWARD)} SELECT src AS id, 'direct_caller' AS role, 1 AS depth FROM edges WHERE dst = 'part:1' AND relation_type = 'CALLS' UNION ALL SELECT dst, 'direct_callee', 1 FROM edges WHERE src = 'part:1' AND relation_type = 'CALLS' UNION ALL SELECT id, 'transitive', depth FROM r_all UNION ALL SELECT src, 'file_dependent', 1 FROM edges WHERE dst = 'nation:1' AND relation_type = 'INCLUDES'",
     "subgraph_filter": f"{_E}, n AS (SELECT id FROM nodes WHERE entity_type IN ('supplier', 'nation', 'region')) SELECT * FROM edges WHERE relation_type IN ('INHERITS_FROM', 'CONTAINS') AND src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)",
     "symbol_resolution": "SELECT p_name || ' ' || p_brand AS name, 'part:' || min(p_partkey) AS symbol_id FROM part GROUP BY 1 HAVING count(*) = 1",
-    "pending_resolution": "WITH u AS (SELECT p_name || ' ' || p_brand AS name FROM part GROUP BY 1 HAVING count(*) = 1), r AS (SELECT p_name || ' ' || p_brand AS target_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 7 = 0) SELECT CASE WHEN target_name IN (SELECT name FROM u) THEN 'resolved' ELSE 'pending' END AS state, target_name, count(*) AS n FROM r GROUP BY ALL",
+    "pending_resolution": "WITH u AS (SELECT p_name || ' ' || p_brand AS name FROM part GROUP BY 1 HAVING count(*) = 1), r AS (SELECT p_name || ' ' || p_brand AS target_name FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT CASE WHEN target_name IN (SELECT name FROM u) THEN 'resolved' ELSE 'pending' END AS state, target_name, count(*) AS n FROM r GROUP BY ALL",
     "contains_interval_join": f"WITH {_RANGES} SELECT o.file_path, o.id AS outer_id, count(*) AS n, min(i.id) AS first_inner FROM ranges o JOIN ranges i ON o.file_path = i.file_path AND o.line_start <= i.line_start AND o.line_end >= i.line_end AND o.id <> i.id WHERE o.entity_type IN ('class', 'namespace') AND i.entity_type <> 'namespace' GROUP BY ALL",
     "containment_dedup": f"WITH {_RANGES} SELECT file_path, id, name, line_start, line_end FROM ranges a WHERE NOT EXISTS (SELECT 1 FROM ranges b WHERE a.file_path = b.file_path AND a.name = b.name AND b.line_start < a.line_start AND b.line_end >= a.line_end)",
-    "interval_merge": f"WITH {_RANGES}, s AS (SELECT file_path, line_start, line_end, max(line_end) OVER (PARTITION BY file_path ORDER BY line_start, line_end DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ranges WHERE line_start % 4 = 0), t AS (SELECT *, sum(CASE WHEN m IS NULL OR line_start > m THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY line_start, line_end DESC ROWS UNBOUNDED PRECEDING) AS g FROM s) SELECT file_path, min(line_start) AS line_start, max(line_end) AS line_end FROM t GROUP BY file_path, g",
+    "interval_merge": f"WITH {_RANGES}, s AS (SELECT file_path, line_start, line_end, max(line_end) OVER (PARTITION BY file_path ORDER BY line_start, line_end DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ranges), t AS (SELECT *, sum(CASE WHEN m IS NULL OR line_start > m THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY line_start, line_end DESC ROWS UNBOUNDED PRECEDING) AS g FROM s) SELECT file_path, min(line_start) AS line_start, max(line_end) AS line_end FROM t GROUP BY file_path, g",
     "incremental_diff": f"{_DIFF} SELECT CASE WHEN new.file_path IS NULL THEN 'removed' WHEN old.file_path IS NULL THEN 'added' WHEN old.h = new.h THEN 'skipped' ELSE 'updated' END AS status, count(*) AS n FROM old FULL OUTER JOIN new USING (project_id, file_path) GROUP BY 1",
     "stale_files": f"{_DIFF} SELECT project_id, file_path FROM old WHERE (project_id, file_path) NOT IN (SELECT (project_id, file_path) FROM new)",
 }

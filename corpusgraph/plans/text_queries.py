@@ -127,7 +127,7 @@ def prompt_assembly(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("lang").orderBy("doc_id")
-    hits = _docs(spark, d).where("n_chars < 2000").select(F.col("lang").alias("query_id"), F.row_number().over(w).alias("rank"), "text", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("file_path"), F.lit(1).alias("line_start"), F.size(F.split("text", "\n")).alias("line_end"), F.lit("section").alias("chunk_type"), F.col("source").alias("project_name"), F.lit("markdown").alias("language"), (F.col("doc_id") % 4 == 0).alias("is_private"), F.concat(F.lit("summary of "), F.col("doc_id").cast("string")).alias("privacy_summary")).where("rank <= 5")
+    hits = _docs(spark, d).select(F.col("lang").alias("query_id"), F.row_number().over(w).alias("rank"), "text", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("file_path"), F.lit(1).alias("line_start"), F.size(F.split("text", "\n")).alias("line_end"), F.lit("section").alias("chunk_type"), F.col("source").alias("project_name"), F.lit("markdown").alias("language"), (F.col("doc_id") % 4 == 0).alias("is_private"), F.concat(F.lit("summary of "), F.col("doc_id").cast("string")).alias("privacy_summary")).where("rank <= 5")
     return R.build_prompts(hits, "What is it?").select("query_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), "chunk_tokens", "total_tokens")
 
 
@@ -209,7 +209,7 @@ UNION ALL SELECT r_regionkey, (k + 1)::INTEGER, 'section', n_name, '## ' || n_na
     "sanitized_document": f"WITH {_UNITS} SELECT p_partkey, concat_ws(chr(10), 'project: parts', 'project_root: /srv/parts', 'file: p' || p_partkey, 'language: ' || language, 'symbol_type: function', 'symbol_name: ' || name, 'line_range: ' || line_start || '-' || line_end, 'declaration: ' || declaration, 'summary: ' || name || ' is a function in ' || language || ' defined at lines ' || line_start || '-' || line_end || '.') AS document FROM decls",
     "project_summary_sample": "WITH f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) SELECT source, string_agg('- ' || lang || ':' || doc_id || ' -> ' || left(text, 140), chr(10) ORDER BY k) AS sample FROM f WHERE k <= 8 GROUP BY source",
     "project_summary_text": "WITH f AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) SELECT source, 'Project ' || source || ' focuses on ' || count(*) || ' indexed documents. Representative symbols include ' || string_agg(doc_id::VARCHAR, ', ' ORDER BY k) FILTER (WHERE k <= 3) || '.' AS summary FROM f GROUP BY source",
-    "prompt_assembly": f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents WHERE n_chars < 2000),
+    "prompt_assembly": f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents),
 b AS (SELECT lang, k, 'Project: ' || source || chr(10) || 'File: ' || source || '/' || doc_id || ' (lines 1-' || len(string_split(text, chr(10))) || '), type=section' || CASE WHEN doc_id % 4 = 0 THEN ' [HIGH-CONFIDENTIAL]' ELSE '' END || chr(10) || '```markdown' || chr(10)
   || CASE WHEN doc_id % 4 = 0 THEN '[PRIVACY-SAFE SUMMARY] summary of ' || doc_id || chr(10) || chr(10) || {_q(R.PRIVATE_NOTE)} ELSE text END || chr(10) || '```' AS block FROM h WHERE k <= 5),
 p AS (SELECT lang AS query_id, 'System: ' || {_q(R.SYSTEM)} || chr(10) || chr(10) || 'Context:' || chr(10) || '---' || chr(10) || string_agg(block, chr(10) || '---' || chr(10) ORDER BY k) || chr(10) || '---' || chr(10) || chr(10) || 'User: What is it?' AS prompt FROM b GROUP BY lang)
