@@ -133,10 +133,10 @@ def unit_labels(spark: SparkSession, path: str) -> DataFrame:
 def pair_labels(spark: SparkSession, path: str) -> DataFrame:
     """Labels with predictions: a list, or {labels: [...]}; predicted stands before best_match."""
     one = "struct<type:string,name:string,line_start:int,line_end:int>"
-    item = f"file string, name string, type string, line_start int, line_end int, predicted {one}, best_match {one}"
+    item = f"struct<file:string,name:string,type:string,line_start:int,line_end:int,predicted:{one},best_match:{one}>"
     text = spark.read.text(path, wholetext=True)
-    fields = "struct<" + ",".join(f"{x.split(' ')[0]}:{x.split(' ', 1)[1]}" for x in item.replace(one, one.replace(",", ";")).split(", ")).replace(";", ",") + ">"
-    rows = text.select(F.coalesce(F.from_json("value", f"array<{fields}>"), F.from_json("value", f"struct<labels:array<{fields}>>")["labels"]).alias("x")).select(F.explode("x").alias("x"))
+    both = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{item}>")).otherwise(F.from_json("value", f"struct<labels:array<{item}>>")["labels"])
+    rows = text.select(F.explode(both).alias("x"))
     p = F.coalesce("x.predicted", "x.best_match")
     return rows.select(F.col("x.file").alias("file_path"), F.col("x.name").alias("name"), F.col("x.type").alias("kind"), F.col("x.line_start").alias("line_start"), F.col("x.line_end").alias("line_end"), p["name"].alias("p_name"), p["type"].alias("p_kind"), p["line_start"].alias("p_start"), p["line_end"].alias("p_end"))
 
