@@ -14,8 +14,8 @@ def quality_filter(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One row of each SimHash class stays, that of the smallest doc_id. Shingles take five words here."""
-    return simhash.keep_first_of_class(docs, words=5)
+    """One row of each class stays, that of the smallest doc_id; texts link at a similarity of 0.8 or more of their five-word shingles."""
+    return simhash.keep_first_of_class(docs, simhash.similar_classes(docs, words=5, similarity=0.8))
 
 
 def suffix_dedup_stage(spark, docs, sf_dir):

@@ -198,14 +198,238 @@ def near_duplicate_classes(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataF
     return out.select("doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first_of_class(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+BANDS = 16  # pairs of min-hashes; texts of similarity 0.8 share none of them once in ten million
+BINS = 512  # of a sketch: its similarity has a standard deviation of 0.018 at most
+MARGIN = 0.06  # nearer to the wanted similarity than this, exact sets decide instead of sketches
+NEAR_BITS, FAR_BITS = 22, 28  # bits by which fingerprints of similarity 0.8 and 0.6 differ at most
+HOT = 20_000  # nodes of a shard; larger ones are dealt out, then their leaders meet
+_RNG = np.random.default_rng(8)
+_MUL = _RNG.integers(0, 1 << 63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, 2 * BANDS, dtype=np.uint64)
+
+
+def sketch_of(u: np.ndarray) -> bytes:
+    """One byte for each of BINS ranges of hashes: 0 if it is empty, else 1 to 255 from its least hash. u: sorted distinct hashes."""
+    out = np.zeros(BINS, np.uint8)
+    if len(u):
+        bins = (u >> np.uint64(64 - 9)).astype(np.int64)
+        first = np.r_[0, np.flatnonzero(bins[1:] != bins[:-1]) + 1]
+        out[bins[first]] = (u[first] & np.uint64(0xFFFF)) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two texts' shingle sets from their sketches."""
+    any_ = int(((a > 0) | (b > 0)).sum())
+    if not any_:
+        return 1.0
+    same = int(((a == b) & (a > 0)).sum()) / any_
+    return max(0.0, (same - 1 / 255) / (1 - 1 / 255))
+
+
+def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    ws = text.lower().split()
+    shingles = ([b" ".join(ws)] if ws else []) if len(ws) < words else map(b" ".join, zip(*(ws[i:] for i in range(words)), strict=False))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64)
+
+
+def _signature(text: bytes, words: int) -> tuple[int, int, list[int], bytes]:
+    h = _shingle_hashes(text, words)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), _BLOCK):
+        ones += np.unpackbits(h[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    fp = int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]) if len(h) else 0
+    u = np.unique(h)
+    least = np.full(2 * BANDS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(u), 8192):
+        least = np.minimum(least, (u[None, at : at + 8192] * _MUL[:, None] + _ADD[:, None]).min(1))
+    node = xxhash.xxh64_intdigest(u.tobytes(), SEED)
+    pairs = least.view(np.uint8).reshape(BANDS, 16)
+    keys = [xxhash.xxh64_intdigest(pairs[k].tobytes(), k) for k in range(BANDS)]
+    return fp, node, keys, sketch_of(u)
+
+
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+
+
+def _signatures(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2048):
+            rows = [_signature(t, words) for t in text_bytes(b.column("text"))]
+            fp, node, keys, sketch = zip(*rows, strict=True)
+            yield batch_of(_SIGNED, doc_id=b.column("doc_id"), text_key=b.column("text_key"), fp=fp, node=_signed(node), keys=list(_signed(keys)), sketch=sketch)
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text"), run, "doc_id long, text_key long, fp long, node long, keys array<long>, sketch binary")
+
+
+class LeaderTree(BKTree):
+    """A BK-tree of leaders; search may reach further than insertion needs."""
+
+    def near(self, x: int, radius: int) -> list[int]:
+        found, todo = [], [0] if self.value else []
+        while todo:
+            i = todo.pop()
+            d = (self.value[i] ^ x).bit_count()
+            if d <= radius:
+                found.append(i)
+            todo += [k for e, k in self.children[i].items() if abs(e - d) <= radius]
+        return found
+
+    def insert(self, x: int) -> None:
+        self.add(x, -1)
+
+
+def leader_links(fps: list[int], sketches: list[np.ndarray], least: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[int]]:
+    """(links, doubtful links, leaders) of a shard's nodes in order.
+
+    A node that is surely similar to a leader joins it; one that is not, but to a member of a leader, is linked to the member and leads itself. As members
+    are within ``least`` of their leader, the leader of a similar member isn't far off (distances of sets add up), and only such leaders' members are
+    looked at. Pairs at the threshold are doubtful; a node that has only such links leads itself, so that no sure link is hidden by them.
+    """
+    tree = LeaderTree()
+    leaders: list[int] = []
+    members: list[list[int]] = []
+    root = list(range(len(fps)))
+    links: list[tuple[int, int]] = []
+    doubtful: list[tuple[int, int]] = []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def join(a: int, b: int) -> None:
+        x, y = find(a), find(b)
+        if x != y:
+            links.append((a, b))
+            root[max(x, y)] = min(x, y)
+
+    sure, low = least + MARGIN, least - MARGIN
+    far = max(0.0, 2 * least - 1) - MARGIN
+    for i, x in enumerate(fps):
+        seen = [(similarity_of(sketches[leaders[k]], sketches[i]), k) for k in sorted(tree.near(x, FAR_BITS))]
+        home = -1
+        for s, k in seen:
+            if s >= sure:
+                join(leaders[k], i)
+                home = k if home < 0 else home
+        for s, k in seen:
+            if far <= s < sure and find(leaders[k]) != find(i):
+                best = (s, leaders[k]) if s >= low else (0.0, -1)
+                for j in members[k]:
+                    if (fps[j] ^ x).bit_count() <= NEAR_BITS and (t := similarity_of(sketches[j], sketches[i])) > best[0] and t >= low:
+                        best = (t, j)
+                        if t >= sure:
+                            break
+                if best[0] >= sure:
+                    join(best[1], i)
+                elif best[1] >= 0:
+                    doubtful.append((best[1], i))
+        if home >= 0:
+            members[home].append(i)
+        else:
+            tree.insert(x)
+            leaders.append(i)
+            members.append([])
+    return links, doubtful, leaders
+
+
+def _linked_shards(least: float):
+    """Rows sorted by (key, salt, first_id): links between nodes (kind 0), doubtful ones (1), and the leaders of shards that were dealt out (2)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("kind", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1 or held and held[0][2] > 1:
+                nodes, key = [r[3] for r in held], held[0][0]
+                links, doubtful, leaders = leader_links([r[4] & (1 << 64) - 1 for r in held], [np.frombuffer(r[5], np.uint8) for r in held], least)
+                rows = [(nodes[i], nodes[j], key, 0) for i, j in links] + [(nodes[i], nodes[j], key, 1) for i, j in doubtful]
+                rows += [(nodes[i], nodes[i], key, 2) for i in leaders] if held[0][2] > 1 else []
+                if rows:
+                    yield batch_of(schema, **dict(zip(("a", "b", "key", "kind"), zip(*rows, strict=True), strict=True)))
+
+        for b in slices(batches, 4096):
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "salt", "salts", "node", "fp", "sketch")), strict=True):
+                if held and held[0][:2] != row[:2]:
+                    yield from done()
+                    held.clear()
+                held.append(row)
+        yield from done()
+
+    return run
+
+
+def _exact_links(docs: DataFrame, signed: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose shingle sets are similar enough. Only the texts of these nodes are read in full."""
+    one = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = signed.join(one, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("k"))
+    texts = docs.select(F.xxhash64("text").alias("k"), "text").join(wanted, "k").select("node", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+        for b in slices(batches, 512):
+            yield batch_of(schema, node=b.column("node"), hashes=[np.unique(_shingle_hashes(t, words)).tobytes() for t in text_bytes(b.column("text"))])
+
+    every = map_arrow(texts, sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    both = pairs.join(every.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(every.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 256):
+            ok = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                same = len(np.intersect1d(u, v, assume_unique=True))
+                ok.append(same >= least * (len(u) + len(v) - same) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
+
+    return map_arrow(both.select("a", "b", "x", "y"), judge, "a long, b long")
+
+
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
+    """One row per document row: doc_id, text_key, fingerprint, component_id; texts link at a Jaccard similarity of their shingle sets of ``similarity`` or more.
+
+    Texts of one shingle set are one node. Nodes that share a pair of min-hashes meet in a shard, where a BK-tree of leaders over their SimHash fingerprints
+    finds candidates; sketches decide clear cases and the sets themselves those within MARGIN of the threshold. A shard above ``hot`` nodes is dealt out by the nodes' hash,
+    and its parts' leaders meet in a second round. Nulls, repeats and empty texts are as in near_duplicate_classes; all texts without words are one class.
+    """
+    n = partitions(docs.sparkSession)
+    signed = stage_table(_signatures(docs, words), "signatures")
+    nodes = stage_table(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
+    keyed = nodes.select("node", F.explode("keys").alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / hot).cast("int").alias("salts"))
+    meeting = keyed.join(shared, "key").withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("salts")).cast("int"))
+    schema = "a long, b long, key long, kind int"
+
+    def linked_rows(rows: DataFrame) -> DataFrame:
+        full = rows.join(nodes.select("node", "first_id", "fp", "sketch"), "node").select("key", "salt", "salts", "node", "first_id", "fp", "sketch")
+        return map_arrow(full.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "first_id", "node"), _linked_shards(similarity), schema)
+
+    first = stage_table(linked_rows(meeting), "shards")
+    leaders = first.where("kind = 2").select("key", F.lit(0).alias("salt"), F.lit(1).alias("salts"), F.col("a").alias("node"))
+    links_ = stage_table(first.where("kind < 2").unionByName(linked_rows(leaders)), "links")
+    clear = links_.where("kind = 0").select("a", "b")
+    pairs = links_.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = clear.unionByName(_exact_links(docs, signed, pairs, words, similarity))
+    comps = connected_components(edges).select(F.col("node").alias("_cg_node"), "root")
+    rooted = nodes.select("node", "first_id").join(comps, F.col("node") == F.col("_cg_node"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = rooted.join(least, "root").select(F.col("node").alias("k"), "component_id")
+    out = signed.select("doc_id", "text_key", "fp", "node").join(named, F.col("node") == F.col("k"))
+    return out.select("doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first_of_class(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """docs without all but one row of each near-duplicate class: the row of the smallest doc_id stays.
 
-    Columns and their order stay. A class without any doc_id keeps the row of its smallest text hash; of rows alike in doc_id
+    classes: what near_duplicate_classes (the default) or similar_classes gives for docs. Columns and their order stay. A class without any doc_id keeps the row of its smallest text hash; of rows alike in doc_id
     and text one stays, of rows that share doc_id and class but not text that of the smaller text hash.
     """
     repeated = has_repeats(docs, "doc_id")
-    keep = near_duplicate_classes(docs, words).where("doc_id = component_id or component_id is null")
+    classes = near_duplicate_classes(docs) if classes is None else classes
+    keep = classes.where("doc_id = component_id or component_id is null")
     if repeated:
         group = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
         keep = keep.groupBy("component_id", group.alias("g"), "doc_id").agg(F.min("text_key").alias("text_key"))

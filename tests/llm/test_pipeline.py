@@ -2,9 +2,10 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from corpusgraph.llm import quality, simhash
+from corpusgraph.llm import quality
 from corpusgraph.llm.common import read_table
 from tests.llm.test_decontam import words
+from tests.llm.test_simhash import jaccard_components
 from tests.llm.test_suffix_dedup import WIDTH_CUT
 
 DATA = "/root/testdata/sf0.001"
@@ -25,19 +26,8 @@ def test_stages_match_brute_force(spark):
     assert len(bad & kept) <= len(bad) // 5 and len(rows) - len(kept) - len(bad - kept) <= len(rows) // 5
 
     second = P.near_dedup(spark, first, DATA)
-    fp = {i: simhash.simhash64(rows[i].text.encode(), 5) for i in kept}
-    left, todo = set(), sorted(kept)
-    seen = set()
-    for i in todo:
-        if i in seen:
-            continue
-        left.add(i)
-        group = [i]
-        while group:
-            x = group.pop()
-            near = {j for j in kept if j not in seen and (fp[j] ^ fp[x]).bit_count() <= 2}
-            seen |= near
-            group += near - {x}
+    classes = jaccard_components([(i, rows[i].text) for i in sorted(kept)])
+    left = {i for i in kept if classes[i] == i}
     assert second.columns == columns and {r.doc_id for r in second.collect()} == left
 
     third = P.suffix_dedup_stage(spark, second, DATA)

@@ -102,6 +102,69 @@ def test_keep_first_keeps_columns(spark):
     assert len([r for r in rows if r.doc_id is None]) == 1
 
 
+
 @pytest.mark.parametrize("text", ["", "a", "A b", "The the THE the", "x\x1fy z w"])
 def test_fingerprint(text):
     assert S.simhash64(text.encode()) == brute_fp(text)
+
+
+def jaccard_components(rows, least=0.8):
+    sets = []
+    for _, t in rows:
+        ws = (t or "").lower().split()
+        sets.append({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else {()})
+    comp = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if comp[i] > comp[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                    comp[i], changed = comp[j], True
+    return {rows[i][0]: min(rows[j][0] for j in range(len(rows)) if comp[j] == comp[i]) for i in range(len(rows))}
+
+
+def similar_rows():
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    base = [" ".join(r.choice(words) for _ in range(r.randint(60, 700))) for _ in range(30)]
+    rows = list(enumerate(base))
+    for i in range(150):
+        t = r.choice(base).split()
+        for _ in range(r.choice([0, 1, 2, len(t) // 80, len(t) // 4])):  # near copies, and others that are far off
+            t[r.randrange(len(t))] = r.choice(words)
+        rows.append((100 + i, " ".join(t)))
+    common = " ".join(r.choice(words) for _ in range(60))
+    rows += [(300 + i, common + " " + " ".join(r.choice(words) for _ in range(90))) for i in range(40)]  # a shared passage isn't a copy
+    return rows + [(400, None), (401, ""), (402, "one two"), (403, "ONE two"), (404, "one two three")]
+
+
+def test_similar_classes_match_exact_similarity(spark):
+    rows = similar_rows()
+    want = jaccard_components(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (S.HOT, 5):
+        got = {r.doc_id: r.component_id for r in S.similar_classes(df, hot=hot).collect()}
+        assert got == want, [(i, got[i], want[i]) for i in got if got[i] != want[i]]
+
+
+def test_similar_classes_of_odd_rows(spark):
+    df = spark.createDataFrame([(5, "a b c d e f g", 1), (5, "a b c d e f g", 2), (4, "A b c d e f g", 3), (None, "a b c d e f g", 4), (None, None, 5), (7, "x " * 30_000, 6)], "doc_id long, text string, node int")
+    out = S.similar_classes(df)
+    assert sorted(((r.doc_id, r.component_id) for r in out.collect()), key=str) == sorted([(5, 4), (5, 4), (4, 4), (None, 4), (None, None), (7, 7)], key=str)
+    kept = S.keep_first_of_class(df, out).collect()
+    assert sorted(r.node for r in kept) == [3, 5, 6]
+    assert S.similar_classes(df.limit(0)).count() == 0
+
+
+def test_sketches():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n in (40, 400, 6000):
+        for share in (0.5, 0.8, 0.95):
+            both = r.integers(0, 1 << 63, int(n * share), dtype=np.uint64) * np.uint64(2)
+            a, b = (np.unique(np.r_[both, r.integers(0, 1 << 63, (n - len(both)) // 2, dtype=np.uint64) * np.uint64(2)]) for _ in range(2))
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            got = S.similarity_of(*(np.frombuffer(S.sketch_of(x), np.uint8) for x in (a, b)))
+            assert abs(got - true) < 0.09
