@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgraph.sources.scratch import cut
+
 FORWARD = ("CALLS", "REFERENCES", "INHERITS_FROM")
 
 
@@ -74,19 +76,23 @@ def _steps(edges: DataFrame, types: list[str] | tuple[str, ...] | None, directio
 def reach(edges: DataFrame, seeds: DataFrame, depth: int = 3, types: list[str] | tuple[str, ...] | None = None, direction: str = "out", keep_seeds: bool = False) -> DataFrame:
     """(id, depth) of what is within ``depth`` steps of the seeds (a table of ids), by least depth; seeds only with keep_seeds, where a cycle leads back to them.
 
-    Every level is a join of the last frontier with the edges and an anti-join with the levels before.
+    Every level joins the last frontier with the edges and drops what was reached before. Edges and levels are written once, so that a level costs one
+    pass over the edges and a lost executor costs its tasks only; an empty frontier ends the loop.
     """
-    steps = _steps(edges, types, direction)
+    steps = cut(_steps(edges, types, direction), "steps")
     seeds = seeds.select("id").distinct()
     frontier = seeds
+    reached = None if keep_seeds else seeds
     levels: list[DataFrame] = []
     for n in range(1, depth + 1):
         new = frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
-        seen = levels if keep_seeds else [seeds, *levels]
-        for s in seen:
-            new = new.join(s.select("id"), "id", "left_anti")
-        levels.append(new.withColumn("depth", F.lit(n)))
-        frontier = new
+        if reached is not None:
+            new = new.join(reached, "id", "left_anti")
+        frontier = cut(new, "frontier")
+        levels.append(frontier.withColumn("depth", F.lit(n)))
+        reached = frontier if reached is None else reached.unionByName(frontier)
+        if n < depth and frontier.isEmpty():
+            break
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -100,15 +106,16 @@ def simple_paths(edges: DataFrame, src: str, dst: str, max_hops: int = 5, types:
     Nodes that can't lie on such a path (too far from either end) are dropped before paths are built, so only paths that can still arrive grow.
     """
     spark = edges.sparkSession
-    e = of_types(edges, types).select("src", "dst").distinct()
-    to_end = reach(e.withColumn("relation_type", F.lit("")), ids(spark, dst), max_hops, None, "in").withColumnRenamed("depth", "left")
-    left = to_end.unionByName(spark.createDataFrame([(dst, 0)], "id string, left int"))
-    paths = spark.createDataFrame([([src],)], "path array<string>") if src != dst else spark.createDataFrame([], "path array<string>")
+    if src == dst:
+        return spark.createDataFrame([], "hops int, path array<string>")
+    e = cut(of_types(edges, types).select("src", "dst", F.lit("").alias("relation_type")).distinct(), "edges")
+    left = cut(reach(e, ids(spark, dst), max_hops, None, "in").withColumnRenamed("depth", "left").unionByName(spark.createDataFrame([(dst, 0)], "id string, left int")), "left")
+    paths = spark.createDataFrame([([src],)], "path array<string>")
     done: list[DataFrame] = []
     for n in range(1, max_hops + 1):
         grown = paths.join(e, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         grown = grown.join(left, F.col("dst") == F.col("id")).where(F.col("left") <= max_hops - n)
-        grown = grown.select(F.concat("path", F.array("dst")).alias("path"))
+        grown = cut(grown.select(F.concat("path", F.array("dst")).alias("path")), "paths")
         done.append(grown.where(F.element_at("path", -1) == dst).select(F.lit(n).alias("hops"), "path"))
         paths = grown.where(F.element_at("path", -1) != dst)
     return reduce(DataFrame.unionByName, done)

@@ -1,4 +1,4 @@
-"""A fresh folder that driver and executors share."""
+"""Fresh folders that driver and executors share, and tables that cut lineage."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
@@ -16,3 +16,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "corpusgraph")
     return f"{path.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table of the shared folder: later steps neither recompute it nor depend on the executors that made it."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
