@@ -23,6 +23,7 @@ CHUNK = PLACES + TAPS  # bytes; a chunk starts PLACES after the one before, the
 DIM, FILTERS, HIDDEN = 8, 32, 16
 FIT_ROWS = 3000  # labelled rows of each class that training may read
 FIT_CHUNKS = 8  # chunks of such a row
+STEPS = 3600
 _PAD = 256
 
 
@@ -158,7 +159,7 @@ def _some(x: np.ndarray, r: np.random.Generator) -> np.ndarray:
     return x if len(x) == 1 else x[np.sort(r.choice(len(x), r.integers(1, len(x) + 1), replace=False))]
 
 
-def train(chunks: list[np.ndarray], labels: np.ndarray, steps: int = 1800, batch: int = 48, rate: float = 0.005, seed: int = 3) -> Model:
+def train(chunks: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, batch: int = 48, rate: float = 0.005, seed: int = 3) -> Model:
     """Adam over shuffled batches, a fixed number of steps. Without rows: a model that says 0.5."""
     m = Model.start()
     if not len(labels):
@@ -188,7 +189,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, column: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, column: str = "quality", steps: int = STEPS) -> Model:
     """Trains on FIT_CHUNKS chunks, spread over the text, of at most ``rows`` labelled rows of each class."""
     schema = pa.schema([("y", pa.int32()), ("id", pa.int64()), ("chunks", pa.binary())])
 
@@ -201,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, column: str =
             yield batch_of(schema, y=b.column("y"), id=b.column("_cg_id"), chunks=parts)
 
     sample = map_arrow(labelled_sample(docs, labels, column, held_out(F.col("doc_id")), rows), run, "y int, id long, chunks binary").orderBy("id", "y", "chunks").limit(2 * rows).collect()
-    return train([np.frombuffer(r.chunks, np.int16).reshape(-1, CHUNK).astype(np.int64) for r in sample], np.array([r.y for r in sample]))
+    return train([np.frombuffer(r.chunks, np.int16).reshape(-1, CHUNK).astype(np.int64) for r in sample], np.array([r.y for r in sample]), steps)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

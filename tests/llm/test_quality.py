@@ -58,7 +58,7 @@ def test_held_out_accuracy(spark):
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a fine text", 0.1), (1, "a fine text", 0.2), (None, None, 0.3), (2, "", 0.4), (3, "x " * 200_000, 0.5)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1), (None, 0), (2, None), (3, 0)], "doc_id long, quality int")
-    m = Q.fit(docs, labels)
+    m = Q.fit(docs, labels, steps=50)
     out = Q.score(docs, m).collect()
     assert len(out) == 5 and all(0 <= r.score <= 1 for r in out)
     none = Q.fit(docs, labels.limit(0))
