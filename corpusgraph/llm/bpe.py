@@ -13,7 +13,6 @@ import hashlib
 import heapq
 import json
 import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -25,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import batch_of, map_arrow, slices, stage_table
+from corpusgraph.llm.common import batch_of, map_arrow, share_bytes, slices, stage_table
 
 #: Fixed value: the published pattern of byte-level pre-tokenizers
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -217,15 +216,14 @@ class Transducer:
         return {"arc": arc, "target": target.astype(np.int32), "number": num.astype(np.int32), "final": np.array([final[s] for s in order], np.uint8), "offset": np.r_[0, np.cumsum(lengths)].astype(np.int64), "ids": np.array([i for w in words for i in entries[w]], np.int32)}
 
     @staticmethod
-    def save(tables: dict[str, np.ndarray], path: str) -> None:
-        head, at = [], 0
+    def dump(tables: dict[str, np.ndarray]) -> bytes:
+        """A file: a head of 1024 bytes that says where each table stands, then the tables."""
+        head, at, parts = [], 0, []
         for n in Transducer.FIELDS:
             head.append((n, tables[n].dtype.str, len(tables[n]), at))
-            at += -(-tables[n].nbytes // 64) * 64
-        with open(path, "wb") as f:
-            f.write(json.dumps(head).encode().ljust(1024))
-            for n in Transducer.FIELDS:
-                f.write(tables[n].tobytes().ljust(-(-tables[n].nbytes // 64) * 64, b"\0"))
+            parts.append(tables[n].tobytes().ljust(-(-tables[n].nbytes // 64) * 64, b"\0"))
+            at += len(parts[-1])
+        return json.dumps(head).encode().ljust(1024) + b"".join(parts)
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
@@ -361,10 +359,7 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> str:
     words = [w for w in dict.fromkeys(p for t in top for p in vocabulary.words(" " + t)) if w not in vocabulary.special]
     raw = [w.encode() for w in words]
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    local = os.path.join(tempfile.mkdtemp(), name)
-    Transducer.save(Transducer.compile(dict(zip(raw, vocabulary.merge_many(raw), strict=True))), local)
-    docs.sparkSession.sparkContext.addFile(local)
-    return name
+    return share_bytes(docs.sparkSession, name, Transducer.dump(Transducer.compile(dict(zip(raw, vocabulary.merge_many(raw), strict=True)))))
 
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])

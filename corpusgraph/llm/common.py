@@ -33,6 +33,18 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def share_bytes(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes a small file into the shared folder and has Spark hand it to every executor; tasks find it by SparkFiles.get(name)."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/corpusgraph/{name}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(target)
+    for at in range(0, len(data), 1 << 20):
+        out.write(bytearray(data[at : at + (1 << 20)]))
+    out.close()
+    spark.sparkContext.addFile(fs.makeQualified(target).toString())
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
