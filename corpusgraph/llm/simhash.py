@@ -202,7 +202,8 @@ BANDS = 16  # pairs of min-hashes; texts of similarity 0.8 share none of them on
 BINS = 512  # of a sketch: its similarity has a standard deviation of 0.018 at most
 MARGIN = 0.06  # nearer to the wanted similarity than this, exact sets decide instead of sketches
 NEAR_BITS, FAR_BITS = 22, 28  # bits by which fingerprints of similarity 0.8 and 0.6 differ at most
-HOT = 20_000  # nodes of a shard; larger ones are dealt out, then their leaders meet
+HOT = 8_000  # nodes of a shard; larger ones are dealt out, then their leaders meet
+PEEK = 64  # bins of a sketch that are looked at first
 _RNG = np.random.default_rng(8)
 _MUL = _RNG.integers(0, 1 << 63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, 2 * BANDS, dtype=np.uint64)
@@ -218,13 +219,12 @@ def sketch_of(u: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two texts' shingle sets from their sketches."""
-    any_ = int(((a > 0) | (b > 0)).sum())
-    if not any_:
-        return 1.0
-    same = int(((a == b) & (a > 0)).sum()) / any_
-    return max(0.0, (same - 1 / 255) / (1 - 1 / 255))
+def similarities(many: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Jaccard similarities of shingle sets from their sketches: rows of ``many`` with ``one``."""
+    full = many > 0
+    any_ = (full | (one > 0)).sum(1)
+    same = ((many == one) & full).sum(1) / np.maximum(any_, 1)
+    return np.where(any_ == 0, 1.0, np.maximum(0.0, (same - 1 / 255) / (1 - 1 / 255)))
 
 
 def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -262,33 +262,54 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text"), run, "doc_id long, text_key long, fp long, node long, keys array<long>, sketch binary")
 
 
-class LeaderTree(BKTree):
-    """A BK-tree of leaders; search may reach further than insertion needs."""
+class Rows:
+    """Growing arrays of fingerprints and numbers."""
 
-    def near(self, x: int, radius: int) -> list[int]:
-        found, todo = [], [0] if self.value else []
-        while todo:
-            i = todo.pop()
-            d = (self.value[i] ^ x).bit_count()
-            if d <= radius:
-                found.append(i)
-            todo += [k for e, k in self.children[i].items() if abs(e - d) <= radius]
-        return found
+    __slots__ = ("fp", "number", "size")
+
+    def __init__(self) -> None:
+        self.fp, self.number, self.size = np.zeros(4, np.uint64), np.zeros(4, np.int64), 0
+
+    def add(self, fp: np.uint64, number: int) -> None:
+        if self.size == len(self.fp):
+            self.fp, self.number = np.resize(self.fp, 2 * self.size), np.resize(self.number, 2 * self.size)
+        self.fp[self.size], self.number[self.size] = fp, number
+        self.size += 1
 
-    def insert(self, x: int) -> None:
-        self.add(x, -1)
+    def within(self, fp: np.uint64, radius: int) -> np.ndarray:
+        return self.number[: self.size][np.bitwise_count(self.fp[: self.size] ^ fp) <= radius]
 
 
-def leader_links(fps: list[int], sketches: list[np.ndarray], least: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[int]]:
-    """(links, doubtful links, leaders) of a shard's nodes in order.
+class LeaderTree:
+    """A BK-tree with wide leaves: children of the root by their Hamming distance to it, each a row of fingerprints that is compared at once."""
+
+    def __init__(self) -> None:
+        self.root: int | None = None
+        self.children: dict[int, Rows] = {}
+
+    def add(self, fp: int, number: int) -> None:
+        if self.root is None:
+            self.root = fp
+        self.children.setdefault((self.root ^ fp).bit_count(), Rows()).add(np.uint64(fp), number)
+
+    def near(self, fp: int, radius: int) -> np.ndarray:
+        if self.root is None:
+            return np.zeros(0, np.int64)
+        d, x = (self.root ^ fp).bit_count(), np.uint64(fp)
+        found = [rows.within(x, radius) for e, rows in self.children.items() if abs(e - d) <= radius]
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def leader_links(fps: list[int], sketches: np.ndarray, least: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[int]]:
+    """(links, doubtful links, leaders) of a shard's nodes in order; sketches has a row for each.
 
     A node that is surely similar to a leader joins it; one that is not, but to a member of a leader, is linked to the member and leads itself. As members
     are within ``least`` of their leader, the leader of a similar member isn't far off (distances of sets add up), and only such leaders' members are
     looked at. Pairs at the threshold are doubtful; a node that has only such links leads itself, so that no sure link is hidden by them.
     """
-    tree = LeaderTree()
+    every, followed = LeaderTree(), LeaderTree()  # all leaders, and those with members
     leaders: list[int] = []
-    members: list[list[int]] = []
+    members: dict[int, Rows] = {}
     root = list(range(len(fps)))
     links: list[tuple[int, int]] = []
     doubtful: list[tuple[int, int]] = []
@@ -307,31 +328,49 @@ def leader_links(fps: list[int], sketches: list[np.ndarray], least: float) -> tu
 
     sure, low = least + MARGIN, least - MARGIN
     far = max(0.0, 2 * least - 1) - MARGIN
+
+    def measured(numbers: np.ndarray, i: int, floor: float) -> list[tuple[int, float]]:
+        """(number, similarity) of the nodes that reach the floor; a look at a part of the sketches comes first."""
+        if len(numbers) > 8:
+            part, one = sketches[numbers, :PEEK], sketches[i, :PEEK]
+            few = ((part > 0) | (one > 0)).sum(1) < 24
+            numbers = numbers[few | (similarities(part, one) >= floor - 0.4)]
+        if not len(numbers):
+            return []
+        s = similarities(sketches[numbers], sketches[i])
+        keep = s >= floor
+        return list(zip(numbers[keep].tolist(), s[keep].tolist(), strict=True))
+
     for i, x in enumerate(fps):
-        seen = [(similarity_of(sketches[leaders[k]], sketches[i]), k) for k in sorted(tree.near(x, FAR_BITS))]
         home = -1
-        for s, k in seen:
+        maybe: dict[int, float] = {}
+        for j, s in measured(every.near(x, NEAR_BITS), i, low):
             if s >= sure:
-                join(leaders[k], i)
-                home = k if home < 0 else home
-        for s, k in seen:
-            if far <= s < sure and find(leaders[k]) != find(i):
-                best = (s, leaders[k]) if s >= low else (0.0, -1)
-                for j in members[k]:
-                    if (fps[j] ^ x).bit_count() <= NEAR_BITS and (t := similarity_of(sketches[j], sketches[i])) > best[0] and t >= low:
-                        best = (t, j)
-                        if t >= sure:
-                            break
-                if best[0] >= sure:
-                    join(best[1], i)
-                elif best[1] >= 0:
-                    doubtful.append((best[1], i))
+                join(j, i)
+                home = j if home < 0 else home
+            else:
+                maybe[j] = s
+        for j, _ in measured(followed.near(x, FAR_BITS), i, far):
+            if find(j) == find(i):
+                continue
+            best = (maybe.get(j, 0.0), j)
+            for k, s in measured(members[j].within(np.uint64(x), NEAR_BITS), i, low):
+                best = max(best, (s, k))
+            if best[0] >= sure:
+                join(best[1], i)
+                maybe.pop(j, None)
+            elif best[0] >= low:
+                maybe.pop(j, None)
+                maybe[best[1]] = best[0]
+        doubtful += [(j, i) for j in maybe if find(j) != find(i)]
         if home >= 0:
-            members[home].append(i)
+            if home not in members:
+                members[home] = Rows()
+                followed.add(fps[home], home)
+            members[home].add(np.uint64(x), i)
         else:
-            tree.insert(x)
+            every.add(x, i)
             leaders.append(i)
-            members.append([])
     return links, doubtful, leaders
 
 
@@ -345,7 +384,7 @@ def _linked_shards(least: float):
         def done() -> Iterator[pa.RecordBatch]:
             if len(held) > 1 or held and held[0][2] > 1:
                 nodes, key = [r[3] for r in held], held[0][0]
-                links, doubtful, leaders = leader_links([r[4] & (1 << 64) - 1 for r in held], [np.frombuffer(r[5], np.uint8) for r in held], least)
+                links, doubtful, leaders = leader_links([r[4] & (1 << 64) - 1 for r in held], np.frombuffer(b"".join(r[5] for r in held), np.uint8).reshape(-1, BINS), least)
                 rows = [(nodes[i], nodes[j], key, 0) for i, j in links] + [(nodes[i], nodes[j], key, 1) for i, j in doubtful]
                 rows += [(nodes[i], nodes[i], key, 2) for i in leaders] if held[0][2] > 1 else []
                 if rows:
@@ -393,23 +432,26 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, ho
 
     Texts of one shingle set are one node. Nodes that share a pair of min-hashes meet in a shard, where a BK-tree of leaders over their SimHash fingerprints
     finds candidates; sketches decide clear cases and the sets themselves those within MARGIN of the threshold. A shard above ``hot`` nodes is dealt out by the nodes' hash,
-    and its parts' leaders meet in a second round. Nulls, repeats and empty texts are as in near_duplicate_classes; all texts without words are one class.
+    and its parts' leaders meet in a second round under two pairs of min-hashes. Nulls, repeats and empty texts are as in near_duplicate_classes; all texts without words are one class.
     """
     n = partitions(docs.sparkSession)
     signed = stage_table(_signatures(docs, words), "signatures")
     nodes = stage_table(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / hot).cast("int").alias("salts"))
-    meeting = keyed.join(shared, "key").withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("salts")).cast("int"))
     schema = "a long, b long, key long, kind int"
 
-    def linked_rows(rows: DataFrame) -> DataFrame:
+    def meeting(keyed: DataFrame, most: int | None) -> DataFrame:
+        """Links within the keys that several nodes share; keys of more than ``most`` nodes are dealt out."""
+        shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        shared = shared.select("key", (F.lit(1) if most is None else F.ceil(F.col("c") / most)).cast("int").alias("salts"))
+        rows = keyed.join(shared, "key").withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("salts")).cast("int"))
         full = rows.join(nodes.select("node", "first_id", "fp", "sketch"), "node").select("key", "salt", "salts", "node", "first_id", "fp", "sketch")
         return map_arrow(full.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "first_id", "node"), _linked_shards(similarity), schema)
 
-    first = stage_table(linked_rows(meeting), "shards")
-    leaders = first.where("kind = 2").select("key", F.lit(0).alias("salt"), F.lit(1).alias("salts"), F.col("a").alias("node"))
-    links_ = stage_table(first.where("kind < 2").unionByName(linked_rows(leaders)), "links")
+    first = stage_table(meeting(nodes.select("node", F.explode("keys").alias("key")).distinct(), hot), "shards")
+    # leaders of parts of a large shard meet where they also share another pair of min-hashes: copies do, texts with a common passage rarely
+    leaders = first.where("kind = 2").select(F.col("a").alias("node"), F.col("key").alias("large")).join(nodes.select("node", "keys"), "node")
+    leaders = leaders.select("node", "large", F.explode("keys").alias("other")).where("large <> other").select("node", F.xxhash64("large", "other").alias("key")).distinct()
+    links_ = stage_table(first.where("kind < 2").unionByName(meeting(leaders, None)), "links")
     clear = links_.where("kind = 0").select("a", "b")
     pairs = links_.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = clear.unionByName(_exact_links(docs, signed, pairs, words, similarity))
