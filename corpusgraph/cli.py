@@ -4,6 +4,7 @@
     python -m corpusgraph.cli query --store STORE "text" [-k 5] [--language cpp] [--kind code] [--rerank]
     python -m corpusgraph.cli stats --store STORE
     python -m corpusgraph.cli graph callers|callees|hierarchy|deps|dependents|impact|stats|export --store STORE [--entity X] [--format dot]
+    python -m corpusgraph.cli graph watch --path SRC --store STORE [--seconds 5]
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import argparse
 import os
 import re
+import time
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,7 @@ from corpusgraph.operators import enrich, graph, retrieval
 from corpusgraph.operators.relations import snapshot_diff
 from corpusgraph.operators.vector import squared_l2
 from corpusgraph.sources import code_graph, files, parsers, sinks
+from corpusgraph.streaming.watch import POLL_SECONDS
 
 
 def session() -> SparkSession:
@@ -97,6 +101,23 @@ def graph_command(spark: SparkSession, store: str, what: str, entity: str | None
     return found.join(nodes.select("id", "name", "entity_type", "file_path"), "id", "left")
 
 
+def watch_folder(spark: SparkSession, path: str, store: str, ticks: int | None = None, seconds: float = POLL_SECONDS) -> Iterator[dict[str, int]]:
+    """Looks at a folder again and again; where files were added, updated or removed the store is built anew. Yields the counts of changes of each look."""
+    n = 0
+    while ticks is None or n < ticks:
+        if n:
+            time.sleep(seconds)
+        root = os.path.abspath(path) if "://" not in path else path
+        project = spark.range(1).select(F.substring(F.sha2(F.lit(root).cast("binary"), 256), 1, 12).alias("p")).first().p
+        found = files.with_text(files.discover(spark, root)).withColumn("project_id", F.lit(project))
+        before = files.table_or_empty(spark, f"{store}/hashes", "project_id string, file_path string, content_hash string").where(F.col("project_id") == project)
+        changed = {r.status: r.n for r in snapshot_diff(before, found).where("status <> 'skipped'").groupBy("status").agg(F.count("*").alias("n")).collect()}
+        if changed:
+            index(spark, path, store, languages=",".join(files.EXTENSIONS))
+        yield changed
+        n += 1
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="corpusgraph")
     sub = p.add_subparsers(dest="command", required=True)
@@ -119,7 +140,10 @@ def main(argv: list[str] | None = None) -> None:
     a = sub.add_parser("stats")
     a.add_argument("--store", required=True)
     a = sub.add_parser("graph")
-    a.add_argument("what", choices=["callers", "callees", "hierarchy", "deps", "dependents", "impact", "stats", "export"])
+    a.add_argument("what", choices=["callers", "callees", "hierarchy", "deps", "dependents", "impact", "stats", "export", "watch"])
+    a.add_argument("--path")
+    a.add_argument("--ticks", type=int, help="watch: how often to look; without it, for ever")
+    a.add_argument("--seconds", type=float, default=POLL_SECONDS)
     a.add_argument("--store", required=True)
     a.add_argument("--entity")
     a.add_argument("--depth", type=int, default=3)
@@ -144,6 +168,9 @@ def main(argv: list[str] | None = None) -> None:
             hits.select("score", "file_path", "chunk_type", "name", "line_start", "line_end").show(truncate=False)
     elif x.command == "stats":
         spark.read.parquet(f"{x.store}/chunks").groupBy("collection", "project_name").agg(F.count("*").alias("chunks")).orderBy("collection", "project_name").show(truncate=False)
+    elif x.what == "watch":
+        for counts in watch_folder(spark, x.path, x.store, x.ticks, x.seconds):
+            print(", ".join(f"{k} {v}" for k, v in sorted(counts.items())) or "nothing changed")
     else:
         out = graph_command(spark, x.store, x.what, x.entity, x.depth, form=x.format)
         if isinstance(out, str):

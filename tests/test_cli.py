@@ -31,3 +31,14 @@ def test_index_query_graph(spark, tmp_path):
     assert cli.graph_command(spark, store, "stats").where("name = 'nodes'").first().n == 7
     assert "helper" in cli.graph_command(spark, store, "export", form="html")
     assert cli.dry_run(spark.createDataFrame([(".py", "a\nb")], "ext string, source string")).first().lines == 2
+
+
+def test_watch(spark, tmp_path):
+    src = tmp_path / "w"
+    src.mkdir()
+    (src / "a.py").write_text("def a():\n    pass\n")
+    looks = cli.watch_folder(spark, str(src), str(tmp_path / "s"), ticks=3, seconds=0)
+    assert next(looks) == {"added": 1} and next(looks) == {}
+    (src / "a.py").unlink()
+    (src / "b.md").write_text("# B\n")
+    assert next(looks) == {"added": 1, "removed": 1}
