@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN = os.path.join(tempfile.gettempdir(), "checkpoints", f"corpusgraph-{os.getpid()}")
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. In local mode without that setting a temporary one, which goes with the process; on a cluster an error."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "corpusgraph")
-    return f"{path.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not os.path.isdir(_OWN):
+        os.makedirs(_OWN)
+        atexit.register(shutil.rmtree, _OWN, ignore_errors=True)
+    return f"file://{_OWN}"
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
