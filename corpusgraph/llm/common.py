@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,31 +9,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only in local mode without it."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir")
-    if not path:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            path = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "corpusgraph")
-        else:
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+from corpusgraph.sources.scratch import shared_root as shared_dir
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and rereads it: lineage ends here and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/corpusgraph/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/corpusgraph/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def share_bytes(spark: SparkSession, name: str, data: bytes) -> str:
     """Writes a small file into the shared folder and has Spark hand it to every executor; tasks find it by SparkFiles.get(name)."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/corpusgraph/{name}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpusgraph/{name}")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(target)
     for at in range(0, len(data), 1 << 20):

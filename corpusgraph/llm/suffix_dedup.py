@@ -352,7 +352,7 @@ def matches(docs: DataFrame, width: int = WIDTH, carry: bool = False) -> tuple[D
     occ = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))) - 1 if has_repeats(base, "doc_id") else F.lit(0)
     name = f"cg_texts_{uuid.uuid4().hex}"
     base = base.withColumn("occ", occ.cast("int"))
-    base.repartition(n, "doc_id").write.bucketBy(n, "doc_id").option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/corpusgraph/{name}").format("parquet").saveAsTable(name)
+    base.repartition(n, "doc_id").write.bucketBy(n, "doc_id").option("compression", "zstd").option("path", f"{shared_dir(spark)}/corpusgraph/{name}").format("parquet").saveAsTable(name)
     texts = spark.table(name)
     texts_only = texts.select("doc_id", "occ", "text")
     sent = map_arrow(texts_only, _find_runs(shards, width), _SENT_SQL).repartition(n, "shard").sortWithinPartitions("shard")
