@@ -305,26 +305,31 @@ def leader_links(fps: list[int], sketches: np.ndarray, least: float) -> tuple[li
 
     A node that is surely similar to a leader joins it; one that is not, but to a member of a leader, is linked to the member and leads itself. As members
     are within ``least`` of their leader, the leader of a similar member isn't far off (distances of sets add up), and only such leaders' members are
-    looked at. Pairs at the threshold are doubtful; a node that has only such links leads itself, so that no sure link is hidden by them.
+    looked at. Pairs at the threshold are doubtful; a node that has only such links leads itself, so that no sure link is hidden by them. Of doubtful
+    links the likeliest that connects what isn't connected yet is given, so that both lists are shorter than the shard.
     """
     every, followed = LeaderTree(), LeaderTree()  # all leaders, and those with members
     leaders: list[int] = []
     members: dict[int, Rows] = {}
-    root = list(range(len(fps)))
+    root, loose = list(range(len(fps))), list(range(len(fps)))  # classes by sure links, and by all
     links: list[tuple[int, int]] = []
     doubtful: list[tuple[int, int]] = []
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+    def find(i: int, up: list[int] = root) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
         return i
 
+    def unite(a: int, b: int, up: list[int]) -> bool:
+        x, y = find(a, up), find(b, up)
+        up[max(x, y)] = min(x, y)
+        return x != y
+
     def join(a: int, b: int) -> None:
-        x, y = find(a), find(b)
-        if x != y:
+        unite(a, b, loose)
+        if unite(a, b, root):
             links.append((a, b))
-            root[max(x, y)] = min(x, y)
 
     sure, low = least + MARGIN, least - MARGIN
     far = max(0.0, 2 * least - 1) - MARGIN
@@ -362,7 +367,9 @@ def leader_links(fps: list[int], sketches: np.ndarray, least: float) -> tuple[li
             elif best[0] >= low:
                 maybe.pop(j, None)
                 maybe[best[1]] = best[0]
-        doubtful += [(j, i) for j in maybe if find(j) != find(i)]
+        for j in sorted(maybe, key=lambda j: -maybe[j]):
+            if unite(j, i, loose):
+                doubtful.append((j, i))
         if home >= 0:
             if home not in members:
                 members[home] = Rows()
