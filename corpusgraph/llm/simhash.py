@@ -300,35 +300,45 @@ class LeaderTree:
         return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def leader_links(fps: list[int], sketches: np.ndarray, least: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[int]]:
-    """(links, doubtful links, leaders) of a shard's nodes in order; sketches has a row for each.
+class Classes:
+    """Disjoint sets of numbers."""
 
-    A node that is surely similar to a leader joins it; one that is not, but to a member of a leader, is linked to the member and leads itself. As members
-    are within ``least`` of their leader, the leader of a similar member isn't far off (distances of sets add up), and only such leaders' members are
-    looked at. Pairs at the threshold are doubtful; a node that has only such links leads itself, so that no sure link is hidden by them. Of doubtful
-    links the likeliest that connects what isn't connected yet is given, so that both lists are shorter than the shard.
-    """
-    every, followed = LeaderTree(), LeaderTree()  # all leaders, and those with members
-    leaders: list[int] = []
-    members: dict[int, Rows] = {}
-    root, loose = list(range(len(fps))), list(range(len(fps)))  # classes by sure links, and by all
-    links: list[tuple[int, int]] = []
-    doubtful: list[tuple[int, int]] = []
+    __slots__ = ("up",)
 
-    def find(i: int, up: list[int] = root) -> int:
+    def __init__(self, size: int) -> None:
+        self.up = list(range(size))
+
+    def find(self, i: int) -> int:
+        up = self.up
         while up[i] != i:
             up[i] = up[up[i]]
             i = up[i]
         return i
 
-    def unite(a: int, b: int, up: list[int]) -> bool:
-        x, y = find(a, up), find(b, up)
-        up[max(x, y)] = min(x, y)
+    def unite(self, a: int, b: int) -> bool:
+        x, y = self.find(a), self.find(b)
+        self.up[max(x, y)] = min(x, y)
         return x != y
 
+
+def leader_links(fps: list[int], sketches: np.ndarray, least: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """(links, doubtful nodes, leaders) of a shard's nodes in order; sketches has a row for each.
+
+    A node that is surely similar to a leader joins it; one that is not, but to a member of a leader, is linked to the member and leads itself. As members
+    are within ``least`` of their leader, the leader of a similar member isn't far off (distances of sets add up), and only such leaders' members are
+    looked at. Pairs at the threshold are doubtful; a node that has only such links leads itself, so that no sure link is hidden by them. Both nodes of
+    every doubtful pair between classes are given, so that their sets can decide each such pair and no list is longer than the shard.
+    """
+    every, followed = LeaderTree(), LeaderTree()  # all leaders, and those with members
+    leaders: list[int] = []
+    members: dict[int, Rows] = {}
+    classes = Classes(len(fps))
+    find = classes.find
+    links: list[tuple[int, int]] = []
+    doubtful: set[int] = set()
+
     def join(a: int, b: int) -> None:
-        unite(a, b, loose)
-        if unite(a, b, root):
+        if classes.unite(a, b):
             links.append((a, b))
 
     sure, low = least + MARGIN, least - MARGIN
@@ -348,28 +358,25 @@ def leader_links(fps: list[int], sketches: np.ndarray, least: float) -> tuple[li
 
     for i, x in enumerate(fps):
         home = -1
-        maybe: dict[int, float] = {}
+        maybe: list[int] = []
         for j, s in measured(every.near(x, NEAR_BITS), i, low):
             if s >= sure:
                 join(j, i)
                 home = j if home < 0 else home
             else:
-                maybe[j] = s
+                maybe.append(j)
         for j, _ in measured(followed.near(x, FAR_BITS), i, far):
             if find(j) == find(i):
                 continue
-            best = (maybe.get(j, 0.0), j)
-            for k, s in measured(members[j].within(np.uint64(x), NEAR_BITS), i, low):
-                best = max(best, (s, k))
-            if best[0] >= sure:
-                join(best[1], i)
-                maybe.pop(j, None)
-            elif best[0] >= low:
-                maybe.pop(j, None)
-                maybe[best[1]] = best[0]
-        for j in sorted(maybe, key=lambda j: -maybe[j]):
-            if unite(j, i, loose):
-                doubtful.append((j, i))
+            close = measured(members[j].within(np.uint64(x), NEAR_BITS), i, low)
+            k, s = max(close, key=lambda c: c[1], default=(j, 0.0))
+            if s >= sure:
+                join(k, i)
+            else:
+                maybe += [k for k, _ in close]
+        maybe = [j for j in maybe if find(j) != find(i)]
+        if maybe:
+            doubtful.update(maybe, (i,))
         if home >= 0:
             if home not in members:
                 members[home] = Rows()
@@ -378,11 +385,11 @@ def leader_links(fps: list[int], sketches: np.ndarray, least: float) -> tuple[li
         else:
             every.add(x, i)
             leaders.append(i)
-    return links, doubtful, leaders
+    return links, sorted(doubtful), leaders
 
 
 def _linked_shards(least: float):
-    """Rows sorted by (key, salt, first_id): links between nodes (kind 0), doubtful ones (1), and the leaders of shards that were dealt out (2)."""
+    """Rows sorted by (key, salt, first_id): links between nodes (kind 0), nodes of doubtful pairs (1), and the leaders of shards that were dealt out (2)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("kind", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +399,7 @@ def _linked_shards(least: float):
             if len(held) > 1 or held and held[0][2] > 1:
                 nodes, key = [r[3] for r in held], held[0][0]
                 links, doubtful, leaders = leader_links([r[4] & (1 << 64) - 1 for r in held], np.frombuffer(b"".join(r[5] for r in held), np.uint8).reshape(-1, BINS), least)
-                rows = [(nodes[i], nodes[j], key, 0) for i, j in links] + [(nodes[i], nodes[j], key, 1) for i, j in doubtful]
+                rows = [(nodes[i], nodes[j], key, 0) for i, j in links] + [(nodes[i], nodes[i], key, 1) for i in doubtful]
                 rows += [(nodes[i], nodes[i], key, 2) for i in leaders] if held[0][2] > 1 else []
                 if rows:
                     yield batch_of(schema, **dict(zip(("a", "b", "key", "kind"), zip(*rows, strict=True), strict=True)))
@@ -408,10 +415,65 @@ def _linked_shards(least: float):
     return run
 
 
-def _exact_links(docs: DataFrame, signed: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose shingle sets are similar enough. Only the texts of these nodes are read in full."""
-    one = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = signed.join(one, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("k"))
+def exact_links(roots: list[int], sketches: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links between a shard's nodes of different roots whose sets (sorted distinct hashes) are similar enough: a pair is left out only if links already connect it
+    or its sketches tell that it is surely not similar."""
+    first: dict[int, int] = {}
+    classes = Classes(len(roots))
+    for i, r in enumerate(roots):
+        classes.unite(first.setdefault(r, i), i)
+    links = []
+    for i in range(1, len(roots)):
+        s = similarities(sketches[:i], sketches[i])
+        near = np.flatnonzero(s >= least - MARGIN)
+        todo = near[np.argsort(-s[near], kind="stable")].tolist()
+        size = 1
+        while todo := [j for j in todo if classes.find(j) != classes.find(i)]:
+            some, todo = todo[:size], todo[size:]
+            size = min(64, 2 * size)
+            many = np.concatenate([sets[j] for j in some])
+            lengths = np.array([len(sets[j]) for j in some])
+            same = np.zeros(len(some), np.int64)
+            if len(sets[i]) and len(many):
+                hit = sets[i][np.minimum(np.searchsorted(sets[i], many), len(sets[i]) - 1)] == many
+                same = np.diff(np.r_[0, np.cumsum(hit)][np.r_[0, np.cumsum(lengths)]])
+            for k in np.flatnonzero(same >= least * (lengths + len(sets[i]) - same) - 1e-9):
+                if classes.unite(some[k], i):
+                    links.append((some[k], i))
+    return links
+
+
+def _settled_shards(least: float):
+    """Rows sorted by key: links between the roots of nodes, by their sets."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                roots = [r[1] for r in held]
+                found = exact_links(roots, np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(-1, BINS), [np.frombuffer(r[3], np.uint64) for r in held], least)
+                if found:
+                    yield batch_of(schema, a=[roots[i] for i, _ in found], b=[roots[j] for _, j in found])
+
+        for b in slices(batches, 512):
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "root", "sketch", "hashes")), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield from done()
+                    held.clear()
+                held.append(row)
+        yield from done()
+
+    return run
+
+
+def _settled(docs: DataFrame, signed: DataFrame, nodes: DataFrame, marks: DataFrame, rooted: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b): links between roots, from the sets of the doubtful nodes (node, key) that share a key. Only the texts of these nodes are read in full."""
+    marks = marks.distinct().join(rooted.select("node", "root"), "node")
+    open_ = marks.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    marks = stage_table(marks.join(open_, "key", "left_semi"), "doubtful")
+    wanted = signed.join(marks.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("k"))
     texts = docs.select(F.xxhash64("text").alias("k"), "text").join(wanted, "k").select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,25 +482,21 @@ def _exact_links(docs: DataFrame, signed: DataFrame, pairs: DataFrame, words: in
             yield batch_of(schema, node=b.column("node"), hashes=[np.unique(_shingle_hashes(t, words)).tobytes() for t in text_bytes(b.column("text"))])
 
     every = map_arrow(texts, sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
-    both = pairs.join(every.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(every.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    full = marks.join(nodes.select("node", "first_id", "sketch").join(every, "node"), "node").select("key", "first_id", "node", "root", "sketch", "hashes")
+    return map_arrow(full.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "first_id", "node"), _settled_shards(least), "a long, b long")
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
-            ok = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(same >= least * (len(u) + len(v) - same) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
-    return map_arrow(both.select("a", "b", "x", "y"), judge, "a long, b long")
+def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, first_id, root) with the roots that edges (a, b) between roots connect made one."""
+    comps = connected_components(edges).select(F.col("node").alias("_cg_node"), F.col("root").alias("top"))
+    return nodes.join(comps, F.col("root") == F.col("_cg_node"), "left").select("node", "first_id", F.coalesce("top", "root").alias("root"))
 
 
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
     """One row per document row: doc_id, text_key, fingerprint, component_id; texts link at a Jaccard similarity of their shingle sets of ``similarity`` or more.
 
     Texts of one shingle set are one node. Nodes that share a pair of min-hashes meet in a shard, where a BK-tree of leaders over their SimHash fingerprints
-    finds candidates; sketches decide clear cases and the sets themselves those within MARGIN of the threshold. A shard above ``hot`` nodes is dealt out by the nodes' hash,
+    finds candidates; sketches decide clear cases and the sets themselves, brought to the shard, every pair between classes within MARGIN of the threshold. A shard above ``hot`` nodes is dealt out by the nodes' hash,
     and its parts' leaders meet in a second round under two pairs of min-hashes. Nulls, repeats and empty texts are as in near_duplicate_classes; all texts without words are one class.
     """
     n = partitions(docs.sparkSession)
@@ -459,11 +517,9 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, ho
     leaders = first.where("kind = 2").select(F.col("a").alias("node"), F.col("key").alias("large")).join(nodes.select("node", "keys"), "node")
     leaders = leaders.select("node", "large", F.explode("keys").alias("other")).where("large <> other").select("node", F.xxhash64("large", "other").alias("key")).distinct()
     links_ = stage_table(first.where("kind < 2").unionByName(meeting(leaders, None)), "links")
-    clear = links_.where("kind = 0").select("a", "b")
-    pairs = links_.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = clear.unionByName(_exact_links(docs, signed, pairs, words, similarity))
-    comps = connected_components(edges).select(F.col("node").alias("_cg_node"), "root")
-    rooted = nodes.select("node", "first_id").join(comps, F.col("node") == F.col("_cg_node"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    rooted = stage_table(_rooted(nodes.select("node", "first_id", F.col("node").alias("root")), links_.where("kind = 0").select("a", "b")), "roots")
+    marks = links_.where("kind = 1").select(F.col("a").alias("node"), "key")
+    rooted = _rooted(rooted, _settled(docs, signed, nodes, marks, rooted, words, similarity))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("node").alias("k"), "component_id")
     out = signed.select("doc_id", "text_key", "fp", "node").join(named, F.col("node") == F.col("k"))

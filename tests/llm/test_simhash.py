@@ -169,3 +169,20 @@ def test_sketches():
             one, two = (np.frombuffer(S.sketch_of(x), np.uint8) for x in (a, b))
             got = S.similarities(one[None], two)[0]
             assert abs(got - true) < 0.09
+
+
+def test_a_doubtful_pair_that_fails_hides_no_other(spark):
+    """Families that share boilerplate, with pairs on both sides of 0.8 that sketches can't tell apart."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for f in range(12):
+        base = [r.choice(words) for _ in range(420)]
+        for k in range(14):
+            t, at = list(base), r.randrange(8)
+            for q in range(r.randint(6, 9)):  # each changed word takes five shingles
+                t[(at + 50 * q + r.randint(0, 8)) % len(t)] = r.choice(words)
+            rows.append((100 * f + k, " ".join(t)))
+    want = jaccard_components(rows)
+    got = {x.doc_id: x.component_id for x in S.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want, [(i, got[i], want[i]) for i in got if got[i] != want[i]]
