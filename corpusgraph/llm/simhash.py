@@ -201,7 +201,6 @@ def near_duplicate_classes(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataF
 BANDS = 16  # pairs of min-hashes; texts of similarity 0.8 share none of them once in ten million
 BINS = 512  # of a sketch: its similarity has a standard deviation of 0.018 at most
 MARGIN = 0.06  # nearer to the wanted similarity than this, exact sets decide instead of sketches
-NEAR_BITS, FAR_BITS = 22, 28  # bits by which fingerprints of similarity 0.8 and 0.6 differ at most
 HOT = 8_000  # nodes of a shard; larger ones are dealt out, then their leaders meet
 PEEK = 64  # bins of a sketch that are looked at first
 _RNG = np.random.default_rng(8)
@@ -219,12 +218,17 @@ def sketch_of(u: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def _bins(many: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bins that are full and equal in rows of ``many`` and in ``one``, and bins that are full in either; eight are counted at once."""
+    any_ = (many | one) > 0
+    same = (many == one) & any_
+    return tuple(np.bitwise_count(x.view(np.uint64)).sum(1, dtype=np.int64) for x in (same, any_))
+
+
 def similarities(many: np.ndarray, one: np.ndarray) -> np.ndarray:
     """Jaccard similarities of shingle sets from their sketches: rows of ``many`` with ``one``."""
-    full = many > 0
-    any_ = (full | (one > 0)).sum(1)
-    same = ((many == one) & full).sum(1) / np.maximum(any_, 1)
-    return np.where(any_ == 0, 1.0, np.maximum(0.0, (same - 1 / 255) / (1 - 1 / 255)))
+    same, any_ = _bins(many, one)
+    return np.where(any_ == 0, 1.0, np.maximum(0.0, (same / np.maximum(any_, 1) - 1 / 255) / (1 - 1 / 255)))
 
 
 def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -263,41 +267,31 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 class Rows:
-    """Growing arrays of fingerprints and numbers."""
+    """Growing arrays of numbers, the least similarity wanted of each, and the first PEEK bins of their sketches."""
 
-    __slots__ = ("fp", "number", "size")
+    __slots__ = ("number", "floor", "part", "size")
 
     def __init__(self) -> None:
-        self.fp, self.number, self.size = np.zeros(4, np.uint64), np.zeros(4, np.int64), 0
+        self.number, self.floor, self.part, self.size = np.zeros(4, np.int64), np.zeros(4), np.zeros((4, PEEK), np.uint8), 0
 
-    def add(self, fp: np.uint64, number: int) -> None:
-        if self.size == len(self.fp):
-            self.fp, self.number = np.resize(self.fp, 2 * self.size), np.resize(self.number, 2 * self.size)
-        self.fp[self.size], self.number[self.size] = fp, number
+    def add(self, number: int, floor: float, sketch: np.ndarray) -> None:
+        if self.size == len(self.number):
+            self.number, self.floor, self.part = (np.concatenate([x, np.zeros_like(x)]) for x in (self.number, self.floor, self.part))
+        self.number[self.size], self.floor[self.size], self.part[self.size] = number, floor, sketch[:PEEK]
         self.size += 1
 
-    def within(self, fp: np.uint64, radius: int) -> np.ndarray:
-        return self.number[: self.size][np.bitwise_count(self.fp[: self.size] ^ fp) <= radius]
-
-
-class LeaderTree:
-    """A BK-tree with wide leaves: children of the root by their Hamming distance to it, each a row of fingerprints that is compared at once."""
-
-    def __init__(self) -> None:
-        self.root: int | None = None
-        self.children: dict[int, Rows] = {}
-
-    def add(self, fp: int, number: int) -> None:
-        if self.root is None:
-            self.root = fp
-        self.children.setdefault((self.root ^ fp).bit_count(), Rows()).add(np.uint64(fp), number)
-
-    def near(self, fp: int, radius: int) -> np.ndarray:
-        if self.root is None:
-            return np.zeros(0, np.int64)
-        d, x = (self.root ^ fp).bit_count(), np.uint64(fp)
-        found = [rows.within(x, radius) for e, rows in self.children.items() if abs(e - d) <= radius]
-        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    def similar(self, sketches: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, similarities) of those that reach their floor; a look at a part of the sketches comes first."""
+        number, floor = self.number[: self.size], self.floor[: self.size]
+        if self.size > 8:
+            same, any_ = _bins(self.part[: self.size], sketches[i, :PEEK])
+            near = np.flatnonzero((any_ < 24) | (same >= (floor - 0.4) * any_))
+            number, floor = number[near], floor[near]
+        if not len(number):
+            return number, floor
+        s = similarities(sketches[number], sketches[i])
+        keep = s >= floor
+        return number[keep], s[keep]
 
 
 class Classes:
@@ -321,7 +315,7 @@ class Classes:
         return x != y
 
 
-def leader_links(fps: list[int], sketches: np.ndarray, least: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+def leader_links(sketches: np.ndarray, least: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
     """(links, doubtful nodes, leaders) of a shard's nodes in order; sketches has a row for each.
 
     A node that is surely similar to a leader joins it; one that is not, but to a member of a leader, is linked to the member and leads itself. As members
@@ -329,13 +323,14 @@ def leader_links(fps: list[int], sketches: np.ndarray, least: float) -> tuple[li
     looked at. Pairs at the threshold are doubtful; a node that has only such links leads itself, so that no sure link is hidden by them. Both nodes of
     every doubtful pair between classes are given, so that their sets can decide each such pair and no list is longer than the shard.
     """
-    every, followed = LeaderTree(), LeaderTree()  # all leaders, and those with members
+    every = Rows()  # all leaders
     leaders: list[int] = []
     members: dict[int, Rows] = {}
-    classes = Classes(len(fps))
+    followed = np.zeros(len(sketches), bool)  # leaders with members
+    classes = Classes(len(sketches))
     find = classes.find
     links: list[tuple[int, int]] = []
-    doubtful: set[int] = set()
+    doubtful = np.zeros(len(sketches), bool)
 
     def join(a: int, b: int) -> None:
         if classes.unite(a, b):
@@ -343,49 +338,36 @@ def leader_links(fps: list[int], sketches: np.ndarray, least: float) -> tuple[li
 
     sure, low = least + MARGIN, least - MARGIN
     far = max(0.0, 2 * least - 1) - MARGIN
+    place: dict[int, int] = {}  # of a leader among all
 
-    def measured(numbers: np.ndarray, i: int, floor: float) -> list[tuple[int, float]]:
-        """(number, similarity) of the nodes that reach the floor; a look at a part of the sketches comes first."""
-        if len(numbers) > 8:
-            part, one = sketches[numbers, :PEEK], sketches[i, :PEEK]
-            few = ((part > 0) | (one > 0)).sum(1) < 24
-            numbers = numbers[few | (similarities(part, one) >= floor - 0.4)]
-        if not len(numbers):
-            return []
-        s = similarities(sketches[numbers], sketches[i])
-        keep = s >= floor
-        return list(zip(numbers[keep].tolist(), s[keep].tolist(), strict=True))
-
-    for i, x in enumerate(fps):
+    for i in range(len(sketches)):
         home = -1
-        maybe: list[int] = []
-        for j, s in measured(every.near(x, NEAR_BITS), i, low):
-            if s >= sure:
-                join(j, i)
-                home = j if home < 0 else home
-            else:
-                maybe.append(j)
-        for j, _ in measured(followed.near(x, FAR_BITS), i, far):
-            if find(j) == find(i):
-                continue
-            close = measured(members[j].within(np.uint64(x), NEAR_BITS), i, low)
-            k, s = max(close, key=lambda c: c[1], default=(j, 0.0))
-            if s >= sure:
-                join(k, i)
-            else:
-                maybe += [k for k, _ in close]
-        maybe = [j for j in maybe if find(j) != find(i)]
-        if maybe:
-            doubtful.update(maybe, (i,))
+        numbers, values = every.similar(sketches, i)
+        for j in numbers[values >= sure].tolist():
+            join(j, i)
+            home = j if home < 0 else home
+        maybe = [numbers[values >= low]]
+        for j in numbers[followed[numbers]].tolist():
+            if find(j) != find(i):
+                close, t = members[j].similar(sketches, i)
+                if len(t) and t.max() >= sure:
+                    join(int(close[t.argmax()]), i)
+                else:
+                    maybe.append(close)
+        near = np.concatenate(maybe)
+        if any(find(j) != find(i) for j in near.tolist()):
+            doubtful[i] = True
+            doubtful[[j for j in near[~doubtful[near]].tolist() if find(j) != find(i)]] = True
         if home >= 0:
             if home not in members:
-                members[home] = Rows()
-                followed.add(fps[home], home)
-            members[home].add(np.uint64(x), i)
+                members[home], followed[home] = Rows(), True
+                every.floor[place[home]] = far
+            members[home].add(i, low, sketches[i])
         else:
-            every.add(x, i)
+            place[i] = every.size
+            every.add(i, low, sketches[i])
             leaders.append(i)
-    return links, sorted(doubtful), leaders
+    return links, np.flatnonzero(doubtful).tolist(), leaders
 
 
 def _linked_shards(least: float):
@@ -398,14 +380,14 @@ def _linked_shards(least: float):
         def done() -> Iterator[pa.RecordBatch]:
             if len(held) > 1 or held and held[0][2] > 1:
                 nodes, key = [r[3] for r in held], held[0][0]
-                links, doubtful, leaders = leader_links([r[4] & (1 << 64) - 1 for r in held], np.frombuffer(b"".join(r[5] for r in held), np.uint8).reshape(-1, BINS), least)
+                links, doubtful, leaders = leader_links(np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(-1, BINS), least)
                 rows = [(nodes[i], nodes[j], key, 0) for i, j in links] + [(nodes[i], nodes[i], key, 1) for i in doubtful]
                 rows += [(nodes[i], nodes[i], key, 2) for i in leaders] if held[0][2] > 1 else []
                 if rows:
                     yield batch_of(schema, **dict(zip(("a", "b", "key", "kind"), zip(*rows, strict=True), strict=True)))
 
         for b in slices(batches, 4096):
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "salt", "salts", "node", "fp", "sketch")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "salt", "salts", "node", "sketch")), strict=True):
                 if held and held[0][:2] != row[:2]:
                     yield from done()
                     held.clear()
@@ -495,13 +477,13 @@ def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
     """One row per document row: doc_id, text_key, fingerprint, component_id; texts link at a Jaccard similarity of their shingle sets of ``similarity`` or more.
 
-    Texts of one shingle set are one node. Nodes that share a pair of min-hashes meet in a shard, where a BK-tree of leaders over their SimHash fingerprints
-    finds candidates; sketches decide clear cases and the sets themselves, brought to the shard, every pair between classes within MARGIN of the threshold. A shard above ``hot`` nodes is dealt out by the nodes' hash,
+    Texts of one shingle set are one node. Nodes that share a pair of min-hashes meet in a shard, where sketches find
+    candidates among leaders and their members, and decide clear cases and the sets themselves, brought to the shard, every pair between classes within MARGIN of the threshold. A shard above ``hot`` nodes is dealt out by the nodes' hash,
     and its parts' leaders meet in a second round under two pairs of min-hashes. Nulls, repeats and empty texts are as in near_duplicate_classes; all texts without words are one class.
     """
     n = partitions(docs.sparkSession)
     signed = stage_table(_signatures(docs, words), "signatures")
-    nodes = stage_table(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = stage_table(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
     schema = "a long, b long, key long, kind int"
 
     def meeting(keyed: DataFrame, most: int | None) -> DataFrame:
@@ -509,7 +491,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, ho
         shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
         shared = shared.select("key", (F.lit(1) if most is None else F.ceil(F.col("c") / most)).cast("int").alias("salts"))
         rows = keyed.join(shared, "key").withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("salts")).cast("int"))
-        full = rows.join(nodes.select("node", "first_id", "fp", "sketch"), "node").select("key", "salt", "salts", "node", "first_id", "fp", "sketch")
+        full = rows.join(nodes.select("node", "first_id", "sketch"), "node").select("key", "salt", "salts", "node", "first_id", "sketch")
         return map_arrow(full.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "first_id", "node"), _linked_shards(similarity), schema)
 
     first = stage_table(meeting(nodes.select("node", F.explode("keys").alias("key")).distinct(), hot), "shards")

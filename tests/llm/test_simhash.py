@@ -186,3 +186,17 @@ def test_a_doubtful_pair_that_fails_hides_no_other(spark):
     want = jaccard_components(rows)
     got = {x.doc_id: x.component_id for x in S.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want, [(i, got[i], want[i]) for i in got if got[i] != want[i]]
+
+
+def test_similar_texts_with_fingerprints_far_apart_link(spark):
+    """A passage repeated in one of two near copies moves the fingerprint, which counts repeats, not the set."""
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for k in range(20):
+        body, passage = ([r.choice(words) for _ in range(n)] for n in (340, 60))
+        rows += [(2 * k, " ".join(body + passage)), (2 * k + 1, " ".join(body + passage * 20))]
+    far = [k for k in range(20) if (S.simhash64(rows[2 * k][1].encode(), 5) ^ S.simhash64(rows[2 * k + 1][1].encode(), 5)).bit_count() > 22]
+    assert far
+    got = {x.doc_id: x.component_id for x in S.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_components(rows) and all(got[2 * k + 1] == 2 * k for k in far)
