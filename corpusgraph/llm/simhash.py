@@ -201,7 +201,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataF
 BANDS = 16  # pairs of min-hashes; texts of similarity 0.8 share none of them once in ten million
 BINS = 512  # of a sketch: its similarity has a standard deviation of 0.018 at most
 MARGIN = 0.06  # nearer to the wanted similarity than this, exact sets decide instead of sketches
-HOT = 8_000  # nodes of a shard; larger ones are dealt out, then their leaders meet
+HOT = 8_000  # nodes of a shard; larger ones are dealt out, their leaders meet, then parts of different classes meet in pairs
 PEEK = 64  # bins of a sketch that are looked at first
 _RNG = np.random.default_rng(8)
 _MUL = _RNG.integers(0, 1 << 63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -315,8 +315,8 @@ class Classes:
         return x != y
 
 
-def leader_links(sketches: np.ndarray, least: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    """(links, doubtful nodes, leaders) of a shard's nodes in order; sketches has a row for each.
+def leader_links(sketches: np.ndarray, least: float, roots: list[int] | None = None) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """(links, doubtful nodes, leaders) of a shard's nodes in order; sketches has a row for each. Nodes of equal roots are one class from the start.
 
     A node that is surely similar to a leader joins it; one that is not, but to a member of a leader, is linked to the member and leads itself. As members
     are within ``least`` of their leader, the leader of a similar member isn't far off (distances of sets add up), and only such leaders' members are
@@ -329,6 +329,9 @@ def leader_links(sketches: np.ndarray, least: float) -> tuple[list[tuple[int, in
     followed = np.zeros(len(sketches), bool)  # leaders with members
     classes = Classes(len(sketches))
     find = classes.find
+    first: dict[int, int] = {}
+    for i, r in enumerate(roots or ()):
+        classes.unite(first.setdefault(r, i), i)
     links: list[tuple[int, int]] = []
     doubtful = np.zeros(len(sketches), bool)
 
@@ -371,7 +374,10 @@ def leader_links(sketches: np.ndarray, least: float) -> tuple[list[tuple[int, in
 
 
 def _linked_shards(least: float):
-    """Rows sorted by (key, salt, first_id): links between nodes (kind 0), nodes of doubtful pairs (1), and the leaders of shards that were dealt out (2)."""
+    """Rows sorted by (key, salt, first_id): links between nodes (kind 0), nodes of doubtful pairs (1), and the leaders of shards that were dealt out (2).
+
+    Links are between the nodes' roots where these are given. The doubtful of a shard that was dealt out are left to the blocks of its parts.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("kind", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,14 +386,17 @@ def _linked_shards(least: float):
         def done() -> Iterator[pa.RecordBatch]:
             if len(held) > 1 or held and held[0][2] > 1:
                 nodes, key = [r[3] for r in held], held[0][0]
-                links, doubtful, leaders = leader_links(np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(-1, BINS), least)
-                rows = [(nodes[i], nodes[j], key, 0) for i, j in links] + [(nodes[i], nodes[i], key, 1) for i in doubtful]
+                roots = None if held[0][5] is None else [r[5] for r in held]
+                names = roots or nodes
+                links, doubtful, leaders = leader_links(np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(-1, BINS), least, roots)
+                rows = [(names[i], names[j], key, 0) for i, j in links]
+                rows += [(nodes[i], nodes[i], key, 1) for i in doubtful] if held[0][2] == 1 else []
                 rows += [(nodes[i], nodes[i], key, 2) for i in leaders] if held[0][2] > 1 else []
                 if rows:
                     yield batch_of(schema, **dict(zip(("a", "b", "key", "kind"), zip(*rows, strict=True), strict=True)))
 
         for b in slices(batches, 4096):
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "salt", "salts", "node", "sketch")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "salt", "salts", "node", "sketch", "root")), strict=True):
                 if held and held[0][:2] != row[:2]:
                     yield from done()
                     held.clear()
@@ -468,6 +477,28 @@ def _settled(docs: DataFrame, signed: DataFrame, nodes: DataFrame, marks: DataFr
     return map_arrow(full.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "first_id", "node"), _settled_shards(least), "a long, b long")
 
 
+def _blocks(rows: DataFrame, half: int) -> DataFrame:
+    """Rows (key, node, root) of large shards, once for each block of two parts of a shard (key is then the block).
+
+    A class of more than ``half`` nodes has parts of its own, others share parts; every two parts meet, but for those of one and the same class. So a large class costs
+    rows in proportion to what isn't in it, and no pair of different classes is left out.
+    """
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    mixed = sizes.where(F.col("c") <= half).groupBy("key").agg(F.sum("c").alias("m"))
+    own = F.col("c") > half
+    salt = F.when(own, F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / half))).otherwise(F.pmod(F.xxhash64("root", "key"), F.ceil(F.col("m") / half)))
+    dealt = sizes.join(mixed, "key", "left").select("key", "root", "c", "m")
+    dealt = rows.join(dealt, ["key", "root"]).select("key", "node", "root", F.when(own, F.col("root")).alias("owner"), salt.alias("part_salt"))
+    dealt = stage_table(dealt.withColumn("part", F.xxhash64(F.coalesce("owner", F.lit(0)), F.col("owner").isNull(), "part_salt")), "parts")
+    parts = dealt.select("key", "part", "owner").distinct()
+    other = parts.select(F.col("key").alias("k"), F.col("part").alias("q"), F.col("owner").alias("q_owner"))
+    differ = F.col("owner").isNull() | F.col("q_owner").isNull() | (F.col("owner") != F.col("q_owner"))
+    pairs = parts.join(other, (F.col("key") == F.col("k")) & (F.col("part") <= F.col("q")) & differ).withColumn("block", F.xxhash64("key", "part", "q"))
+    pairs = pairs.select("key", "block", F.explode(F.array_distinct(F.array("part", "q"))).alias("part"))
+    out = dealt.join(pairs, ["key", "part"]).select(F.col("block").alias("key"), "node", "root")
+    return out.withColumn("salt", F.lit(0)).withColumn("salts", F.lit(1))
+
+
 def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, first_id, root) with the roots that edges (a, b) between roots connect made one."""
     comps = connected_components(edges).select(F.col("node").alias("_cg_node"), F.col("root").alias("top"))
@@ -479,28 +510,37 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, ho
 
     Texts of one shingle set are one node. Nodes that share a pair of min-hashes meet in a shard, where sketches find
     candidates among leaders and their members, and decide clear cases and the sets themselves, brought to the shard, every pair between classes within MARGIN of the threshold. A shard above ``hot`` nodes is dealt out by the nodes' hash,
-    and its parts' leaders meet in a second round under two pairs of min-hashes. Nulls, repeats and empty texts are as in near_duplicate_classes; all texts without words are one class.
+    its parts' leaders meet in a second round under two pairs of min-hashes, and then all its nodes of different classes in blocks. Nulls, repeats and empty texts are as in near_duplicate_classes; all texts without words are one class.
     """
     n = partitions(docs.sparkSession)
     signed = stage_table(_signatures(docs, words), "signatures")
     nodes = stage_table(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
     schema = "a long, b long, key long, kind int"
 
-    def meeting(keyed: DataFrame, most: int | None) -> DataFrame:
+    def searched(rows: DataFrame) -> DataFrame:
+        full = rows.join(nodes.select("node", "first_id", "sketch"), "node").select("key", "salt", "salts", "node", "first_id", "sketch", "root")
+        return map_arrow(full.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "first_id", "node"), _linked_shards(similarity), schema)
+
+    def meeting(keyed: DataFrame, most: int) -> DataFrame:
         """Links within the keys that several nodes share; keys of more than ``most`` nodes are dealt out."""
         shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-        shared = shared.select("key", (F.lit(1) if most is None else F.ceil(F.col("c") / most)).cast("int").alias("salts"))
+        shared = shared.select("key", F.ceil(F.col("c") / most).cast("int").alias("salts"))
         rows = keyed.join(shared, "key").withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("salts")).cast("int"))
-        full = rows.join(nodes.select("node", "first_id", "sketch"), "node").select("key", "salt", "salts", "node", "first_id", "sketch")
-        return map_arrow(full.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "first_id", "node"), _linked_shards(similarity), schema)
+        return searched(rows.withColumn("root", F.lit(None).cast("long")))
 
-    first = stage_table(meeting(nodes.select("node", F.explode("keys").alias("key")).distinct(), hot), "shards")
-    # leaders of parts of a large shard meet where they also share another pair of min-hashes: copies do, texts with a common passage rarely
+    keyed = nodes.select("node", F.explode("keys").alias("key")).distinct()
+    first = stage_table(meeting(keyed, hot), "shards")
+    # leaders of parts of a large shard meet where they also share another pair of min-hashes: this only makes large classes one before blocks are searched
     leaders = first.where("kind = 2").select(F.col("a").alias("node"), F.col("key").alias("large")).join(nodes.select("node", "keys"), "node")
     leaders = leaders.select("node", "large", F.explode("keys").alias("other")).where("large <> other").select("node", F.xxhash64("large", "other").alias("key")).distinct()
-    links_ = stage_table(first.where("kind < 2").unionByName(meeting(leaders, None)), "links")
+    links_ = stage_table(first.where("kind < 2").unionByName(meeting(leaders, hot).where("kind < 2")), "links")
     rooted = stage_table(_rooted(nodes.select("node", "first_id", F.col("node").alias("root")), links_.where("kind = 0").select("a", "b")), "roots")
     marks = links_.where("kind = 1").select(F.col("a").alias("node"), "key")
+    over = keyed.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("key")
+    if over.limit(1).count():
+        blocks = stage_table(searched(_blocks(keyed.join(over, "key").join(rooted.select("node", "root"), "node"), max(1, hot // 2))), "blocks")
+        rooted = stage_table(_rooted(rooted, blocks.where("kind = 0").select("a", "b")), "roots")
+        marks = marks.unionByName(blocks.where("kind = 1").select(F.col("a").alias("node"), "key"))
     rooted = _rooted(rooted, _settled(docs, signed, nodes, marks, rooted, words, similarity))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("node").alias("k"), "component_id")

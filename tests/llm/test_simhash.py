@@ -200,3 +200,16 @@ def test_similar_texts_with_fingerprints_far_apart_link(spark):
     assert far
     got = {x.doc_id: x.component_id for x in S.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == jaccard_components(rows) and all(got[2 * k + 1] == 2 * k for k in far)
+
+
+def test_classes_do_not_depend_on_the_size_of_shards(spark):
+    """Pairs that share one key only are found in a shard that was dealt out as in a small one."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for k in range(200):
+        t = [r.choice(words) for _ in range(200)]
+        rows += [(2 * k, " ".join(t)), (2 * k + 1, " ".join(t[:132] + [r.choice(words) for _ in range(60)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    small, dealt = ({x.doc_id: x.component_id for x in S.similar_classes(df, similarity=0.45, hot=hot).collect()} for hot in (S.HOT, 1))
+    assert dealt == small, [(i, dealt[i], small[i]) for i in small if dealt[i] != small[i]]
