@@ -170,6 +170,15 @@ def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of 64-bit numbers, all first bytes before all second ones: sorted and small numbers then compress well."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(parts: list[bytes], kind: type) -> np.ndarray:
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(8, -1).T).view(kind).ravel() for p in parts])
+
+
 def _send(shards: int, key, content, doc, spot) -> Iterator[pa.RecordBatch]:
     """Rows of one shard each; key must be sorted."""
     shard = _shard_of(key, shards)
@@ -177,7 +186,7 @@ def _send(shards: int, key, content, doc, spot) -> Iterator[pa.RecordBatch]:
     pieces = list(zip(cut[:-1], cut[1:], strict=True))
     for at in range(0, len(pieces), 64):
         some = pieces[at : at + 64]
-        yield batch_of(_SENT, shard=[int(shard[a]) for a, _ in some], kind=[0] * len(some), **{n: [x[a:b].tobytes() for a, b in some] for n, x in (("key", key), ("content", content), ("doc", doc), ("spot", spot))})
+        yield batch_of(_SENT, shard=[int(shard[a]) for a, _ in some], kind=[0] * len(some), **{n: [_planes(x[a:b]) for a, b in some] for n, x in (("key", key), ("content", content), ("doc", doc), ("spot", spot))})
 
 
 def _find_runs(shards: int, width: int):
@@ -197,7 +206,7 @@ def _find_runs(shards: int, width: int):
                 yield batch_of(_SENT, shard=[n % shards], kind=[1], key=[b""], content=[b""], doc=[d[at : at + 65536].tobytes()], spot=[s[at : at + 65536].tobytes()])
             doc, spot, key, content = doc[~later], spot[~later], key[~later], content[~later]
         order = np.argsort(key)
-        yield from _send(shards, key[order], (content[order] >> np.uint64(32)).astype(np.uint32), doc[order], spot[order])
+        yield from _send(shards, key[order], content[order], doc[order], spot[order])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -254,7 +263,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for r in rows if r["kind"] == 0]
         if not rows:
             continue
-        key, content, doc, spot = (np.frombuffer(b"".join(r[n] for r in rows), t) for n, t in (("key", np.uint64), ("content", np.uint32), ("doc", np.int64), ("spot", np.int64)))
+        key, content, doc, spot = (_from_planes([r[n] for r in rows], t) for n, t in (("key", np.uint64), ("content", np.uint64), ("doc", np.int64), ("spot", np.int64)))
         order = np.lexsort((content, key))
         key, content, doc, spot = key[order], content[order], doc[order], spot[order]
         new_key = np.r_[True, key[1:] != key[:-1]]

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from corpusgraph.llm import suffix_dedup as D
 
@@ -104,3 +105,18 @@ def WIDTH_CUT(rows, w=50):  # noqa: N802
                 gone[p : p + w] = b"\1" * w
         out[i] = bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
     return out
+
+
+def test_contents_that_agree_in_32_bits_stay_apart():
+    """Two runs of one key whose content hashes differ in their lower half only."""
+    key, content = np.array([7, 7], np.uint64), np.array([5 << 32 | 1, 5 << 32 | 2], np.uint64)
+    doc, spot = np.array([1, 2], np.int64), D._spot(np.zeros(2), np.array([3, 4]), np.array([5, 5]))
+    kept = D.runs
+    try:
+        D.runs = lambda rows, width: iter([(np.arange(2), np.array([3, 4]), np.array([5, 5]), key, content)])
+        docs = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "occ": [0, 0], "text": ["x" * 60, "y" * 60]})
+        sent = list(D._find_runs(4, 50)(iter([docs])))
+    finally:
+        D.runs = kept
+    found = pa.Table.from_batches(list(D._settle(iter(sent)))).to_pydict()
+    assert found == {"doc_id": doc.tolist(), "spot": spot.tolist(), "key": [7, 7]}  # both wanted, none a match
