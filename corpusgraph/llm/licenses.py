@@ -2,7 +2,7 @@
 
 Words unique to both sides anchor the alignment, the longest increasing run of anchors is kept, and every gap between anchors is aligned the
 same way until it holds none; equal words at a gap's ends match too. Coverage is the share of a template's words that are aligned. A text may hold a
-template anywhere and more than once: the alignment runs on stretches around the occurrences of the template's rarest word there.
+template anywhere and more than once: the alignment runs on stretches around the occurrences of so many of the template's rarest words that a covered copy must hold one.
 """
 
 from __future__ import annotations
@@ -112,19 +112,39 @@ class Template:
         """Coverage that a text with these words can have at most."""
         return sum(min(n, len(here[w])) for w, n in self.counts.items() if w in here) / len(self.words)
 
-    def best(self, text: list[bytes], here: dict[bytes, list[int]]) -> tuple[int, int, int]:
-        """(aligned words, first place, end) of the best stretch; the earliest of equals."""
-        rare = min((w for w in self.counts if w in here), key=lambda w: (len(here[w]), w))
-        reach = len(self.words) + len(self.words) // 2 + 4
+    def best(self, text: list[bytes], here: dict[bytes, list[int]], least: float = LEAST_COVERAGE) -> tuple[int, int, int]:
+        """(aligned words, first place, end) of the best stretch; the earliest of equals.
+
+        Anchors are the words rarest in the text that together are more than a copy covered to ``least`` can lack. Around their occurrences wide stretches are aligned, and
+        stretches of one template length and somewhat more, in which the words of a neighbouring copy don't hide what is unique.
+        """
+        size = len(self.words)
+        spare, anchors = size - least * size + 1e-9, []
+        for w in sorted(self.counts, key=lambda w: (len(here.get(w, ())), w)):
+            anchors.append(w)
+            spare -= self.counts[w]
+            if spare < 0:
+                break
+        wanted = sorted(p for w in self.counts for p in here.get(w, ()))
+        reach = size + size // 2 + 4
+        spans: set[tuple[int, int]] = set()
+        for w in anchors:
+            last = None
+            for p in here.get(w, ()):
+                if last is None or p >= (last[0] + last[1]) // 2 + reach // 2:
+                    last = max(0, p - reach), min(len(text), p + reach + 1)
+                    spans.add(last)
+                for o in (k for k, x in enumerate(self.words) if x == w):
+                    for more in (0, max(1, size // 4)):
+                        spans.add((max(0, p - o - more), min(len(text), p - o + size + more)))
         best = (0, 0, 0)
-        spans: list[tuple[int, int]] = []
-        for p in here[rare]:
-            a, e = max(0, p - reach), min(len(text), p + reach + 1)
-            if not spans or p >= (spans[-1][0] + spans[-1][1]) // 2 + reach // 2:
-                spans.append((a, e))
-        for a, e in spans:
+        for a, e in sorted(spans):
+            if best[0] == size and a > best[1]:
+                break
+            if bisect_left(wanted, e) - bisect_left(wanted, a) < least * size - 1e-9:
+                continue
             found = align(text[a:e], self.words)
-            if len(found) > best[0]:
+            if found and (len(found), -a - found[0][0]) > (best[0], -best[1]):
                 best = (len(found), a + found[0][0], a + found[-1][0] + 1)
         return best
 
@@ -141,7 +161,7 @@ def scan_text(text: bytes, templates: list[Template], least: float = LEAST_COVER
     out = []
     for t in templates:
         if here and t.words and t.reachable(here) >= least:
-            n, a, e = t.best(words, here)
+            n, a, e = t.best(words, here, least)
             if n >= least * len(t.words):
                 out.append((t.name, n / len(t.words), n, a, e))
     return len(words), sorted(out, key=lambda x: (-x[2], -x[1], x[0]))

@@ -69,3 +69,11 @@ def test_whole_table(spark):
     want = {(r.doc_id, n) for r in docs.collect() for n, t in lines.items() if t in r.text}
     got = {(r.doc_id, n) for r in L.scan(docs).collect() for n in r.licenses}
     assert want and want <= got and len(got - want) <= len(want) // 20
+
+
+def test_copies_that_repeat_or_lack_the_rarest_word():
+    every = [L.Template(n, t) for n, t in sorted(L.TEMPLATES.items())]
+    names = lambda t: [x[0] for x in L.scan_text(t.encode(), every)[1]]
+    assert names("x Released under the MIT License. Released under the MIT License. y") == ["MIT-line"]
+    lacking = L.TEMPLATES["MIT"].replace("The above copyright", "The copyright")
+    assert names("as said above " + "some other words " * 400 + lacking + " more words" * 300) == ["MIT"]
