@@ -344,18 +344,35 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> str:
-    """Compiles the most frequent words, ``size`` at most (a few MB at any input), and ships the file to all executors; returns its name."""
-    vocabulary = Vocabulary(path)
-    counts = stage_table(word_counts(docs), "words")
-    step = F.least(F.col("n"), F.lit(4096))  # words of more occurrences count together
-    often = {r.c: r.k for r in counts.groupBy(step.alias("c")).agg(F.count("*").alias("k")).collect()}
-    room, least = size, 1 << 40
+def frequent_bins(often: dict[int, int], size: int) -> tuple[int | None, int | None, int]:
+    """(least bin of which all words fit, the bin below it, words of that one that still fit) of counts by bin."""
+    room, least = size, None
     for c in sorted(often, reverse=True):
         if often[c] > room:
-            break
+            return least, c, room
         room, least = room - often[c], c
-    top = sorted(r.word for r in counts.where(F.col("n") >= least).limit(size).collect())
+    return least, None, 0
+
+
+def frequent_words(counts: DataFrame, size: int) -> list[str]:
+    """The most frequent words of (word, n), ``size`` at most, whatever the counts are.
+
+    Counts are binned by sixteenths of an octave, a thousand bins at any input; of the first bin that doesn't fit, a share chosen by the words' hash.
+    """
+    bin_ = F.floor(F.log2("n") * 16).cast("int")
+    often = {r.c: r.k for r in counts.groupBy(bin_.alias("c")).agg(F.count("*").alias("k")).collect()}
+    least, part, room = frequent_bins(often, size)
+    chosen = F.lit(False) if least is None else bin_ >= least
+    if part is not None:
+        share = max(0, room - 4 * int(room**0.5))  # hashing deals unevenly: stay below the room
+        chosen = chosen | (bin_ == part) & (F.pmod(F.xxhash64("word"), F.lit(often[part])) < share)
+    return sorted(r.word for r in counts.where(chosen).limit(size).collect())
+
+
+def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> str:
+    """Compiles the most frequent words, ``size`` at most (a few MB at any input), and ships the file to all executors; returns its name."""
+    vocabulary = Vocabulary(path)
+    top = frequent_words(stage_table(word_counts(docs), "words"), size)
     words = [w for w in dict.fromkeys(p for t in top for p in vocabulary.words(" " + t)) if w not in vocabulary.special]
     raw = [w.encode() for w in words]
     name = f"lexicon-{uuid.uuid4().hex}.bin"
