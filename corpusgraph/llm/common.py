@@ -19,6 +19,20 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Growing:
+    """A Parquet table of the shared folder that is written in parts, one after the other."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.path, self.schema = spark, f"{shared_dir(spark)}/corpusgraph/{label}-{uuid.uuid4().hex}", None
+
+    def append(self, df: DataFrame) -> None:
+        df.write.mode("append").option("compression", "zstd").parquet(self.path)
+        self.schema = df.schema
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def share_bytes(spark: SparkSession, name: str, data: bytes) -> str:
     """Writes a small file into the shared folder and has Spark hand it to every executor; tasks find it by SparkFiles.get(name)."""
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpusgraph/{name}")

@@ -4,7 +4,8 @@ Candidates are ordered by length into buckets. A query's k-th best product so fa
 greatest length in a bucket it is the cosine that a vector of the bucket must reach there. Above 1 the bucket is skipped, high ones prune by the range
 that the query's strongest coordinate leaves to a candidate's, low ones by length alone. What is left is verified with exact integer products.
 
-Queries go in blocks of bounded size; the seeds that give first bars are the SEEDS longest vectors, a fixed number.
+Queries go in blocks of bounded bytes, one after the other: a block is broadcast, its results are written, and it is let go before the next. The seeds
+that give first bars are the SEEDS longest vectors, a fixed number.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import batch_of, map_arrow, partitions, slices, stage_table
+from corpusgraph.llm.common import Growing, batch_of, map_arrow, partitions, slices, stage_table
 
 SCALE = 256
 SEEDS = 1024
-BLOCK = 4096
+BLOCK_BYTES = 16 << 20  # of a block of queries, in the driver and in each worker
 BUCKET = 512
 COORDINATE_FROM = 0.6  # local cosine from which the coordinate range prunes more than it costs
 
@@ -88,7 +90,7 @@ class Best:
         if not len(query):
             return
         q, s, v, u = (np.r_[a, b] for a, b in ((self.query, query), (self.score, score), (self.vec, vec), (self.uid, uid)))
-        order = np.lexsort((u, v, -s.astype(np.float64) if np.abs(s).max() < 1 << 53 else -(s // 2), q))
+        order = np.lexsort((u, v, ~s, q))  # ~s falls as s grows, at the ends of a long as well
         q, s, v, u = q[order], s[order], v[order], u[order]
         first = np.r_[0, np.flatnonzero(q[1:] != q[:-1]) + 1]
         rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
@@ -167,12 +169,12 @@ def _search(shared, k: int):
     return run
 
 
-def top_products(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec_id", column: str = "embedding", block: int = BLOCK) -> DataFrame:
+def top_products(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec_id", column: str = "embedding", block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, the k other rows of largest integer inner product.
 
     Components x become floor(256 x). Ties go to the smaller vec_id. Rows with a null id, a null vector, or a null or non-finite component take no
     part. Vectors of different lengths meet in the components they share. Rows of one id are different rows: each is a candidate, and each a query of
-    its own. Fewer than k candidates: all of them. Empty: no rows. Other columns are not read.
+    its own. Fewer than k candidates: all of them. Empty: no rows. Other columns are not read. block: queries in a block, else as many as BLOCK_BYTES holds.
     """
     spark = vectors.sparkSession
     rows = stage_table(ready(vectors, id_column, column), "vectors")
@@ -181,9 +183,11 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str
     seed = matrix([r.v for r in seeds])
     seed_uid = np.array([r.uid for r in seeds], np.int64)
     queries = rows.where(F.col("vec_id") % every == 0)
-    found = None
-    blocks = max(1, -(-queries.count() * 5 // (4 * block)))  # hashing deals unevenly: aim at four fifths of a block
-    for n in range(blocks):
+    count, widest = queries.agg(F.count("*"), F.max(F.octet_length("v"))).first()
+    block = block or max(256, BLOCK_BYTES // max(8, widest or 8))
+    blocks = max(1, -(-count * 5 // (4 * block)))  # hashing deals unevenly: aim at four fifths of a block
+
+    def hits(n: int) -> tuple[DataFrame, Broadcast]:
         part = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("uid"), F.lit(blocks)) == n)).collect()
         q = matrix([r.v for r in part])
         uid, ids, norm = np.array([r.uid for r in part], np.int64), np.array([r.vec_id for r in part], np.int64), np.array([r.norm for r in part])
@@ -192,7 +196,16 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str
             p = products(q, seed)
             p[uid[:, None] == seed_uid[None]] = np.iinfo(np.int64).min
             floor = np.partition(p, len(seeds) - k, axis=1)[:, len(seeds) - k]
-        hits = map_arrow(buckets, _search(spark.sparkContext.broadcast((uid, ids, norm, q, floor)), k), _OUT_SQL)
-        found = hits if found is None else found.unionByName(hits)
-    w = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        shared = spark.sparkContext.broadcast((uid, ids, norm, q, floor))
+        w = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid")
+        best = map_arrow(buckets, _search(shared, k), _OUT_SQL).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), shared
+
+    if blocks == 1:
+        return hits(0)[0]
+    folder = Growing(spark, "hits")
+    for n in range(blocks):
+        found, shared = hits(n)
+        folder.append(found)
+        shared.destroy()
+    return folder.read()

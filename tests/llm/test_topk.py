@@ -38,6 +38,13 @@ def test_large_components():
     assert T.products(a, b).tolist() == [[2**60 + 15]]
 
 
+def test_large_scores_are_told_apart():
+    best = T.Best(1, 2)
+    for score in (2**60, 2**60 + 1, -(2**63), 2**60 + 2, 2**60 + 1):
+        best.add(np.array([0]), np.array([score]), np.array([score & 7]), np.array([0]))
+    assert best.score.tolist() == [2**60 + 2, 2**60 + 1] and best.bar[0] == 2**60 + 1
+
+
 def test_pruning_is_used():
     r = np.random.default_rng(0)
     c = np.floor(r.standard_normal((512, 16)) * 256)
