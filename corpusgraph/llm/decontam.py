@@ -2,7 +2,7 @@
 
 The index is a table of immutable segments, each over the words of a bounded run of documents: its terms, and for every
 term the ascending positions at which it stands (as differences). Documents are apart by more positions than a
-window has words, so no match crosses them. A search takes the windows of the test items in blocks of bounded size, which are broadcast; in each segment a
+window has words, so no match crosses them. A search takes the windows of the test items in blocks of bounded size, each broadcast and let go before the next; in each segment a
 window starts from the postings of its rarest term there, shifted by the term's place, and intersects them with those of the next
 rarest term, until all terms have agreed. Segments are independent: no shuffle, and frequent words or passages skew nothing.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import batch_of, map_arrow, slices, stage_table, text_bytes
+from corpusgraph.llm.common import Growing, batch_of, map_arrow, slices, stage_table, text_bytes
 
 WINDOW = 10
 SEGMENT_BYTES = 8 << 20
@@ -217,14 +217,13 @@ def _search(block) -> object:
     return run
 
 
-def blocks_of(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """Blocks of test items, each of about block_words words at most; an item goes to the block of its id's hash. Items without id take no part."""
+def blocks_of(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[int, Iterator[Block]]:
+    """How many blocks of test items there are, and each in turn, of about block_words words at most; an item goes to the block of its id's hash. Items without id take no part."""
     base = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // (6 * block_words)))
-    for k in range(n):
-        part = base if n == 1 else base.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield Block([(r.item_id, r.text.encode()) for r in part.collect()], window)
+    parts = (base if n == 1 else base.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n))
+    return n, (Block([(r.item_id, r.text.encode()) for r in part.collect()], window) for part in parts)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, segments: DataFrame | None = None) -> DataFrame:
@@ -235,15 +234,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     documents: no rows; empty benchmark: no hits. ``segments``: an index that build_segments made before, used instead of docs.
     """
     segments = build_segments(docs, window) if segments is None else segments
-    found = None
-    for block in blocks_of(benchmark, window, block_words):
-        part = map_arrow(segments, _search(segments.sparkSession.sparkContext.broadcast(block)), _HITS_SQL)
-        if found is None:
-            found, many = part, False
-        else:
-            found, many = found.unionByName(part), True
-    if not many:
-        return found.select("doc_id", "text_key", "n_words", "starts", "ends", "items")
+    spark = segments.sparkSession
+    n, blocks = blocks_of(benchmark, window, block_words)
+    if n == 1:
+        return map_arrow(segments, _search(spark.sparkContext.broadcast(next(blocks))), _HITS_SQL).select("doc_id", "text_key", "n_words", "starts", "ends", "items")
+    every = Growing(spark, "hits")
+    for k, block in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(block)
+        hits = map_arrow(segments, _search(shared), _HITS_SQL)
+        every.append(hits.where("size(starts) > 0") if k else hits)  # the first block's rows stand for all documents
+        shared.destroy()
+    found = every.read()
     found = found.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

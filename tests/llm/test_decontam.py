@@ -96,3 +96,10 @@ def test_drop(spark):
     docs = spark.createDataFrame([(1, "clean text", 5), (1, "a b c", 6), (None, "a b c", 7), (None, "d", 8), (2, None, 9)], "doc_id long, text string, items int")
     out = D.drop_contaminated(docs, spark.createDataFrame([(1, "b c")], "item_id long, text string"))
     assert out.columns == docs.columns and sorted(r["items"] for r in out.collect()) == [5, 8, 9]
+
+
+def test_sql(spark):
+    from corpusgraph.llm.op6 import ORACLE_SQL, QUERIES
+    from tests.oracle import compare
+
+    assert compare(spark, QUERIES["op6_benchmark_decontamination"], ORACLE_SQL["op6_benchmark_decontamination"], "/root/testdata/sf0.01") == 1000
