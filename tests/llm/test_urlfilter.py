@@ -33,6 +33,31 @@ def test_rules_are_filed_under_their_rarest_word():
     assert index.candidates("x.fr/a/b") == [] and not index.always
 
 
+def test_many_rules_in_blocks(spark):
+    hosts = [f"h{n % 700}.{t}" for n, t in enumerate(("com", "net", "org") * 700)]
+    lines = [f"{'allow' if n % 3 else 'block'} {h}/p{n % 7}/{n % 50}" for n in range(20_000) for h in (hosts[n % len(hosts)],)] + ["# none", "", "block h5.com/"]
+    rules = U.rules_of(lines)
+    urls = [f"https://{'' if n % 2 else 'w.'}{hosts[n % len(hosts)]}/p{n % 7}/{n % 50}{n % 10}" for n in range(500)]
+    texts = {r.text: r.verdict for r in rules}
+
+    def longest(url):
+        host, _, path = url.split("://")[1].partition("/")
+        names = [host.split(".", k)[-1] for k in range(host.count(".") + 1)]
+        fits = [t for h in names for k in range(len(path) + 1) if (t := h + "/" + path[:k]) in texts]
+        best = max(fits, key=lambda t: (len(t), t), default=None)
+        return best, texts.get(best, "allow")
+
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    size = sum(len(r.pattern) for r in rules)
+    assert len(U.blocks_of(rules, size // 3)) > 2
+    for most in (size, size // 3):
+        got = {r.page_id: (r.rule, r.verdict) for r in U.filter_urls(df, rules, (), most=most).collect()}
+        assert got == {n: longest(u) for n, u in enumerate(urls)}
+    index = U.Index(rules, (), U.word_frequencies(df, {w for r in rules for w in r.words}))
+    fetched = [len(index.candidates("".join(U.split_url(u)))) for u in urls]
+    assert not index.always and sum(fetched) / len(fetched) < 100  # of 20,000
+
+
 def test_host_only_rule():
     r = U.Rule.prefix("bad.com", "block")
     index = U.Index((r,), (), {})
