@@ -29,13 +29,14 @@ MIN_SIGNS = 4  # different documents that must show a feature
 LEAST_WEIGHT = 1.5
 PREFIXES = range(4, 9)
 CACHE = 400_000
-_BEAM = 24
+DOUBLED = 4.0  # what it costs to read a doubled letter as one
 
-_GAP_RUN = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+_GAP_RUN = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}){2,}(?!\S)")
 _SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1|([^\W\d_])\2.*([^\W\d_])\3")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
 _JOINED = re.compile(r"\w(?:[.\-_*~]\w){2,}\Z")
 _HEAD, _TAIL = "\"'([{<*#%&-_", ".,;:?!\"')]}>*#%&$-_|"
+_BARE_HEAD, _BARE_TAIL = ("".join(c for c in x if c not in LEET) for x in (_HEAD, _TAIL))
 
 
 def _class_table() -> np.ndarray:
@@ -58,15 +59,30 @@ def class_of(ch: str) -> int:
     return int(_CLASS[c]) if c < len(_CLASS) else (CLASSES - 1 if ch.isalpha() else 0)
 
 
-def classes_of(text: str) -> np.ndarray:
-    """Classes of a lower-cased text between two gaps; a run of gaps counts once."""
-    x = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+def _classes(text: str) -> np.ndarray:
+    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     k = _CLASS[np.minimum(x, len(_CLASS) - 1)]
     far = np.flatnonzero(x >= len(_CLASS))
     if len(far):
-        k = k.copy()
         k[far] = [CLASSES - 1 if chr(c).isalpha() else 0 for c in x[far].tolist()]
-    return k[np.r_[True, (k[1:] > 0) | (k[:-1] > 0)]].astype(np.int64)
+    return k
+
+
+def class_blocks(text: str, size: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Classes of a text between two gaps, runs of gaps as one, in blocks of ``size`` signs; a block begins with the last two classes before it, so that its trigrams go on."""
+    carry = np.zeros(1, np.uint8)
+    for at in range(0, max(1, len(text)), size):
+        k = np.r_[carry, _classes(text[at : at + size])]
+        if at + size >= len(text):
+            k = np.r_[k, np.uint8(0)]
+        k = k[np.r_[True, (k[1:] > 0) | (k[:-1] > 0)]]
+        yield k.astype(np.int64)
+        carry = k[-2:]
+
+
+def classes_of(text: str) -> np.ndarray:
+    """Classes of a lower-cased text between two gaps; a run of gaps counts once."""
+    return next(class_blocks(text, max(1, len(text))))
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -77,8 +93,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(CLASSES**3, np.int64)
         for b in slices(batches, 128):
             for t in b.column("text").to_pylist():
-                for at in range(0, len(t or ""), 1 << 20):
-                    k = classes_of(t[at : at + (1 << 20)])
+                for k in class_blocks(t or ""):
                     code = (k[:-2] * CLASSES + k[1:-1]) * CLASSES + k[2:]
                     total += np.bincount(code, minlength=CLASSES**3) if len(code) > 20_000 else 0
                     if len(code) <= 20_000:
@@ -112,7 +127,7 @@ def lattice(raw: str) -> list[list[tuple[str, float]]]:
         elif ch.isalpha():
             options = [(ch, 2.0 if run > 2 else 0.0)]
             if run > 1:
-                options.append(("", 0.2 if length > 2 else 4.0))
+                options.append(("", 0.2 if length > 2 else DOUBLED))
         elif ch.isspace():
             options = [("", 0.5), (" ", 1.5)]
         elif ch in ".-_*~":
@@ -137,7 +152,7 @@ def restore(raw: str, model: np.ndarray) -> str:
                     key, s, p = (b, c), score - cost + float(model[a, b, c]), (path, text)
                 if key not in nxt or s > nxt[key][0]:
                     nxt[key] = (s, p)
-        states = nxt if len(nxt) <= _BEAM else dict(sorted(nxt.items(), key=lambda x: -x[1][0])[:_BEAM])
+        states = nxt
     _, path = max(((s + float(model[a, b, 0]), p) for (a, b), (s, p) in states.items()), key=lambda x: x[0])
     out = []
     while path is not None:
@@ -146,29 +161,51 @@ def restore(raw: str, model: np.ndarray) -> str:
     return "".join(out[::-1])
 
 
-def disguised(token: str) -> str | None:
-    """The part of a lower-cased token whose lattice has more than one path."""
+def undoubled(word: str, model: np.ndarray) -> str | None:
+    """Best reading of letters with one doubled pair, None if it is the word itself: the two paths of its lattice differ in few trigrams."""
+    at = _DOUBLE.search(word).start()
+    a, b, c = (class_of(word[at - 1]) if at else 0), class_of(word[at]), (class_of(word[at + 2]) if at + 2 < len(word) else 0)
+    gain = float(model[a, b, c]) - float(model[a, b, b]) - float(model[b, b, c]) - DOUBLED
+    return word[:at] + word[at + 1 :] if gain > 0 else None
+
+
+def disguised(token: str) -> list[str]:
+    """Parts of a lower-cased token whose lattice has more than one path: without signs around it, and with those that can be letters."""
+    out = []
     core = token.rstrip(_TAIL).lstrip(_HEAD)
     if core.isalpha():
-        return core if _TRIPLE.search(core) else None
-    if len(core) < 3 or not any(c.isalpha() for c in core):
-        return None
-    return core if _SIGN.search(core) or _JOINED.match(core) or _TRIPLE.search(core) else None
+        if _DOUBLE.search(core):
+            out.append(core)
+    elif len(core) > 2 and any(c.isalpha() for c in core) and (_SIGN.search(core) or _JOINED.match(core) or _DOUBLE.search(core)):
+        out.append(core)
+    wide = token.rstrip(_BARE_TAIL).lstrip(_BARE_HEAD)
+    if len(wide) > 2 and wide != core and any(c.isalpha() for c in wide):
+        out.append(wide)
+    return out
+
+
+def reading(core: str, model: np.ndarray) -> str:
+    """Best reading of a disguised part."""
+    if core.isalpha() and sorted(len(list(g)) for _, g in groupby(core))[-2:] in ([2], [1, 2]):
+        return undoubled(core, model) or core
+    return restore(core, model)
 
 
 def words_of_token(token: str, model: np.ndarray) -> list[str]:
     """Words of a token: as written, and as restored if it is disguised."""
     out = re.findall(r"[^\W\d_]+", token)
-    if (core := disguised(token)) is not None:
-        out += restore(core, model).split()
+    for core in disguised(token):
+        out += reading(core, model).split()
     return out
 
 
 def gap_runs(text: str, model: np.ndarray) -> list[str]:
-    """Words restored from single signs between gaps."""
+    """Words restored from single signs, or pieces of two among at least as many single ones, between gaps."""
     out: list[str] = []
     for m in _GAP_RUN.finditer(text):
-        out += restore(m[0], model).split()
+        sizes = list(map(len, m[0].split()))
+        if 2 * sizes.count(1) >= len(sizes):
+            out += restore(" ".join(m[0].split()), model).split()
     return out
 
 
@@ -201,24 +238,41 @@ def inputs(found: list[float], words: int) -> list[float]:
 
 
 class Scorer:
+    """What a model says of texts, with what it said of tokens before; one lives as long as its model in a Python worker."""
+
+    @staticmethod
+    def of(model: Model) -> Scorer:
+        if (it := model.__dict__.get("_scorer")) is None:
+            it = model.__dict__["_scorer"] = Scorer(model)
+        return it
+
     def __init__(self, model: Model) -> None:
         self.model = model
         self.seen: dict[str, float] = {}
+        self.marked = {f[1:] for f, w in model.weights.items() if f[0] == "=" and w > 0}
 
     def token(self, token: str) -> float:
         return max(map(self.model.of_word, words_of_token(token, self.model.chars)), default=0.0)
 
+    def split_words(self, tokens: list[str]) -> set[str]:
+        """Marking words that a gap splits in two, where the lattice of both pieces reads them as one."""
+        marked = self.marked
+        out = {a + " " + b for a, b in zip(tokens, tokens[1:], strict=False) if a + b in marked}
+        return {w for x in out for w in restore(x, self.model.chars).split() if w in marked}
+
     def inputs(self, texts: list[str]) -> np.ndarray:
         low = [t.lower() for t in texts]
-        sets = [set(t.split()) for t in low]
+        lists = [t.split() for t in low]
+        sets = list(map(set, lists))
         if len(self.seen) > CACHE:
             self.seen.clear()
         for t in set().union(*sets) - self.seen.keys():
             self.seen[t] = self.token(t)
         out = []
-        for text, tokens in zip(low, sets, strict=True):
+        for text, every, tokens in zip(low, lists, sets, strict=True):
             found = [w for w in map(self.seen.__getitem__, tokens) if w > 0]
-            found += [x for w in set(gap_runs(text, self.model.chars)) if (x := self.model.of_word(w)) > 0]
+            more = set(gap_runs(text, self.model.chars)) | self.split_words(every)
+            found += [x for w in more if (x := self.model.of_word(w)) > 0]
             out.append(inputs(found, len(tokens)))
         return np.array(out).reshape(len(out), TOP + 3)
 
@@ -307,18 +361,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     toxic, clean = F.lit(float(total.t + 1)), F.lit(float(total.n + 1))
     likely = F.log((F.col("t") - F.sqrt("t") + 0.5) / toxic) - F.log((F.col("n") + F.sqrt("n") + 0.5) / clean) >= LEAST_WEIGHT
     good = counts.where((F.col("feature") != "") & (F.col("t") >= MIN_SIGNS) & likely)
-    starts = [r.feature for r in good.where("feature like '^%'").collect()]
-    known = F.lit(False)
-    if starts:  # words under a toxic beginning that are often enough to be judged alone
-        under = spark.createDataFrame([(s[1:], len(s) - 1) for s in starts], "s string, k int")
-        known = counts.where(F.col("feature").startswith("=") & (F.col("t") + F.col("n") >= 4 * MIN_SIGNS)).join(F.broadcast(under), F.expr("substring(feature, 2, k) = s"), "left_semi")
-        good = good.unionByName(known).distinct()
+    starts = good.where("feature like '^%'").select(F.expr("substring(feature, 2)").alias("s"))
+    # words under a toxic beginning that are often enough to be judged alone
+    words = counts.where(F.col("feature").startswith("=") & (F.col("t") + F.col("n") >= 4 * MIN_SIGNS))
+    words = words.withColumn("s", F.explode(F.array(*(F.substring("feature", 2, k) for k in PREFIXES))))
+    good = good.unionByName(words.join(starts, "s", "left_semi").drop("s")).distinct()
     m = Model(chars, choose([(r.feature, r.t, r.n) for r in good.collect()], total.t, total.n), np.zeros(TOP + 3))
     shown = spark.sparkContext.broadcast(m)
     of = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shown.value)
+        scorer = Scorer.of(shown.value)
         for b in slices(batches, 128):
             yield batch_of(of, y=b.column("y"), x=list(scorer.inputs([t or "" for t in b.column("text").to_pylist()])))
 
@@ -338,7 +391,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer.of(shared.value)
         for b in slices(batches, 128):
             yield batch_of(schema, doc_id=b.column("doc_id"), score=scorer([t or "" for t in b.column("text").to_pylist()]))
 
@@ -350,10 +403,14 @@ def restored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model.chars)
     schema = pa.schema([("doc_id", pa.int64()), ("restored", pa.string())])
 
+    def word(m: re.Match) -> str:
+        cores = disguised(m[0].strip("!|("))  # at the ends of a token these are taken as signs
+        return m[0].replace(cores[0], reading(cores[0], shared.value)) if cores else m[0]
+
     def one(text: str) -> str:
         chars = shared.value
-        low = _GAP_RUN.sub(lambda m: restore(m[0], chars), text.lower())
-        return re.sub(r"\S+", lambda m: m[0] if (core := disguised(m[0])) is None else m[0].replace(core, restore(core, chars)), low)
+        run = lambda m: restore(" ".join(m[0].split()), chars) if 2 * (sizes := list(map(len, m[0].split()))).count(1) >= len(sizes) else m[0]
+        return re.sub(r"\S+", word, _GAP_RUN.sub(run, text.lower()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 128):

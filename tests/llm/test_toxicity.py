@@ -34,8 +34,8 @@ def brute_restore(raw, chars):
 
 def test_viterbi_finds_the_best_path(model):
     r = random.Random(1)
-    for _ in range(60):
-        raw = "".join(r.choice("aeiort1035@$!.- ttoo") for _ in range(r.randint(1, 6)))
+    for n in range(80):
+        raw = "".join(r.choice("aeiort1035@$!.- ttoo") for _ in range(r.randint(1, 6) if n < 60 else r.randint(7, 9)))
         score, out = brute_restore(raw, model.chars)
         got = T.restore(raw, model.chars)
         assert got == out, (raw, score)
@@ -48,8 +48,61 @@ def test_disguised_words_are_restored(model):
     assert T.Scorer(model)(["Then the was of it.", "", "a b the 1 2 3 on."]).max() < 0.3
 
 
+def best_restore(raw, chars):
+    """The best path by dynamic programming over all restored prefixes, without any state that is merged but by its whole text."""
+    paths = {"": 0.0}
+    for options in T.lattice(raw):
+        nxt = {}
+        for out, score in paths.items():
+            k = [0, 0, *map(T.class_of, out)][-2:] if out else [0, 0]
+            for text, cost in options:
+                s, p = score - cost, out
+                if text and not (text == " " and k[1] == 0):
+                    s, p = s + float(chars[k[0], k[1], T.class_of(text)]), out + text
+                if p not in nxt or s > nxt[p]:
+                    nxt[p] = s
+        paths = nxt
+    last = lambda out: [0, 0, *map(T.class_of, out)][-2:]
+    return max((s + float(chars[(*last(out), 0)]), out) for out, s in paths.items())
+
+
+def test_viterbi_finds_the_best_path_of_long_strings(model):
+    r = random.Random(2)
+    for _ in range(12):
+        raw = "".join(r.choice("abdeiort105@$!.lmsc") for _ in range(r.randint(10, 12)))
+        score, out = best_restore(raw, model.chars)
+        assert T.restore(raw, model.chars) == out, (raw, score)
+
+
+def test_one_doubled_letter_is_read_as_the_lattice_reads_it(model):
+    r = random.Random(3)
+    for _ in range(300):
+        w = "".join(r.sample("abcdefgiklmnoprstu", r.randint(1, 8)))
+        at = r.randrange(len(w))
+        w = w[:at] + w[at] + w[at:]
+        assert T.reading(w, model.chars) == T.restore(w, model.chars), w
+
+
+def test_classes_in_blocks_give_the_same_trigrams():
+    r = random.Random(4)
+    for _ in range(200):
+        text = "".join(r.choice("ab  \n1ß中") for _ in range(r.randint(0, 30)))
+        whole = T.classes_of(text)
+        want = list(zip(whole, whole[1:], whole[2:], strict=False))
+        got = [t for k in T.class_blocks(text, r.randint(1, 5)) for t in zip(k, k[1:], k[2:], strict=False)]
+        assert got == want, text
+
+
 def test_plain_words_have_one_path():
-    assert [T.disguised(w) for w in ("idiot", "nttion", "the.", "in!!", "thnd***", "12", "x", "")] == [None] * 8
+    assert [T.disguised(w) for w in ("idiot", "nation", "the.", "thnd***", "12", "x", "")] == [[]] * 7
+    assert T.disguised("a$$") == ["a$$"] and T.disguised("pi$$.") == ["pi$$"] and T.disguised("(rap") == ["(rap"] and T.disguised("iddiot") == ["iddiot"]
+
+
+def test_disguises_at_the_ends_of_words_and_in_gaps(spark, model):
+    for raw in ("iddiot", "idio+", "1diot!", "id iot", "i d i o t", "i  d  io t", "idiiot"):
+        assert T.Scorer(model)([f"Then the {raw} was of it."])[0] > 0.3, raw
+    docs = spark.createDataFrame([(1, "So (then it!!  The 1d10t, stup1d.")], "doc_id long, text string")
+    assert T.restored(docs, model).first().restored == "so (then it!!  the idiot, stupid."
 
 
 def test_held_out_rows(spark, model):
