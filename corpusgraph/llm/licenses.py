@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import batch_of, map_arrow, slices, text_bytes
+from corpusgraph.llm.common import batch_of, map_arrow, slices, stage_table, text_bytes
 from corpusgraph.llm.decontam import words_of
 
 LEAST_COVERAGE = 0.8
+MOST_BYTES = 16 << 20  # of templates that travel with a task
 
 #: Public license notices and texts
 TEMPLATES = {
@@ -107,6 +108,7 @@ class Template:
     def __init__(self, name: str, text: str) -> None:
         self.name, self.words = name, words_of(text.encode())
         self.counts = Counter(self.words)
+        self.longest = len(self.words) + len(self.words) // 4 + 1  # words of a window that is tried in any case
 
     def reachable(self, here: dict[bytes, list[int]]) -> float:
         """Coverage that a text with these words can have at most."""
@@ -116,7 +118,8 @@ class Template:
         """(aligned words, first place, end) of the best stretch; the earliest of equals.
 
         Anchors are the words rarest in the text that together are more than a copy covered to ``least`` can lack. Around their occurrences wide stretches are aligned, and
-        stretches of one template length and somewhat more, in which the words of a neighbouring copy don't hide what is unique.
+        stretches of one template length and somewhat more, in which the words of a neighbouring copy don't hide what is unique. Where none of these is covered to
+        ``least``, every window that could be is aligned.
         """
         size = len(self.words)
         spare, anchors = size - least * size + 1e-9, []
@@ -143,9 +146,55 @@ class Template:
                 break
             if bisect_left(wanted, e) - bisect_left(wanted, a) < least * size - 1e-9:
                 continue
-            found = align(text[a:e], self.words)
-            if found and (len(found), -a - found[0][0]) > (best[0], -best[1]):
-                best = (len(found), a + found[0][0], a + found[-1][0] + 1)
+            best = self._better(best, text, a, e)
+        if best[0] < least * size - 1e-9:
+            for a, e in self._around(anchors, here, len(text)):
+                best = self._every_window(best, text, wanted[bisect_left(wanted, a) : bisect_left(wanted, e)], least)
+        return best
+
+    def _better(self, best: tuple[int, int, int], text: list[bytes], a: int, e: int) -> tuple[int, int, int]:
+        found = align(text[a:e], self.words)
+        if found and (len(found), -a - found[0][0]) > (best[0], -best[1]):
+            return len(found), a + found[0][0], a + found[-1][0] + 1
+        return best
+
+    def _around(self, anchors: list[bytes], here: dict[bytes, list[int]], end: int) -> list[tuple[int, int]]:
+        """Stretches that hold every window of at most ``longest`` words with an anchor in it; those that meet are one."""
+        out: list[tuple[int, int]] = []
+        for p in sorted(p for w in anchors for p in here.get(w, ())):
+            a, e = max(0, p - self.longest + 1), min(end, p + self.longest)
+            if out and a <= out[-1][1]:
+                out[-1] = out[-1][0], e
+            else:
+                out.append((a, e))
+        return out
+
+    def _every_window(self, best: tuple[int, int, int], text: list[bytes], spots: list[int], least: float) -> tuple[int, int, int]:
+        """Windows from one of the template's words to another, at most ``longest`` words apart, as soon as their words could cover the template to ``least``.
+
+        A sliding count leaves out the starts from which no window can, nearly all of them in texts that hold no copy.
+        """
+        need = least * len(self.words) - 1e-9
+        have: Counter[bytes] = Counter()
+        n = right = 0
+        for left, s in enumerate(spots):
+            while right < len(spots) and spots[right] - s < self.longest:
+                w = text[spots[right]]
+                have[w] += 1
+                n += have[w] <= self.counts[w]
+                right += 1
+            if n >= need:
+                seen: Counter[bytes] = Counter()
+                k = 0
+                for p in spots[left:right]:
+                    seen[text[p]] += 1
+                    if seen[text[p]] <= self.counts[text[p]]:
+                        k += 1
+                        if k >= need and k > best[0]:
+                            best = self._better(best, text, s, p + 1)
+            w = text[s]
+            n -= have[w] <= self.counts[w]
+            have[w] -= 1
         return best
 
 
@@ -167,15 +216,38 @@ def scan_text(text: bytes, templates: list[Template], least: float = LEAST_COVER
     return len(words), sorted(out, key=lambda x: (-x[2], -x[1], x[0]))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_COVERAGE) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_COVERAGE, most: int = MOST_BYTES) -> DataFrame:
     """One row per document row: doc_id, n_words, license, coverage, n_matched, first_word, end_word, licenses (all names found).
 
     license is the template with most aligned words (then the higher coverage, then the name), null if none is covered. Null text has no words.
-    doc_id may be null or repeated. Other columns are not read. Empty: no rows. Templates travel with the tasks: keep them to a few MB.
+    doc_id may be null or repeated. Very long texts are scanned whole. Other columns are not read. Empty: no rows. Templates travel with the tasks; lists above MOST_BYTES
+    are scanned in parts, and the parts' answers joined row by row.
     """
-    if sum(map(len, templates.values())) > 16 << 20:
-        raise ValueError("at most 16 MB of templates travel with the tasks: scan with a part of them at a time")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("n_matched", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("licenses", pa.list_(pa.string()))])
+    parts: list[dict[str, str]] = [{}]
+    for name in sorted(templates):
+        if parts[-1] and sum(map(len, parts[-1].values())) + len(templates[name]) > most:
+            parts.append({})
+        parts[-1][name] = templates[name]
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if len(parts) > 1:
+        base = stage_table(base.withColumn("row", F.monotonically_increasing_id()), "texts")
+        every = [_scan(base, part, least, "row") for part in parts]
+        both = every[0]
+        for other in every[1:]:
+            o = other.select(F.col("row").alias("o_row"), F.struct(*(F.col(c).alias(c) for c in _BEST)).alias("o"), F.col("licenses").alias("o_licenses"))
+            rank = lambda p: F.struct(F.coalesce(p("n_matched"), F.lit(-1)), p("coverage"), F.lit(0))
+            wins = rank(lambda c: F.col("o." + c)) > rank(F.col)
+            joined = both.join(o, F.col("row") == F.col("o_row"))
+            both = joined.select("row", "doc_id", "n_words", *(F.when(wins, F.col("o." + c)).otherwise(F.col(c)).alias(c) for c in _BEST), F.concat("licenses", "o_licenses").alias("licenses"))
+        return both.drop("row")
+    return _scan(base, parts[0], least)
+
+
+_BEST = ("license", "coverage", "n_matched", "first_word", "end_word")
+
+
+def _scan(base: DataFrame, templates: dict[str, str], least: float, *carry: str) -> DataFrame:
+    schema = pa.schema([*((c, pa.int64()) for c in carry), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("n_matched", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("licenses", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = [Template(n, t) for n, t in sorted(templates.items())]
@@ -183,6 +255,6 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
             rows = [scan_text(t, every, least) for t in text_bytes(b.column("text"))]
             best = [found[0] if found else (None,) * 5 for _, found in rows]
             name, coverage, n, a, e = zip(*best, strict=True)
-            yield batch_of(schema, doc_id=b.column("doc_id"), n_words=[k for k, _ in rows], license=name, coverage=coverage, n_matched=n, first_word=a, end_word=e, licenses=[[x[0] for x in found] for _, found in rows])
+            yield batch_of(schema, **{c: b.column(c) for c in carry}, doc_id=b.column("doc_id"), n_words=[k for k, _ in rows], license=name, coverage=coverage, n_matched=n, first_word=a, end_word=e, licenses=[[x[0] for x in found] for _, found in rows])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_words long, license string, coverage double, n_matched long, first_word long, end_word long, licenses array<string>")
+    return map_arrow(base, run, "".join(f"{c} long, " for c in carry) + "doc_id long, n_words long, license string, coverage double, n_matched long, first_word long, end_word long, licenses array<string>")
