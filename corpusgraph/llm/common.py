@@ -78,6 +78,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(df: DataFrame, column: str, part_bytes: int = 128 << 20) -> int:
+    """Partitions for work on the bytes of a column: as many as the session's setting, more where a part would be larger than part_bytes."""
+    size = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(partitions(df.sparkSession), -(-size // part_bytes))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, kept_out: Column, rows: int) -> DataFrame:
     """(y, text) of at most ``rows`` labelled rows of each class, chosen by the hash of their id; the chosen ids, 2 * rows at most, are broadcast."""
     usable = labels.select(F.col("doc_id").cast("long").alias("_cg_id"), F.col(column).cast("int").alias("y"), "doc_id").where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~kept_out).select("_cg_id", "y")

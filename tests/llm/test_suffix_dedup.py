@@ -2,7 +2,6 @@ import hashlib
 import random
 
 import numpy as np
-import pyarrow as pa
 
 from corpusgraph.llm import suffix_dedup as D
 
@@ -75,12 +74,53 @@ def test_long_text(spark):
     assert got == {1: 0, 2: 200, 3: 2000}
 
 
-def test_previous_smaller():
+def test_longest_previous_factors():
     r = np.random.default_rng(3)
-    for _ in range(50):
-        v = r.integers(0, 6, r.integers(0, 40))
-        want = [max([j for j in range(i) if v[j] < v[i]], default=-1) for i in range(len(v))]
-        assert D.previous_smaller(v).tolist() == want
+    for _ in range(150):
+        n, width = int(r.integers(1, 60)), int(r.integers(1, 20))
+        x = np.r_[r.integers(97, 99, n), np.arange(30)].astype(np.uint8)
+        rank = r.integers(0, 6, n)
+        at = np.arange(n)
+        order, common = D.suffix_array(x, at, rank, width)
+        cut = lambda k: bytes(x[k : k + width])
+        assert [(cut(k), rank[k]) for k in order] == sorted((cut(k), rank[k]) for k in at)
+        shared = lambda a, b: next((i for i in range(width) if cut(a)[i] != cut(b)[i]), width)
+        assert common.tolist() == [0, *(shared(a, b) for a, b in zip(order, order[1:]))]
+        want = [max((shared(k, j) for j in at if rank[j] < rank[k]), default=0) for k in order]
+        assert D.longest_previous(order, common, rank).tolist() == want
+
+
+def test_equal_hashes_of_different_bytes_are_told_apart(spark, monkeypatch):
+    """Keys and contents of a few values only: nearly all runs collide, and bytes decide."""
+    real = D.runs
+
+    def few(rows, width):
+        for number, start, count, key, content in real(rows, width):
+            yield number, start, count, key % np.uint64(3) << np.uint64(62), content % np.uint64(2)
+
+    monkeypatch.setattr(D, "runs", few)
+    rows = rows_of(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert query(df) == brute(rows)
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefghijk ") for _ in range(n))
+    passage = text(90)
+    rows = [(i, text(r.randint(0, 60)) + passage + text(r.randint(0, 80))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows)
+    for hot in (2, 8, 32):
+        monkeypatch.setattr(D, "HOT", hot)
+        assert query(df) == want
+
+
+def test_small_pages_and_flushes(spark, monkeypatch):
+    for name, value in (("PAGE_BYTES", 300), ("_FLUSH", 20), ("_FETCHED", 500), ("_SORTED", 64)):
+        monkeypatch.setattr(D, name, value)
+    rows = rows_of(6)
+    assert query(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
 
 
 def test_whole_table(spark):
@@ -107,16 +147,17 @@ def WIDTH_CUT(rows, w=50):  # noqa: N802
     return out
 
 
-def test_contents_that_agree_in_32_bits_stay_apart():
-    """Two runs of one key whose content hashes differ in their lower half only."""
-    key, content = np.array([7, 7], np.uint64), np.array([5 << 32 | 1, 5 << 32 | 2], np.uint64)
-    doc, spot = np.array([1, 2], np.int64), D._spot(np.zeros(2), np.array([3, 4]), np.array([5, 5]))
-    kept = D.runs
-    try:
-        D.runs = lambda rows, width: iter([(np.arange(2), np.array([3, 4]), np.array([5, 5]), key, content)])
-        docs = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "occ": [0, 0], "text": ["x" * 60, "y" * 60]})
-        sent = list(D._find_runs(4, 50)(iter([docs])))
-    finally:
-        D.runs = kept
-    found = pa.Table.from_batches(list(D._settle(iter(sent)))).to_pydict()
-    assert found == {"doc_id": doc.tolist(), "spot": spot.tolist(), "key": [7, 7]}  # both wanted, none a match
+def test_cut_keeps_all_columns(spark):
+    p = "the passage that both documents hold, of more than fifty bytes, é and all"
+    rows = [(1, "a " + p, "x", 5), (2, p + " b", None, 6), (3, p, "z", 7), (4, None, "n", 8), (4, "", "e", 9), (None, p, "i", 10)]
+    df = spark.createDataFrame([(*r, {"k": [r[0]]}) for r in rows], "doc_id int, text string, `a.b` string, n_chars int, c2 map<string, array<int>>")
+    out = D.cut_documents(df)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    got = sorted(((r.doc_id, r.text, r["a.b"], r.n_chars, r.c2["k"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, "a " + p, "x", len(p) + 2, [1]), (2, " b", None, 2, [2]), (4, None, "n", None, [4]), (4, "", "e", 0, [4]), (None, p, "i", len(p), [None])], key=str)
+    assert D.cut_documents(df.limit(0)).count() == 0
+
+
+def test_no_table_stays_in_the_catalog(spark):
+    D.deduplicate(spark.createDataFrame(rows_of(1), "doc_id long, text string")).count()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("cg_")]
