@@ -2,28 +2,32 @@
 
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Bytes become short vectors, learned filters run over every
 place of a chunk, the strongest answer of each filter in the chunk goes through a small dense layer to a chunk score, and mean, largest and
-smallest chunk score give one probability. Everything is learned by gradient descent on a bounded, documented sample of labelled rows.
+smallest chunk score give one probability. Everything is learned by gradient descent on a bounded, documented sample of labelled rows: in each round every task
+takes some steps on the whole texts of its rows, and the driver averages what they learned.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import batch_of, labelled_sample, map_arrow, slices, text_bytes
+from corpusgraph.llm.common import batch_of, labelled_sample, map_arrow, slices, stage_table, text_bytes
 
 TAPS = 8  # bytes that a filter sees
 PLACES = 256  # places of a filter in a chunk
 CHUNK = PLACES + TAPS  # bytes; a chunk starts PLACES after the one before, the last ends with the text
 DIM, FILTERS, HIDDEN = 8, 32, 16
 FIT_ROWS = 3000  # labelled rows of each class that training may read
-FIT_CHUNKS = 8  # chunks of such a row
-STEPS = 3600
+ROUNDS, STEPS = 32, 40  # rounds of training, and steps of each task in one
+BATCH, RATE = 24, 0.02
+PART_ROWS, PART_BYTES = 800, 32 << 20  # of the sample in one task, about
 _PAD = 256
 
 
@@ -60,15 +64,24 @@ def chunks_of(text: bytes, only: np.ndarray | None = None) -> np.ndarray:
     return x[start[:, None] + np.arange(CHUNK)].astype(np.int64)
 
 
-def pooled(m: Model, chunks: np.ndarray) -> np.ndarray:
-    """Strongest answer of each filter in each chunk."""
+def strongest(m: Model, chunks: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Strongest answer of each filter in each chunk, without its constant, and if wanted the first place of it."""
     v = m.emb[chunks].reshape(len(chunks), CHUNK * DIM)
-    out = None
+    out = at = None
     for r in range(TAPS):  # places r, r + TAPS, ...: windows side by side, no copy of each
         part = np.ascontiguousarray(v[:, r * DIM : (r + PLACES) * DIM]).reshape(-1, TAPS * DIM) @ m.w
-        top = part.reshape(len(chunks), PLACES // TAPS, FILTERS).max(1)
-        out = top if out is None else np.maximum(out, top, out=out)
-    return out + m.b
+        part = part.reshape(len(chunks), PLACES // TAPS, FILTERS)
+        top = part.max(1)
+        if places:
+            here = part.argmax(1) * TAPS + r
+            at = here if out is None else np.where((top > out) | (top == out) & (here < at), here, at)
+        out = top if out is None else np.maximum(out, top)
+    return out, at
+
+
+def pooled(m: Model, chunks: np.ndarray) -> np.ndarray:
+    """Strongest answer of each filter in each chunk."""
+    return strongest(m, chunks)[0] + m.b
 
 
 def chunk_scores(m: Model, chunks: np.ndarray) -> np.ndarray:
@@ -110,12 +123,8 @@ def _gradients(m: Model, chunks: np.ndarray, docs: np.ndarray, y: np.ndarray) ->
     """Cross-entropy of documents (chunk i belongs to docs[i], ascending) and its gradients."""
     n = len(y)
     window = np.lib.stride_tricks.sliding_window_view(chunks, TAPS, 1)[:, :PLACES]
-    wide = m.emb[chunks]
-    answers = np.zeros((len(chunks), PLACES, FILTERS), np.float32)
-    for k in range(TAPS):
-        answers += wide[:, k : k + PLACES] @ m.w[k * DIM : (k + 1) * DIM]
-    at = answers.argmax(1)
-    raw = np.take_along_axis(answers, at[:, None], 1)[:, 0] + m.b
+    best, at = strongest(m, chunks, True)
+    raw = best + m.b
     p = np.maximum(raw, 0)
     a = np.tanh(p @ m.u + m.c)
     s = a @ m.v
@@ -145,43 +154,55 @@ def _gradients(m: Model, chunks: np.ndarray, docs: np.ndarray, y: np.ndarray) ->
     return float(loss), g
 
 
-def _some(x: np.ndarray, r: np.random.Generator) -> np.ndarray:
-    """What a step sees of a row: a random share of its chunks, or at times a short cut of one, so that short texts are learned as well."""
-    if r.random() < 0.25:
-        one = x[r.integers(len(x))]
-        bytes_ = one[one != _PAD]
-        if len(bytes_):
-            n = min(len(bytes_), int(r.integers(8, 160)))
-            at = r.integers(0, len(bytes_) - n + 1)
-            cut = np.full((1, CHUNK), _PAD, np.int64)
-            cut[0, :n] = bytes_[at : at + n]
-            return cut
-    return x if len(x) == 1 else x[np.sort(r.choice(len(x), r.integers(1, len(x) + 1), replace=False))]
-
-
-def train(chunks: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, batch: int = 48, rate: float = 0.005, seed: int = 3) -> Model:
-    """Adam over shuffled batches, a fixed number of steps. Without rows: a model that says 0.5."""
-    m = Model.start()
-    if not len(labels):
-        m.d[:] = 0
-        return m
-    r = np.random.default_rng(seed)
-    one, two = ({f.name: np.zeros_like(getattr(m, f.name), np.float64) for f in fields(m)} for _ in range(2))
-    order = np.zeros(0, np.int64)
-    for step in range(1, steps + 1):
-        while len(order) < batch:
-            order = np.r_[order, r.permutation(len(labels))]
-        some, order = order[:batch], order[batch:]
-        parts = [_some(chunks[i], r) for i in some]
-        _, g = _gradients(m, np.concatenate(parts), np.repeat(np.arange(len(some)), [len(x) for x in parts]), labels[some].astype(np.float64))
-        now = rate * (1 - step / (steps + 1))
-        for f in fields(m):
-            x = getattr(m, f.name)
-            d = g[f.name] + (1e-4 * x if f.name in ("u", "v", "w") else 0)
-            one[f.name] = 0.9 * one[f.name] + 0.1 * d
-            two[f.name] = 0.99 * two[f.name] + 0.01 * d * d
-            x -= (now * (one[f.name] / (1 - 0.9**step)) / (np.sqrt(two[f.name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return m
+def _some(text: bytes, r: np.random.Generator) -> np.ndarray:
+    """What a step sees of a row: a random share of its chunks, or at times a short cut of the text, so that short texts are learned as well."""
+    if r.random() < 0.25 and text:
+        n = min(len(text), int(r.integers(8, 160)))
+        at = r.integers(0, len(text) - n + 1)
+        return chunks_of(text[at : at + n])
+    n = max(1, -(-(len(text) - TAPS) // PLACES))
+    return chunks_of(text) if n == 1 else chunks_of(text, np.sort(r.choice(n, r.integers(1, n + 1), replace=False)))
+
+
+@dataclass
+class State:
+    """A model in training, with Adam's first and second moments."""
+
+    model: Model
+    one: dict[str, np.ndarray]
+    two: dict[str, np.ndarray]
+
+    @staticmethod
+    def start() -> State:
+        m = Model.start()
+        return State(m, *({f.name: np.zeros_like(getattr(m, f.name), np.float64) for f in fields(m)} for _ in range(2)))
+
+    @staticmethod
+    def mean(states: list[State], weights: list[int]) -> State:
+        out = State.start()
+        w = np.array(weights) / sum(weights)
+        for f in (f.name for f in fields(Model)):
+            setattr(out.model, f, sum(k * getattr(s.model, f) for k, s in zip(w, states, strict=True)).astype(np.float32))
+            out.one[f], out.two[f] = (sum(k * getattr(s, n)[f] for k, s in zip(w, states, strict=True)) for n in ("one", "two"))
+        return out
+
+    def steps(self, texts: list[bytes], labels: np.ndarray, first: int, count: int, total: int, seed: list[int]) -> None:
+        """Steps first + 1 to first + count of ``total``, on shuffled batches of the texts; the rate falls to zero at the end."""
+        m, r = self.model, np.random.default_rng(seed)
+        order = np.zeros(0, np.int64)
+        for step in range(first + 1, first + count + 1):
+            while len(order) < BATCH:
+                order = np.r_[order, r.permutation(len(labels))]
+            some, order = order[:BATCH], order[BATCH:]
+            parts = [_some(texts[i], r) for i in some]
+            _, g = _gradients(m, np.concatenate(parts), np.repeat(np.arange(len(some)), [len(x) for x in parts]), labels[some].astype(np.float64))
+            now = RATE * (1 - step / (total + 1))
+            for f in g:
+                x = getattr(m, f)
+                d = g[f] + (1e-4 * x if f in ("u", "v", "w") else 0)
+                self.one[f] = 0.9 * self.one[f] + 0.1 * d
+                self.two[f] = 0.99 * self.two[f] + 0.01 * d * d
+                x -= (now * (self.one[f] / (1 - 0.9**step)) / (np.sqrt(self.two[f] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -189,24 +210,43 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, column: str = "quality", steps: int = STEPS) -> Model:
-    """Trains on FIT_CHUNKS chunks, spread over the text, of at most ``rows`` labelled rows of each class."""
-    schema = pa.schema([("y", pa.int32()), ("id", pa.int64()), ("chunks", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            parts = []
-            for t in text_bytes(b.column("text")):
-                n = max(1, -(-(len(t) - TAPS) // PLACES))
-                parts.append(chunks_of(t, np.unique(np.linspace(0, n - 1, min(n, FIT_CHUNKS)).astype(np.int64))).astype(np.int16).tobytes())
-            yield batch_of(schema, y=b.column("y"), id=b.column("_cg_id"), chunks=parts)
-
-    sample = map_arrow(labelled_sample(docs, labels, column, held_out(F.col("doc_id")), rows), run, "y int, id long, chunks binary").orderBy("id", "y", "chunks").limit(2 * rows).collect()
-    return train([np.frombuffer(r.chunks, np.int16).reshape(-1, CHUNK).astype(np.int64) for r in sample], np.array([r.y for r in sample]), steps)
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, column: str = "quality", rounds: int = ROUNDS) -> Model:
+    """Trains on the whole texts of at most ``rows`` labelled rows of each class. Without any: a model that says 0.5.
+
+    The sample is dealt to tasks of about PART_ROWS rows and PART_BYTES bytes, whatever the cluster; a round is one job, from whose tasks only models return.
+    Null texts are empty. Labels without a document, documents without a label and rows with a null id or label take no part; a document row or a label that
+    is repeated counts once for each pair of equal ids.
+    """
+    sample = stage_table(labelled_sample(docs, labels, column, held_out(F.col("doc_id")), rows).select("y", F.col("_cg_id").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")), "sample")
+    count, size = sample.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    state = State.start()
+    if not count:
+        state.model.d[:] = 0
+        return state.model
+    tasks = max(1, round(count / PART_ROWS), -(-(size or 0) // PART_BYTES))
+    dealt = sample.repartition(tasks, "id").persist(StorageLevel.MEMORY_AND_DISK)
+    schema = pa.schema([("task", pa.int32()), ("n", pa.int64()), ("state", pa.binary())])
+
+    def one_round(start: State, number: int) -> list:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("id", "y", "text")), strict=True)))
+            if mine:
+                task = TaskContext.get().partitionId()
+                s = pickle.loads(pickle.dumps(start))  # a worker runs several tasks of a round
+                s.steps([t for _, _, t in mine], np.array([y for _, y, _ in mine]), number * STEPS, STEPS, rounds * STEPS, [3, number, task])
+                yield batch_of(schema, task=[task], n=[len(mine)], state=[pickle.dumps(s)])
+
+        return sorted(map_arrow(dealt, run, "task int, n long, state binary").collect(), key=lambda r: r.task)
+
+    for number in range(rounds):
+        got = one_round(state, number)
+        state = State.mean([pickle.loads(r.state) for r in got], [r.n for r in got])
+    dealt.unpersist()
+    return state.model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every row. Only text is read; null is empty, an empty text is scored like any other. Empty table: no rows."""
+    """doc_id and score of every row. Only text is read; null is empty, an empty text is scored like any other, a very long one in blocks of chunks. Repeated rows score alike. Empty table: no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
@@ -218,7 +258,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows that score below the threshold; all columns, whatever their names, pass through in the same task."""
+    """docs without the rows that score below the threshold; all columns, whatever their names, pass through in the same task. Null text is empty. Empty table: no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,7 +58,7 @@ def test_held_out_accuracy(spark):
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a fine text", 0.1), (1, "a fine text", 0.2), (None, None, 0.3), (2, "", 0.4), (3, "x " * 200_000, 0.5)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1), (None, 0), (2, None), (3, 0)], "doc_id long, quality int")
-    m = Q.fit(docs, labels, steps=50)
+    m = Q.fit(docs, labels, rounds=2)
     out = Q.score(docs, m).collect()
     assert len(out) == 5 and all(0 <= r.score <= 1 for r in out)
     none = Q.fit(docs, labels.limit(0))
@@ -67,3 +67,16 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == 5
     assert Q.score(docs.limit(0), m).count() == 0
     assert docs.select(Q.held_out(F.col("doc_id")).alias("h")).where("h is null").count() == 0
+
+
+def test_training_sees_whole_texts_in_any_number_of_tasks(spark, monkeypatch):
+    """Only bytes far into long texts tell the classes apart; one task or several learn them."""
+    r = np.random.default_rng(4)
+    text = lambda y: "".join(r.choice(list("abcdef "), 3000)) + ("xyz" * 90 if y else "mno" * 90) + "".join(r.choice(list("abcdef "), 600))
+    rows = [(i, text(i % 2), i % 2) for i in range(90)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, quality int")
+    for size in (800, 20):
+        monkeypatch.setattr(Q, "PART_ROWS", size)
+        p = {x.doc_id: x.score for x in Q.score(docs, Q.fit(docs, labels, rounds=8)).collect()}
+        assert np.mean([(p[i] >= 0.5) == y for i, _, y in rows]) > 0.95
