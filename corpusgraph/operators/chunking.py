@@ -5,6 +5,8 @@ Each is a generator over one row of ``files(file_path, source, ...)``: no shuffl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,27 +71,72 @@ def char_windows(text: Column | str, chars: int = EMBED_CHARS, overlap: int = EM
     return F.when(x == "", F.array().cast("array<string>")).otherwise(pieces)
 
 
-def markdown_sections(files: DataFrame, source: str = "source") -> DataFrame:
-    """Sections (kind, name, text, line_start, line_end, chunk_index) of each row.
+HEADING = r"^(#{1,6})\s+(.+)$"
+_UNIT = "struct<chunk_type:string,name:string,text:string,line_start:int,line_end:int,chunk_index:int>"
+
+
+def _numbered(parts: Column, name: Callable[[Column, Column], Column]) -> Column:
+    """Units of (kind, name, text, line_start, line_end) structs that have text, with their place among these as index."""
+    unit = lambda x, i: F.struct(x["kind"].alias("chunk_type"), name(x, i).alias("name"), x["text"].alias("text"), x["a"].alias("line_start"), x["e"].alias("line_end"), i.alias("chunk_index"))
+    return F.transform(F.filter(parts, lambda x: x["text"] != ""), unit).cast(f"array<{_UNIT}>")
+
+
+def section_array(source: Column | str) -> Column:
+    """Sections of a Markdown text as an array of units.
 
     A heading line starts a section named by its text; what stands before the first is a paragraph. Blank sections take no index. Lines
-    are folded within the row, in order, so that no row meets another.
+    are folded within the value, in order: the text is cut before each heading, and line numbers are summed up along the pieces.
+    """
+    text = F.col(source) if isinstance(source, str) else source
+    pieces = F.split(text, r"\n(?=#{1,6}[^\S\n]+[^\n])")  # before each heading line
+    start = F.struct(F.lit(1).alias("line"), F.expr("cast(array() as array<struct<kind:string,head:string,text:string,a:int,e:int>>)").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        size = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit(""))) + 1
+        first = F.substring_index(piece, "\n", 1)
+        head = F.when(first.rlike(HEADING), trim_space(F.regexp_extract(first, HEADING, 2)))
+        one = F.struct(F.when(head.isNotNull(), "section").otherwise("paragraph").alias("kind"), head.alias("head"), trim_space(piece).alias("text"), acc["line"].alias("a"), (acc["line"] + size - 1).alias("e"))
+        return F.struct((acc["line"] + size).cast("int").alias("line"), F.concat(acc["out"], F.array(one.cast("struct<kind:string,head:string,text:string,a:int,e:int>"))).alias("out"))
+
+    parts = F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return _numbered(parts, lambda x, i: F.coalesce(x["head"], F.concat(F.lit("section_"), i)))
+
+
+def markdown_sections(files: DataFrame, source: str = "source") -> DataFrame:
+    """Sections (kind, name, text, line_start, line_end, chunk_index) of each row, as section_array tells them; null sources give none."""
+    rows = files.where(F.col(source).isNotNull()).select("*", F.explode(section_array(source)).alias("_cg_u"))
+    return rows.select("*", "_cg_u.*").drop("_cg_u").withColumnRenamed("chunk_type", "kind")
+
+
+def paragraph_array(source: Column | str, target_tokens: int = 512) -> Column:
+    """Paragraphs of a text packed into units of about target_tokens * 4 characters, as an array.
+
+    A fold over what blank lines separate: a paragraph that no longer fits closes the unit before it; one that is longer alone stays whole. Line numbers are
+    approximate, as each gap counts as two lines and a unit is numbered back from where it was closed.
     """
-    heading = r"^(#{1,6})\s+(.+)$"
-    lines = F.split(F.col(source), "\n")
-    rows = files.where(F.col(source).isNotNull()).withColumn("_cg_l", F.transform(lines, lambda s, i: F.struct(i.alias("i"), s.alias("s"), s.rlike(heading).alias("h"))))
-    heads = F.transform(F.filter("_cg_l", lambda x: x["h"]), lambda x: x["i"])
-    starts = F.when(F.array_contains(heads, 0), heads).otherwise(F.concat(F.array(F.lit(0)), heads))
-    rows = rows.withColumn("_cg_s", starts)
-    ends = F.concat(F.slice("_cg_s", F.lit(2), F.greatest(F.size("_cg_s") - 1, F.lit(0))), F.array(F.size("_cg_l")))
-    spans = F.arrays_zip(F.col("_cg_s").alias("a"), ends.alias("e"))
-
-    def section(z: Column) -> Column:
-        part = F.slice("_cg_l", z["a"] + 1, z["e"] - z["a"])
-        text = trim_space(F.array_join(F.transform(part, lambda x: x["s"]), "\n"))
-        first = F.element_at(part, 1)
-        return F.struct(first["h"].alias("h"), F.when(first["h"], trim_space(F.regexp_extract(first["s"], heading, 2))).alias("head"), text.alias("text"), (z["a"] + 1).alias("line_start"), z["e"].alias("line_end"))
-
-    kept = F.filter(F.transform(spans, section), lambda x: x["text"] != "")
-    out = rows.select("*", F.posexplode(kept).alias("chunk_index", "_cg_x")).select("*", "_cg_x.*")
-    return out.withColumns({"kind": F.when(F.col("h"), F.lit("section")).otherwise(F.lit("paragraph")), "name": F.coalesce("head", F.concat(F.lit("section_"), F.col("chunk_index")))}).drop("_cg_l", "_cg_s", "_cg_x", "h", "head")
+    text = F.col(source) if isinstance(source, str) else source
+    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    part = "struct<kind:string,text:string,a:int,e:int>"
+    state = f"struct<line:int,size:int,held:string,out:array<{part}>>"
+    start = F.expr(f"cast(named_struct('line', 1, 'size', 0, 'held', null, 'out', array()) as {state})")
+    unit = lambda held, a, e: F.array(F.struct(F.lit("paragraph").alias("kind"), held.alias("text"), a.alias("a"), e.alias("e")).cast(part))
+
+    def step(acc: Column, raw: Column) -> Column:
+        p = trim_space(raw)
+        held, line = acc["held"], acc["line"]
+        closes = held.isNotNull() & (acc["size"] + F.length(p) > 4 * target_tokens)
+        done = F.when(closes, F.concat(acc["out"], unit(held, line - breaks(held) - 1, line))).otherwise(acc["out"])
+        size = F.when(closes, F.length(p)).otherwise(acc["size"] + F.length(p))
+        now = F.when(closes | held.isNull(), p).otherwise(F.concat(held, F.lit("\n\n"), p))
+        after = F.struct((line + breaks(p) + 2).alias("line"), size.alias("size"), now.alias("held"), done.alias("out"))
+        blank = F.struct((line + 2).alias("line"), acc["size"].alias("size"), held.alias("held"), acc["out"].alias("out"))
+        return F.when(p == "", blank).otherwise(after).cast(state)
+
+    last = lambda acc: F.when(acc["held"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], unit(acc["held"], acc["line"], acc["line"] + breaks(acc["held"]))))
+    return _numbered(F.aggregate(F.split(text, "\n\n"), start, step, last), lambda x, i: F.concat(F.lit("paragraph_"), i))
+
+
+def packed_paragraphs(files: DataFrame, target_tokens: int = 512, source: str = "source") -> DataFrame:
+    """Units (chunk_type, name, text, line_start, line_end, chunk_index) of each row, as paragraph_array tells them; null sources give none."""
+    rows = files.where(F.col(source).isNotNull()).select("*", F.explode(paragraph_array(source, target_tokens)).alias("_cg_u"))
+    return rows.select("*", "_cg_u.*").drop("_cg_u")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.operators.relations import containment, resolve
 from corpusgraph.sources.cpp import Reader, Unit
-from corpusgraph.sources.parsers import tolerant_json
+from corpusgraph.sources.ranges import tolerant_json
 
 #: Fixed value: an include line
 INCLUDE = r'#\s*include\s+["<]([^">]+)[">]'

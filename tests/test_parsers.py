@@ -1,10 +1,13 @@
 import ast
+import random
 
 import pytest
 
+from corpusgraph.operators import chunking as C
 from corpusgraph.sources import parsers as P
 from corpusgraph.sources.code_graph import build, extract
 from corpusgraph.sources.cpp import Reader
+from corpusgraph.sources.ranges import Range
 
 TWO = '"""Doc."""\n\ndef one(a):\n    """One."""\n    return a\n\n\ndef two():\n    return 2\n'
 
@@ -17,7 +20,6 @@ def test_python_two_functions():
 
 def test_python_special_cases():
     assert [r[0] for r in P.python_units('"""Only a text."""\n', "m.py")] == ["module_docstring"]
-    assert P.chunk_file("a.py", "  \n") == ("python", []) and P.chunk_file("a.py", None)[1] == [] and P.chunk_file("a.bin", "x")[1] == []
     assert isinstance(P.python_units("def broken(:\n    pass\n\ndef ok():\n    return 1\n", "b.py"), list)
     assert [r[1] for r in P.python_units("@deco\ndef hidden(): pass\n\nclass Shown:\n    def m(self): pass\n", "d.py")] == ["Shown"]
     long = "def f():\n" + "\n".join(f"    x{i} = 'ééé{i}' * 3 + 'padding padding'" for i in range(130)) + "\n"
@@ -115,11 +117,57 @@ def test_verilog():
     assert [(r[0], r[1]) for r in P.verilog_units("wire x;", "dir/w.v")] == [("module", "w")]
 
 
-def test_packing_and_sections():
-    text = "\n\n".join(["a" * 1000, "", "b" * 1000, "c" * 1000])
-    rows = P.packed_paragraphs(text, "x.docx")
-    assert [len(r[2]) for r in rows] == [2002, 1000] and [r[1] for r in rows] == ["paragraph_0", "paragraph_1"]
-    assert [(r[0], r[1], r[3], r[4]) for r in P.markdown_units("pre\n# A\nx\n## B\n\n", "m.md")] == [("paragraph", "section_0", 1, 1), ("section", "A", 2, 3), ("section", "B", 4, 6)]
+def brute_paragraphs(source, target=512):
+    """Units by walking the paragraphs one after the other."""
+    units, held, line = [], [], 1
+    closed = lambda first, last: units.append(("\n\n".join(held), first, last))
+    for p in (x.strip() for x in source.split("\n\n")):
+        if p and held and sum(map(len, held)) + len(p) > 4 * target:
+            closed(line - "\n\n".join(held).count("\n") - 1, line)
+            held = []
+        held += [p] if p else []
+        line += p.count("\n") + 2
+    if held:
+        closed(line, line + "\n\n".join(held).count("\n"))
+    return units
+
+
+def test_packing_and_sections(spark):
+    r = random.Random(4)
+    texts = ["\n\n".join(["a" * 1000, "", "b" * 1000, "c" * 1000]), "", "one", "x" * 5000 + "\n\ny", "\n\n\n\n a\nb \n\n\n\nc"]
+    texts += ["".join(r.choice(["\n", "\n\n", "word ", "z" * 300, " "]) for _ in range(r.randint(0, 60))) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, source string")
+    got = {}
+    for x in C.packed_paragraphs(df).orderBy("k", "chunk_index").collect():
+        got.setdefault(x.k, []).append((x.text, x.line_start, x.line_end))
+        assert (x.chunk_type, x.name) == ("paragraph", f"paragraph_{len(got[x.k]) - 1}")
+    assert got == {k: u for k, t in enumerate(texts) if (u := brute_paragraphs(t))}
+    rows = P.chunk_files(spark.createDataFrame([("m.md", "pre\n# A\nx\n## B\n\n"), ("d.docx", texts[0])], "file_path string, source string")).orderBy("file_path", "chunk_index").collect()
+    assert [(x.chunk_type, x.name, x.line_start, x.line_end) for x in rows] == [("paragraph", "paragraph_0", 4, 7), ("paragraph", "paragraph_1", 9, 9), ("paragraph", "section_0", 1, 1), ("section", "A", 2, 3), ("section", "B", 4, 6)]
+
+
+def test_odd_markdown(spark):
+    text = "##\n\nabc\n#  \n# A\n```\n# in code\n```\n####### seven\n#no\n"
+    got = [(x.kind, x.name, x.line_start, x.line_end) for x in C.markdown_sections(spark.createDataFrame([(text,), (None,), ("",)], "source string")).collect()]
+    assert got == [("paragraph", "section_0", 1, 3), ("section", "", 4, 4), ("section", "A", 5, 6), ("section", "in code", 7, 11)]
+
+
+def test_options_and_chunkers(spark):
+    o = P.ChunkOptions.from_env({"CHUNK_NAIVE_LINES": "10", "CHUNK_OVERLAP_RATIO": "0.5", "CHUNK_MAX_TOKENS": "20", "CHUNK_DOC_TARGET_TOKENS": "1", "CHUNK_BACKEND": "ast", "CHUNK_LLM_MAX_CHUNKS": "3", "X": "1"})
+    assert o == P.ChunkOptions(10, 0.5, 20, 1, "ast", 3) and P.ChunkOptions.from_env({}) == P.ChunkOptions()
+    df = spark.createDataFrame([("a.py", "def f():\n" + "    x = 1\n" * 20), ("d.docx", "aaaa\n\nbbbb"), ("q.sql", "select 1"), ("b.py", " "), ("c.py", None)], "file_path string, source string")
+    own = {".sql": ("sql", lambda source, path: [("query", "q", source, 1, 1, 0)])}
+    got = sorted((r.file_path, r.language, r.chunk_type, r.name) for r in P.chunk_files(df, options=o, chunkers=own).collect())
+    assert got == [("a.py", "python", "function", f"f_part_{k}") for k in (1, 2, 3, 4, 5)] + [("d.docx", "docx", "paragraph", f"paragraph_{k}") for k in (0, 1)] + [("q.sql", "sql", "query", "q")]
+    paths = spark.createDataFrame([("a.py",), ("b.CPP",), ("c.md",), ("d.xyz",)], "file_path string")
+    kinds = paths.select(P.document_kind("file_path").alias("k"), P.is_cpp_file("file_path").alias("c"), P.supports_file("file_path").alias("s")).collect()
+    assert [(r.k, r.c, r.s) for r in kinds] == [("code", False, True), ("code", True, True), ("doc", False, True), (None, False, False)]
+    assert [r.file_path for r in P.code_only(paths).collect()] == ["a.py", "b.CPP"]
+
+
+@pytest.mark.parametrize("raw, value", [(None, None), ("", None), ("nothing", None), ("[1, 2]", [1, 2]), ('```json\n[{"a": 1}]\n```', [{"a": 1}]), ('x {y} {"a": {"b": 2}} {z', {"a": {"b": 2}}), ('{"a": 1} {"a": 2}', {"a": 1}), ("7", 7), ("7 apples", None)])
+def test_tolerant_json(raw, value):
+    assert P.tolerant_json(raw) == value
 
 
 @pytest.mark.parametrize("answer", ['{"chunks":[{"start_line":1,"end_line":2,"chunk_type":"class","name":"A"}]}', '```json\n{"chunks":[{"start_line":1,"end_line":2,"chunk_type":"class","name":"A"}]}\n```', 'Here: {"chunks":[{"start_line":1,"end_line":2,"chunk_type":"class","name":"A"}]} done'])
@@ -137,7 +185,7 @@ def test_model_failures_give_windows():
     for f in (broken, lambda p: "no json", lambda p: '{"chunks": 3}', lambda p: '{"chunks":[{"start_line":"x"},7,{"start_line":900,"end_line":901}]}'):
         assert [(r[1], r[3], r[4]) for r in P.model_units(src, "a.txt", f)] == [("chunk_1", 1, 60), ("chunk_2", 49, 100), ("chunk_3", 97, 100)]
     merged = P.proposed_ranges([{"start_line": 1, "end_line": 4, "name": "a", "chunk_type": "x"}, {"start_line": 3, "end_line": 6, "name": "b", "chunk_type": ""}], ["};"] * 9)
-    assert merged == [{"start_line": 1, "end_line": 6, "chunk_type": "x", "name": "b"}]
+    assert merged == [Range(1, 6, "x", "b")]
 
 
 def test_chunk_files(spark):
