@@ -6,9 +6,9 @@ those bytes: equal strings have equal minima, and neighbouring starts mostly sha
 a minimum form a run; runs, not single suffixes, travel.
 
 1. Documents are packed into compressed pages, a table bucketed by page: texts move once, and later joins bring matches to them.
-2. Each task sends the place of its runs to the shard of their key. Copies of a run in one task are settled there: equal bytes in a smaller document are a match.
+2. Each task sends the place of its runs to the shard of their key. Copies of whole runs are settled where they meet, in a task or in a shard: equal bytes in a smaller document are a match.
 3. A shard tells which keys several documents hold; only runs of these fetch their bytes.
-4. A shard of bytes is one text: its suffix array, the common prefixes of neighbours in it, and for every suffix the longest factor shared with the
+4. A shard's bytes, one copy of each run, are one text: its suffix array, the common prefixes of neighbours in it, and for every suffix the longest factor shared with the
    previous and with the next smaller position (positions in the order of doc_id). A suffix whose longest previous factor has ``width`` bytes has an earlier match.
 5. Matches of a page join it, and its texts are cut.
 
@@ -470,6 +470,25 @@ def _fetch(shards: int, width: int) -> Callable:
     return run
 
 
+def _copies(key: np.ndarray, doc: np.ndarray, texts: bytes, offsets: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs have all their bytes as a run of a smaller document, and which have a key with runs of other bytes."""
+    by = np.lexsort((doc, key))
+    keys, docs, starts, ends = key[by].tolist(), doc[by].tolist(), offsets[by].tolist(), (offsets[by] + lengths[by]).tolist()
+    copy, differ = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    at = 0
+    while at < len(keys):
+        k, to = keys[at], at + 1
+        while to < len(keys) and keys[to] == k:
+            to += 1
+        if to > at + 1:
+            first: dict[bytes, int] = {}
+            later = [i for i in range(at, to) if first.setdefault(texts[starts[i] : ends[i]], docs[i]) < docs[i]]
+            copy[by[later]] = True
+            differ[by[at:to]] = len(first) > 1
+        at = to
+    return copy, differ
+
+
 def _match(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdDecompressor()
@@ -484,12 +503,17 @@ def _match(width: int) -> Callable:
             texts = b"".join(coder.decompress(r["texts"]) for r in rows)
             counts = _count(spot)
             lengths = counts + width - 1
-            item, place = earlier_matches(key, doc, texts, np.cumsum(lengths) - lengths, counts, width)
-            if not len(item):
-                continue
-            at = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1)])
+            offsets = np.cumsum(lengths) - lengths
+            copy, differ = _copies(key, doc, texts, offsets, lengths)
+            some = np.flatnonzero(differ & ~copy)
+            item, place = earlier_matches(key[some], doc[some], texts, offsets[some], counts[some], width)
+            item = some[item]
+            at = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1)]) if len(item) else item
             count = np.diff(np.r_[at, len(item)])
-            found, of = _spot(_offset(spot[item[at]]) + place[at], count), page[item[at]]
+            found = np.r_[spot[copy], _spot(_offset(spot[item[at]]) + place[at], count)]
+            of = np.r_[page[copy], page[item[at]]]
+            if not len(found):
+                continue
             order = np.argsort(of, kind="stable")
             found, of = found[order], of[order]
             ends = list(_by(of))
