@@ -23,16 +23,15 @@ def step_of(lines: int = WINDOW_LINES, overlap: float = OVERLAP) -> int:
 def line_windows(files: DataFrame, lines: int = WINDOW_LINES, overlap: float = OVERLAP, source: str = "source") -> DataFrame:
     """One row for each start 0, step, 2 step, ... within the lines: name, text, line_start, line_end. Windows that lie in the one before are kept. Null source: no rows."""
     step = step_of(lines, overlap)
-    rows = files.withColumn("_cg_lines", F.split(F.col(source), "\n")).where(F.col("_cg_lines").isNotNull())
-    rows = rows.withColumn("_cg_at", F.explode(F.sequence(F.lit(0), F.size("_cg_lines") - 1, F.lit(step))))
-    end = F.least(F.col("_cg_at") + lines, F.size("_cg_lines"))
-    out = rows.withColumns({
-        "name": F.concat(F.lit("lines_"), F.col("_cg_at") + 1, F.lit("_"), end),
-        "text": F.array_join(F.slice("_cg_lines", F.col("_cg_at") + 1, F.lit(lines)), "\n"),
-        "line_start": F.col("_cg_at") + 1,
-        "line_end": end,
-    })
-    return out.drop("_cg_lines", "_cg_at")
+    every = F.split(F.col(source), "\n")
+
+    def window(i: Column) -> Column:
+        end = F.least(i + lines, F.size("_cg_lines"))
+        return F.struct(F.concat(F.lit("lines_"), i + 1, F.lit("_"), end).alias("name"), F.array_join(F.slice("_cg_lines", i + 1, F.lit(lines)), "\n").alias("text"), (i + 1).alias("line_start"), end.alias("line_end"))
+
+    rows = files.where(F.col(source).isNotNull()).withColumn("_cg_lines", every)
+    rows = rows.withColumn("_cg_w", F.transform(F.sequence(F.lit(0), F.size("_cg_lines") - 1, F.lit(step)), window)).drop("_cg_lines")
+    return rows.withColumn("_cg_w", F.explode("_cg_w")).select(*files.columns, "_cg_w.*")
 
 
 def split_large(units: DataFrame, max_tokens: int = 600, lines: int = WINDOW_LINES, overlap: float = OVERLAP) -> DataFrame:
@@ -64,11 +63,14 @@ def semantic_windows(files: DataFrame, lines: int = 80, overlap_lines: int = 8,
 
 def char_windows(text: Column | str, chars: int = EMBED_CHARS, overlap: int = EMBED_OVERLAP) -> Column:
     """Pieces of a trimmed text for an embedder with bounded input; blank text has none. The last piece ends with the text."""
-    x = trim_space(text)
-    step = chars - overlap
-    n = F.greatest(F.lit(1), F.ceil((F.length(x) - overlap) / step)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(x, k * step + 1, F.lit(chars)))
-    return F.when(x == "", F.array().cast("array<string>")).otherwise(pieces)
+    if not 0 <= overlap <= chars - overlap:
+        raise ValueError("pieces may overlap by half of their length at most")
+    # one pass cuts the text into strides; a piece is a stride and the beginning of the next one
+    strides = F.regexp_extract_all(trim_space(text), F.lit(f"(?s).{{1,{chars - overlap}}}"), F.lit(0))
+    joined = lambda s: F.transform(s, lambda x, i: F.concat(x, F.coalesce(F.substring(F.get(s, i + 1), 1, overlap), F.lit(""))))
+    ends_before = lambda s: (F.size(s) > 1) & (F.length(F.get(s, F.size(s) - 1)) <= overlap)
+    pieces = F.transform(F.array(strides), lambda s: F.slice(joined(s), F.lit(1), F.size(s) - F.when(F.size(s) == 0, 0).when(ends_before(s), 1).otherwise(0)))
+    return F.element_at(pieces, 1)
 
 
 HEADING = r"^(#{1,6})\s+(.+)$"

@@ -12,7 +12,8 @@ COMPATIBLE = {
     "struct_template": ("class", "function", "struct"),
     "struct": ("class",),
 }
-NORMAL = {"class_template": "class", "function_template": "function", "struct_template": "struct"}
+#: Types of chunks by the names that labels use
+NORMAL = {"function": "function", "class": "class", "struct": "struct", "module": "namespace", "semantic": "other"}
 
 
 def types_match(label: Column, chunk: Column) -> Column:
@@ -29,20 +30,23 @@ def normal_type(kind: Column) -> Column:
     return out
 
 
-def judge_labels(labels: DataFrame, chunks: DataFrame) -> DataFrame:
+def judge_labels(labels: DataFrame, chunks: DataFrame, bucket: int = 256) -> DataFrame:
     """Outcome of each label (label_id, file_path, name, kind, line_start, line_end).
 
     Matches are looked for by name, type and range, else by name and type, else by name; a label without any is contained_no_name if
     a chunk of its file holds its range, else missed. A match that isn't exact is split if it isn't alone or several chunks hold the label, else inexact.
 
-    Chunks of a file meet its labels twice, by name and by range; both sides are pre-aggregated to counts for each label.
+    Chunks of a file meet its labels twice, by name, and by range within blocks of ``bucket`` lines; both sides are pre-aggregated to counts for each label.
     """
     c = chunks.select("file_path", F.col("name").alias("c_name"), F.col("chunk_type").alias("c_kind"), F.col("line_start").alias("c_start"), F.col("line_end").alias("c_end"))
     named = labels.join(c.withColumnRenamed("c_name", "name"), ["file_path", "name"])
     same = (F.col("line_start") == F.col("c_start")) & (F.col("line_end") == F.col("c_end"))
     typed = types_match(F.col("kind"), F.col("c_kind"))
     counts = named.groupBy("label_id").agg(F.count_if(typed & same).alias("n1"), F.count_if(typed).alias("n2"), F.count("*").alias("n3"), F.count_if(same).alias("exact_name"))
-    holding = labels.join(c, "file_path").where((F.col("c_start") <= F.col("line_start")) & (F.col("c_end") >= F.col("line_end"))).groupBy("label_id").agg(F.count("*").alias("n_holding"))
+    block = lambda x: F.floor(F.col(x) / bucket)
+    spread = c.withColumn("_cg_b", F.explode(F.sequence(block("c_start"), F.greatest(block("c_start"), block("c_end")))))
+    near = labels.select("label_id", "file_path", "line_start", "line_end", block("line_start").alias("_cg_b")).join(spread, ["file_path", "_cg_b"])
+    holding = near.where((F.col("c_start") <= F.col("line_start")) & (F.col("c_end") >= F.col("line_end"))).groupBy("label_id").agg(F.count("*").alias("n_holding"))
     out = labels.join(counts, "label_id", "left").join(holding, "label_id", "left").fillna(0, ["n1", "n2", "n3", "exact_name", "n_holding"])
     matching = F.when(F.col("n1") > 0, F.col("n1")).when(F.col("n2") > 0, F.col("n2")).otherwise(F.col("n3"))
     exact = F.when(F.col("n1") > 0, F.lit(True)).when(F.col("n2") > 0, F.lit(False)).otherwise(F.col("exact_name") > 0)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.sources.scratch import cut
 
+LEVELS = 3  # steps of a traversal in one plan; deeper ones are cut there
 FORWARD = ("CALLS", "REFERENCES", "INHERITS_FROM")
 
 
@@ -76,24 +77,31 @@ def _steps(edges: DataFrame, types: list[str] | tuple[str, ...] | None, directio
 def reach(edges: DataFrame, seeds: DataFrame, depth: int = 3, types: list[str] | tuple[str, ...] | None = None, direction: str = "out", keep_seeds: bool = False) -> DataFrame:
     """(id, depth) of what is within ``depth`` steps of the seeds (a table of ids), by least depth; seeds only with keep_seeds, where a cycle leads back to them.
 
-    Every level joins the last frontier with the edges and drops what was reached before. Edges and levels are written once, so that a level costs one
-    pass over the edges and a lost executor costs its tasks only; an empty frontier ends the loop.
+    Every level joins the last frontier with the edges. LEVELS of them are one plan, in which the edges are dealt out once and each frontier's exchange serves the next level
+    and the result; deeper traversals are cut into written tables there, drop what was reached before, and end with an empty frontier.
     """
-    steps = cut(_steps(edges, types, direction), "steps")
+    steps = _steps(edges, types, direction)
     seeds = seeds.select("id").distinct()
+    found = None
     frontier = seeds
-    reached = None if keep_seeds else seeds
-    levels: list[DataFrame] = []
-    for n in range(1, depth + 1):
-        new = frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
-        if reached is not None:
-            new = new.join(reached, "id", "left_anti")
-        frontier = cut(new, "frontier")
-        levels.append(frontier.withColumn("depth", F.lit(n)))
-        reached = frontier if reached is None else reached.unionByName(frontier)
-        if n < depth and frontier.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, levels)
+    for first in range(1, depth + 1, LEVELS):
+        last = min(depth, first + LEVELS - 1)
+        steps = cut(steps, "steps") if first == 1 and last < depth else steps
+        levels = []
+        for n in range(first, last + 1):
+            frontier = frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
+            levels.append(frontier.withColumn("depth", F.lit(n)))
+        new = reduce(DataFrame.unionByName, levels).groupBy("id").agg(F.min("depth").alias("depth"))
+        new = new if keep_seeds else new.join(seeds, "id", "left_anti")
+        new = new if found is None else new.join(found.select("id"), "id", "left_anti")
+        if last == depth:
+            return new if found is None else found.unionByName(new)
+        new = cut(new, "reached")
+        found = new if found is None else found.unionByName(new)
+        frontier = new.where(F.col("depth") == last).select("id")
+        if frontier.isEmpty():
+            return found
+    return seeds.limit(0).withColumn("depth", F.lit(0))
 
 
 def ids(spark, *values: str) -> DataFrame:
@@ -103,19 +111,23 @@ def ids(spark, *values: str) -> DataFrame:
 def simple_paths(edges: DataFrame, src: str, dst: str, max_hops: int = 5, types: list[str] | None = None) -> DataFrame:
     """(hops, path array): all paths without a repeated node; none if src is dst.
 
-    Nodes that can't lie on such a path (too far from either end) are dropped before paths are built, so only paths that can still arrive grow.
+    Edges that can't lie on such a path are dropped before paths are built: first those that no short walk from src meets, then, among what is left, those from
+    whose end dst is too far. Only paths that can still arrive grow.
     """
     spark = edges.sparkSession
     if src == dst:
         return spark.createDataFrame([], "hops int, path array<string>")
-    e = cut(of_types(edges, types).select("src", "dst", F.lit("").alias("relation_type")).distinct(), "edges")
-    left = cut(reach(e, ids(spark, dst), max_hops, None, "in").withColumnRenamed("depth", "left").unionByName(spark.createDataFrame([(dst, 0)], "id string, left int")), "left")
+    e = of_types(edges, types).select("src", "dst", F.lit("").alias("relation_type"))
+    ahead = reach(e, ids(spark, src), max_hops - 1, keep_seeds=True).select("id").unionByName(ids(spark, src)).distinct()
+    e = cut(e.join(ahead, F.col("src") == F.col("id"), "left_semi").distinct(), "edges")
+    left = reach(e, ids(spark, dst), max_hops - 1, None, "in").withColumnRenamed("depth", "left").unionByName(spark.createDataFrame([(dst, 0)], "id string, left int"))
+    e = cut(e.join(left, F.col("dst") == F.col("id")).select("src", "dst", "left"), "edges")
     paths = spark.createDataFrame([([src],)], "path array<string>")
     done: list[DataFrame] = []
     for n in range(1, max_hops + 1):
-        grown = paths.join(e, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        grown = grown.join(left, F.col("dst") == F.col("id")).where(F.col("left") <= max_hops - n)
-        grown = cut(grown.select(F.concat("path", F.array("dst")).alias("path")), "paths")
+        grown = paths.join(e.where(F.col("left") <= max_hops - n), F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        grown = grown.select(F.concat("path", F.array("dst")).alias("path"))
+        grown = cut(grown, "paths") if n % LEVELS == 0 and n < max_hops else grown
         done.append(grown.where(F.element_at("path", -1) == dst).select(F.lit(n).alias("hops"), "path"))
         paths = grown.where(F.element_at("path", -1) != dst)
     return reduce(DataFrame.unionByName, done)
@@ -181,10 +193,19 @@ def impact(edges: DataFrame, start: str, depth: int = 3, file_id: str | None = N
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(kind, name, n): totals and counts by entity and relation type."""
-    count = lambda df, kind, by: df.groupBy(F.col(by).alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
-    total = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit("total").alias("kind"), F.lit(name).alias("name"), "n")
-    return total(nodes, "nodes").unionByName(total(edges, "edges")).unionByName(count(nodes, "entity_type", "entity_type")).unionByName(count(edges, "relation_type", "relation_type"))
+    """(kind, name, n): totals and counts by entity and relation type, each table in one pass."""
+
+    def counts(df: DataFrame, by: str, total: str) -> DataFrame:
+        whole = F.grouping(by) == 1
+        rows = df.select(by).rollup(by).agg(F.count("*").alias("n"), F.when(whole, F.lit("total")).otherwise(F.lit(by)).alias("kind"), F.when(whole, F.lit(total)).otherwise(F.col(by)).alias("name"))
+        return rows.select("kind", "name", "n")
+
+    return counts(nodes, "entity_type", "nodes").unionByName(counts(edges, "relation_type", "edges"))
+
+
+def get_node(nodes: DataFrame, key: str) -> DataFrame:
+    """The node of an id, or no row; the id reaches the scan as a pushed filter."""
+    return nodes.where(F.col("id") == key)
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, project: str | None = None, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

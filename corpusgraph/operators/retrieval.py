@@ -48,16 +48,14 @@ def knn_by_collection(chunks: DataFrame, query: list[float], k: int = 5, group:
 def two_stage(summaries: DataFrame, chunks: DataFrame, options: RetrievalOptions = RetrievalOptions()) -> DataFrame:
     """Best projects by their summaries, best chunks of each, merged.
 
-    summaries: (project_id, score); chunks: (chunk_id, project_id, score). The candidate list has project_top_k rows at most and is
-    broadcast; without any candidate all projects are searched.
+    summaries: (project_id, score); chunks: (chunk_id, project_id, score). The candidates, project_top_k at most, are a scalar subquery that filters the
+    chunks before they are scored further; without any candidate all projects are searched as one.
     """
-    best = keep_first(summaries, "project_id", ["score", "project_id"])
-    chosen = best.orderBy("score", "project_id").limit(options.project_top_k).select("project_id")
-    some = chunks.join(F.broadcast(chosen), "project_id", "left_semi")
-    none = chosen.agg((F.count("*") == 0).alias("_cg_none"))  # one row
-    every = chunks.join(F.broadcast(none), F.col("_cg_none")).drop("_cg_none").withColumn("_cg_all", F.lit(True))
-    hits = some.withColumn("_cg_all", F.lit(False)).unionByName(every)
-    hits = hits.withColumn("_cg_group", F.when(F.col("_cg_all"), F.lit(None)).otherwise(F.col("project_id").cast("string"))).drop("_cg_all")
+    best = summaries.groupBy("project_id").agg(F.min("score").alias("score"))
+    chosen = best.orderBy("score", "project_id").limit(options.project_top_k).agg(F.collect_list("project_id").alias("ids")).scalar()
+    every = F.size(chosen) == 0
+    hits = chunks.where(every | F.array_contains(chosen, F.col("project_id")))
+    hits = hits.withColumn("_cg_group", F.when(~every, F.col("project_id").cast("string")))
     return merge_hits(top_k_per(hits, "_cg_group", options.top_k).drop("_cg_group", "rank"), options.top_k)
 
 
@@ -67,9 +65,8 @@ def merge_hits(hits: DataFrame, k: int = 5, key: str = "chunk_id") -> DataFrame:
 
 
 def with_fallback(primary: DataFrame, legacy: DataFrame) -> DataFrame:
-    """legacy only where primary is empty, in one plan."""
-    none = primary.agg((F.count("*") == 0).alias("_cg_none"))
-    return primary.unionByName(legacy.join(F.broadcast(none), F.col("_cg_none")).drop("_cg_none"))
+    """legacy only where primary is empty, in one plan: a scalar subquery that looks for one row decides."""
+    return primary.unionByName(legacy.where(primary.limit(1).agg(F.count("*")).scalar() == 0))
 
 
 def rerank(hits: DataFrame, relevance: Column | Callable[[pd.Series], pd.Series], k: int = 5, multiplier: int = 4, text: str = "text", key: str = "chunk_id") -> DataFrame:
@@ -88,10 +85,10 @@ def lexical_overlap(text: Column | str, words: list[str]) -> Column:
 
 def chunk_entities(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     """Hits with the graph node of their chunk: by chunk_id, else by name and file; the first node in insertion order."""
-    n = nodes.select(F.col("id").alias("node_id"), F.col("chunk_id").alias("_cg_chunk"), F.col("name").alias("_cg_name"), F.col("file_path").alias("_cg_file"), "seq")
+    n = nodes.select(F.col("id").alias("node_id"), F.col("chunk_id").alias("_cg_chunk"), F.col("name").alias("_cg_name"), F.col("file_path").alias("_cg_file"), F.col("seq").alias("_cg_seq"))
     direct = hits.join(n.where("_cg_chunk is not null and _cg_chunk <> ''"), F.col("chunk_id") == F.col("_cg_chunk")).withColumn("_cg_how", F.lit(0))
     named = hits.join(n, (F.col("name") == F.col("_cg_name")) & (F.col("file_path") == F.col("_cg_file"))).withColumn("_cg_how", F.lit(1))
-    return keep_first(direct.unionByName(named), "chunk_id", ["_cg_how", "seq"]).drop("_cg_chunk", "_cg_name", "_cg_file", "_cg_how", "seq")
+    return keep_first(direct.unionByName(named), "chunk_id", ["_cg_how", "_cg_seq"]).drop("_cg_chunk", "_cg_name", "_cg_file", "_cg_how", "_cg_seq")
 
 
 def hybrid(hits: DataFrame, nodes: DataFrame, edges: DataFrame, options: RetrievalOptions = RetrievalOptions(), types: list[str] | None = None) -> DataFrame:
@@ -100,8 +97,9 @@ def hybrid(hits: DataFrame, nodes: DataFrame, edges: DataFrame, options: Retriev
     hits: (chunk_id, name, file_path, rank). Expanded nodes are ordered by depth and id; hybrid_max_expanded of them are taken.
     """
     from corpusgraph.operators.graph import reach
+    from corpusgraph.sources.scratch import cut
 
-    seeds = chunk_entities(hits, nodes).select(F.col("node_id").alias("id"))
+    seeds = cut(chunk_entities(hits, nodes).select(F.col("node_id").alias("id")), "seeds")  # as many as hits
     near = reach(edges, seeds, options.hybrid_depth, types, direction="both").join(seeds, "id", "left_anti")
     mapped = near.join(nodes.where("chunk_id is not null and chunk_id <> ''").select("id", "chunk_id"), "id")
     more = mapped.orderBy("depth", "id").limit(options.hybrid_max_expanded)

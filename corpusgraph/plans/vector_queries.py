@@ -15,12 +15,12 @@ def _vectors(spark, sf_dir):
 
 
 def _query(spark, sf_dir):
-    """The vector of vec_id 0: one row, read with the id pushed down."""
-    return _vectors(spark, sf_dir).where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
+    """The vector of vec_id 0, as a question's vector would come from an embedder; the id is pushed down."""
+    return _vectors(spark, sf_dir).where("vec_id = 0").select("embedding").first().embedding
 
 
 def _hits(spark, sf_dir):
-    return _vectors(spark, sf_dir).crossJoin(F.broadcast(_query(spark, sf_dir))).select("vec_id", "label", "embedding", V.squared_l2("embedding", "q").alias("score"))
+    return V.scored(_vectors(spark, sf_dir), _query(spark, sf_dir))
 
 
 def knn_topk(spark, sf_dir):
@@ -48,7 +48,7 @@ def knn_multi_collection(spark, sf_dir):
 
 def _summaries(spark, sf_dir):
     means = V.vector_mean(_vectors(spark, sf_dir), "label")
-    return means.crossJoin(F.broadcast(_query(spark, sf_dir))).select(F.col("label").alias("project_id"), V.squared_l2("mean", "q").alias("score"))
+    return V.scored(means, _query(spark, sf_dir), "mean").select(F.col("label").alias("project_id"), "score")
 
 
 def two_stage_retrieval(spark, sf_dir):

@@ -74,7 +74,11 @@ def extract_files(files: DataFrame, project: str) -> DataFrame:
 def build(files: DataFrame, project: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, pending) of all files: references go to the one entity of their name (a member also by its own name, a qualified name by its last
     part), containment follows lines, includes go to the id that their path makes. pending: references without a single target."""
-    raw = extract_files(files, project)
+    return resolved(extract_files(files, project), project)
+
+
+def resolved(raw: DataFrame, project: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same from the records of extract_files, as they are stored."""
     seq = F.concat_ws("#", "file_path", F.lpad(F.col("pos").cast("string"), 8, "0"))
     nodes = raw.where("record = 'entity'").select(F.concat_ws(":", F.lit(project), "file_path", "entity_type", "name").alias("id"), F.lit(project).alias("project_id"), "file_path", "entity_type", "name", "line_start", "line_end", "declaration", F.lit("").alias("chunk_id"), seq.alias("seq"))
     nodes = nodes.groupBy("id").agg(*(F.min_by(c, "seq").alias(c) for c in nodes.columns if c not in ("id", "seq")), F.min("seq").alias("seq"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
 import io
 import json
 import os
@@ -55,6 +57,12 @@ def discover(spark: SparkSession, root: str, languages: list[str] | None = None,
     return decoded(rows)
 
 
+def discover_uploaded(spark: SparkSession, root: str, languages: str = "python,c,cpp") -> DataFrame:
+    """Files of an uploaded project: Python, C and C++ only, by their exact suffixes, nothing excluded; other languages find nothing."""
+    some = [x.strip() for x in languages.split(",") if x.strip() in ("python", "c", "cpp")]
+    return discover(spark, root, some, exclude=False) if some else spark.createDataFrame([], FILES)
+
+
 def decoded(rows: DataFrame) -> DataFrame:
     """Adds ext, source and content_hash to (file_path, content)."""
     return rows.select("file_path", extension("file_path").alias("ext"), F.make_valid_utf8(F.col("content").cast("string")).alias("source"), F.sha2("content", 256).alias("content_hash"))
@@ -75,9 +83,15 @@ def unpack(content: bytes, path: str) -> list[tuple[str, bytes]]:
     if low.endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             return [(n, z.read(n)) for n in z.namelist() if wanted(n)]
-    if low.endswith((".tar", ".tar.gz", ".tgz", ".tar.bz2")):
-        with tarfile.open(fileobj=io.BytesIO(content)) as t:
-            return [(m.name, t.extractfile(m).read()) for m in t.getmembers() if m.isfile() and wanted(m.name)]
+    if low.endswith((".tar", ".tar.gz", ".tgz", ".tar.bz2", ".gz", ".bz2")):
+        try:
+            with tarfile.open(fileobj=io.BytesIO(content)) as t:
+                return [(m.name, t.extractfile(m).read()) for m in t.getmembers() if m.isfile() and wanted(m.name)]
+        except tarfile.ReadError:
+            if low.endswith((".tar", ".tar.gz", ".tgz", ".tar.bz2")):
+                raise
+        one = gzip.decompress(content) if low.endswith(".gz") else bz2.decompress(content)  # a single compressed file
+        return [(path.rsplit("/", 1)[-1].rsplit(".", 1)[0], one)]
     return [(path.rsplit("/", 1)[-1], content)]
 
 

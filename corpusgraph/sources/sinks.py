@@ -82,6 +82,23 @@ def export_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e)
 
 
+def graph_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, id, line) of one node-link JSON document, {"nodes": [...], "edges": [...]}, that files.graph_json reads. Equal relations between two nodes show once."""
+    spark = nodes.sparkSession
+    rows = export_json(nodes, edges.dropDuplicates(["src", "dst", "relation_type"])).withColumn("id", F.when(F.col("part") == "edges", F.concat("id", F.lit("\x00"), F.get_json_object("line", "$.relation_type"))).otherwise(F.col("id")))
+    fixed = spark.createDataFrame([(0, "", '{"directed": true, "multigraph": false, "graph": {}, "nodes": ['), (2, "", '], "edges": ['), (4, "", "]}")], "part int, id string, line string")
+    for kind, part in (("nodes", 1), ("edges", 3)):
+        mine = rows.where(F.col("part") == kind)
+        first = mine.agg(F.min("id")).scalar()
+        fixed = fixed.unionByName(mine.select(F.lit(part).alias("part"), "id", F.concat(F.when(F.col("id") == first, "").otherwise(","), "line").alias("line")))
+    return fixed
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """One text file, as a reader of the whole document needs it; the order of parts and ids is the lines' order."""
+    lines.orderBy("part", "id", "line").select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
 def _xml(x: Column | str) -> Column:
     c = F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -101,17 +118,39 @@ def gexf_lines(nodes: DataFrame, edges: DataFrame, project: str | None = None) -
 
 _PAGE = """<!DOCTYPE html>
 <html><head><meta charset="utf-8"><title>Code graph of {project}</title>
-<style>body{{font:14px sans-serif}}#list{{columns:3}}.k{{color:#777}}</style></head>
+<style>body{{font:14px sans-serif;margin:8px}}canvas{{border:1px solid #ccc}}#about{{white-space:pre-wrap;color:#444}}</style></head>
 <body><h1>{project}</h1><p>{n_nodes} nodes, {n_edges} edges</p>
-<input id="find" placeholder="name"><select id="type"><option value="">every type</option>{options}</select><ul id="list"></ul>
-<script>const graph={data};
-const list=document.getElementById("list"),find=document.getElementById("find"),type=document.getElementById("type");
-function show(){{list.textContent="";for(const n of graph.nodes){{if((type.value&&n.entity_type!==type.value)||!(n.name||"").includes(find.value))continue;const li=document.createElement("li");
-li.textContent=n.name+" ("+n.entity_type+") -> "+graph.edges.filter(e=>e.source===n.id).length;list.append(li)}}}}
-find.oninput=type.onchange=show;show();</script></body></html>
+<input id="find" placeholder="name"><select id="type"><option value="">every type</option>{options}</select><select id="relation"><option value="">every relation</option>{relations}</select>
+<br><canvas id="view" width="1200" height="760"></canvas><div id="about"></div>
+<script>const graph={data}, colors={colors};
+const view=document.getElementById("view"),pen=view.getContext("2d"),find=document.getElementById("find"),type=document.getElementById("type"),relation=document.getElementById("relation"),about=document.getElementById("about");
+const spot=new Map(graph.nodes.map((n,i)=>[n.id,{{n,x:600+40*Math.sqrt(i)*Math.cos(2.4*i),y:380+40*Math.sqrt(i)*Math.sin(2.4*i),dx:0,dy:0}}]));
+let scale=1,left=0,top_=0,held=null,heat=1;
+const shown=s=>(!type.value||s.n.entity_type===type.value)&&(s.n.name||"").includes(find.value);
+const links=()=>graph.edges.filter(e=>spot.has(e.source)&&spot.has(e.target)&&(!relation.value||e.relation_type===relation.value));
+function step(){{const all=[...spot.values()];
+if(heat>0.01&&all.length<=1500){{for(const a of all)for(const b of all)if(a!==b){{const x=a.x-b.x,y=a.y-b.y,d=x*x+y*y+1;a.dx+=900*x/d;a.dy+=900*y/d}}
+for(const e of links()){{const a=spot.get(e.source),b=spot.get(e.target),x=b.x-a.x,y=b.y-a.y;a.dx+=x/40;a.dy+=y/40;b.dx-=x/40;b.dy-=y/40}}
+for(const s of all){{if(s!==held){{s.x+=heat*Math.max(-20,Math.min(20,s.dx));s.y+=heat*Math.max(-20,Math.min(20,s.dy))}}s.dx=s.dy=0}}heat*=0.985}}
+draw();requestAnimationFrame(step)}}
+function draw(){{pen.setTransform(1,0,0,1,0,0);pen.clearRect(0,0,view.width,view.height);pen.setTransform(scale,0,0,scale,left,top_);pen.strokeStyle="#bbb";
+for(const e of links()){{const a=spot.get(e.source),b=spot.get(e.target);if(shown(a)&&shown(b)){{pen.beginPath();pen.moveTo(a.x,a.y);pen.lineTo(b.x,b.y);pen.stroke()}}}}
+for(const s of spot.values())if(shown(s)){{pen.fillStyle=colors[s.n.entity_type]||"white";pen.beginPath();pen.arc(s.x,s.y,7,0,7);pen.fill();pen.strokeStyle="#555";pen.stroke();if(scale>0.6){{pen.fillStyle="#222";pen.fillText(s.n.name||s.n.id,s.x+9,s.y+3)}}}}}}
+const at=ev=>[(ev.offsetX-left)/scale,(ev.offsetY-top_)/scale];
+view.onmousedown=ev=>{{const [x,y]=at(ev);held=[...spot.values()].find(s=>shown(s)&&(s.x-x)**2+(s.y-y)**2<100)||"view";
+if(held!=="view")about.textContent=held.n.name+" ("+held.n.entity_type+")\\n"+graph.edges.filter(e=>e.source===held.n.id||e.target===held.n.id).map(e=>e.source+" "+e.relation_type+" "+e.target).join("\\n")}};
+view.onmousemove=ev=>{{if(held==="view"){{left+=ev.movementX;top_+=ev.movementY}}else if(held){{[held.x,held.y]=at(ev);heat=Math.max(heat,0.3)}}}};
+view.onmouseup=view.onmouseleave=()=>held=null;
+view.onwheel=ev=>{{ev.preventDefault();const [x,y]=at(ev);scale*=ev.deltaY<0?1.1:1/1.1;left=ev.offsetX-x*scale;top_=ev.offsetY-y*scale}};
+step();</script></body></html>
 """
 
 
+def type_lists(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entity types and relation types that occur, in order."""
+    return tuple(df.select(c).where(F.col(c) != "").distinct().orderBy(c) for df, c in ((nodes, "entity_type"), (edges, "relation_type")))
+
+
 def html_page(nodes: DataFrame, edges: DataFrame, project: str | None = None, types: list[str] | None = None, most: int = 50_000) -> str:
     """One page with the graph in it. A page is read by a person: more than ``most`` nodes or edges are refused, never cut."""
     n, e = subgraph(nodes, edges, project, types)
@@ -119,5 +158,6 @@ def html_page(nodes: DataFrame, edges: DataFrame, project: str | None = None, ty
     if len(n_rows) > most or len(e_rows) > most:
         raise ValueError(f"more than {most} nodes or edges: filter by project or relation type, or export DOT, GEXF or JSON")
     data = {"nodes": [r.asDict() for r in sorted(n_rows)], "edges": [{"source": r.src, "target": r.dst, "relation_type": r.relation_type} for r in sorted(e_rows)]}
-    options = "".join(f"<option>{t}</option>" for t in sorted({r.entity_type for r in n_rows if r.entity_type}))
-    return _PAGE.format(project=project or "all", n_nodes=len(n_rows), n_edges=len(e_rows), options=options, data=json.dumps(data, ensure_ascii=False, default=str).replace("</", "<\\/"))
+    listed = lambda kinds: "".join(f"<option>{t}</option>" for t in sorted(set(filter(None, kinds))))
+    options, relations = listed(r.entity_type for r in n_rows), listed(r.relation_type for r in e_rows)
+    return _PAGE.format(project=project or "all", n_nodes=len(n_rows), n_edges=len(e_rows), options=options, relations=relations, colors=json.dumps(COLORS), data=json.dumps(data, ensure_ascii=False, default=str).replace("</", "<\\/"))
