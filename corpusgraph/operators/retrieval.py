@@ -69,6 +69,12 @@ def with_fallback(primary: DataFrame, legacy: DataFrame) -> DataFrame:
     return primary.unionByName(legacy.where(primary.limit(1).agg(F.count("*")).scalar() == 0))
 
 
+def result_distribution(hits: DataFrame, *by: str) -> DataFrame:
+    """Counts and lowest, highest and mean score by each of the columns, in one pass over grouping sets; the columns of the other sets are null."""
+    rows = hits.groupingSets([[c] for c in by], *by)
+    return rows.agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"), F.avg("score").alias("mean"))
+
+
 def rerank(hits: DataFrame, relevance: Column | Callable[[pd.Series], pd.Series], k: int = 5, multiplier: int = 4, text: str = "text", key: str = "chunk_id") -> DataFrame:
     """The first k * multiplier hits by score, ordered anew by relevance (higher is better): a column, or a function over batches of texts."""
     candidates = top_k(hits, max(k, k * multiplier), key)

@@ -30,7 +30,7 @@ def edge_upsert_last_wins(spark, d):
 
 
 def node_upsert(spark, d):
-    n = nodes(spark, d).where("entity_type in ('supplier', 'nation')")
+    n = nodes(spark, d)
     new = n.where("seq % 3 = 0").select("id", "entity_type", F.concat("name", F.lit(" (2)")).alias("name"), (F.col("seq") + 1_000_000).alias("seq"))
     return G.upsert_nodes(n, new)
 
@@ -46,13 +46,12 @@ def node_delete_cascade(spark, d):
 
 
 def edge_delete(spark, d):
-    return G.remove_edges(edges(spark, d).where("relation_type in ('CONTAINS', 'INCLUDES')"), "nation:3", "nation:4", "INCLUDES")
+    return G.remove_edges(edges(spark, d), "nation:3", "nation:4", "INCLUDES")
 
 
 def find_entity(spark, d):
-    n = nodes(spark, d)
-    first = n.where("entity_type = 'part'").orderBy("seq").limit(1).select(F.col("name").alias("_n"))
-    return n.join(F.broadcast(first), F.col("name") == F.col("_n")).drop("_n").orderBy("seq", "id").limit(1)
+    """The first node of the name that many orders share."""
+    return G.find_node(nodes(spark, d), "1-URGENT")
 
 
 def impact_scope(spark, d):
@@ -98,7 +97,9 @@ def impact_analysis(spark, d):
 
 
 def subgraph_filter(spark, d):
-    n, e = G.subgraph(nodes(spark, d).where("entity_type in ('supplier', 'nation', 'region')"), edges(spark, d), types=["INHERITS_FROM", "CONTAINS"])
+    """The part of the graph that one project holds: orders and parts are another's."""
+    kind = F.when(F.col("entity_type").isin("order", "part"), "trade").otherwise("places")
+    n, e = G.subgraph(nodes(spark, d).withColumn("project_id", kind), edges(spark, d), "places", ["INHERITS_FROM", "CONTAINS", "CALLS"])
     return e
 
 
@@ -181,11 +182,11 @@ ORACLE_SQL = {
     "graph_stats": f"{_E} {_STATS.format(n='nodes', e='edges')}",
     "graph_neighbors": f"{_E}, x AS (SELECT dst AS id, relation_type, 'out' AS direction FROM edges WHERE src = 'nation:7' UNION ALL SELECT src, relation_type, 'in' FROM edges WHERE dst = 'nation:7') SELECT x.*, entity_type, name FROM x JOIN nodes USING (id)",
     "edge_upsert_last_wins": "SELECT 'part:' || l_partkey AS src, 'supplier:' || l_suppkey AS dst, arg_max(l_returnflag, (l_orderkey, l_linenumber)) AS relation_type FROM lineitem GROUP BY l_partkey, l_suppkey",
-    "node_upsert": f"{_E} SELECT id, entity_type, CASE WHEN seq % 3 = 0 THEN name || ' (2)' ELSE name END AS name, seq FROM nodes WHERE entity_type IN ('supplier', 'nation')",
+    "node_upsert": f"{_E} SELECT id, entity_type, CASE WHEN seq % 3 = 0 THEN name || ' (2)' ELSE name END AS name, seq FROM nodes",
     "graph_stub_nodes": f"{_E} SELECT DISTINCT id FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) WHERE id NOT IN (SELECT id FROM nodes WHERE entity_type <> 'supplier')",
     "node_delete_cascade": f"{_E}, gone AS (SELECT id FROM nodes WHERE entity_type = 'part' AND seq % 2 = 0), n AS (SELECT * FROM nodes WHERE id NOT IN (SELECT id FROM gone)), e AS (SELECT * FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)) {_STATS.format(n='n', e='e')}",
-    "edge_delete": f"{_E} SELECT * FROM edges WHERE relation_type IN ('CONTAINS', 'INCLUDES') AND NOT (src = 'nation:3' AND dst = 'nation:4' AND relation_type = 'INCLUDES')",
-    "find_entity": f"{_E} SELECT * FROM nodes WHERE name = (SELECT name FROM nodes WHERE entity_type = 'part' ORDER BY seq LIMIT 1) ORDER BY seq, id LIMIT 1",
+    "edge_delete": f"{_E} SELECT * FROM edges WHERE NOT (src = 'nation:3' AND dst = 'nation:4' AND relation_type = 'INCLUDES')",
+    "find_entity": f"{_E} SELECT * FROM nodes WHERE name = '1-URGENT' ORDER BY seq, id LIMIT 1",
     "impact_scope": f"{_E}, {_reach('order:0', 3, G.FORWARD)} SELECT * FROM r_all",
     "find_callers": f"{_E}, {_reach('supplier:0', 2, ('CALLS',), 'dst', 'src', True)} SELECT * FROM r_all",
     "find_callees": f"{_E}, {_reach('order:5', 3, ('CALLS',), keep=True)} SELECT * FROM r_all",
@@ -196,7 +197,7 @@ ORACLE_SQL = {
     "file_dependents": f"{_E} SELECT src AS id FROM edges WHERE dst = 'nation:0' AND relation_type = 'INCLUDES'",
     "concept_impls": f"{_E} SELECT src AS id, CASE WHEN src LIKE 'supplier%' THEN 'IMPLEMENTS' ELSE 'USES_CONCEPT' END AS relation_type FROM edges WHERE dst = 'nation:2' AND relation_type = 'INHERITS_FROM'",
     "impact_analysis": f"{_E}, {_reach('part:1', 3, G.FORWARD)} SELECT src AS id, 'direct_caller' AS role, 1 AS depth FROM edges WHERE dst = 'part:1' AND relation_type = 'CALLS' UNION ALL SELECT dst, 'direct_callee', 1 FROM edges WHERE src = 'part:1' AND relation_type = 'CALLS' UNION ALL SELECT id, 'transitive', depth FROM r_all UNION ALL SELECT src, 'file_dependent', 1 FROM edges WHERE dst = 'nation:1' AND relation_type = 'INCLUDES'",
-    "subgraph_filter": f"{_E}, n AS (SELECT id FROM nodes WHERE entity_type IN ('supplier', 'nation', 'region')) SELECT * FROM edges WHERE relation_type IN ('INHERITS_FROM', 'CONTAINS') AND src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)",
+    "subgraph_filter": f"{_E}, n AS (SELECT id FROM nodes WHERE entity_type NOT IN ('order', 'part')) SELECT * FROM edges WHERE relation_type IN ('INHERITS_FROM', 'CONTAINS', 'CALLS') AND src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)",
     "symbol_resolution": "SELECT p_name || ' ' || p_brand AS name, 'part:' || min(p_partkey) AS symbol_id FROM part GROUP BY 1 HAVING count(*) = 1",
     "pending_resolution": "WITH u AS (SELECT p_name || ' ' || p_brand AS name FROM part GROUP BY 1 HAVING count(*) = 1), r AS (SELECT p_name || ' ' || p_brand AS target_name FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT CASE WHEN target_name IN (SELECT name FROM u) THEN 'resolved' ELSE 'pending' END AS state, target_name, count(*) AS n FROM r GROUP BY ALL",
     "contains_interval_join": f"WITH {_RANGES} SELECT o.file_path, o.id AS outer_id, count(*) AS n, min(i.id) AS first_inner FROM ranges o JOIN ranges i ON o.file_path = i.file_path AND o.line_start <= i.line_start AND o.line_end >= i.line_end AND o.id <> i.id WHERE o.entity_type IN ('class', 'namespace') AND i.entity_type <> 'namespace' GROUP BY ALL",

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgraph.plans import graph_queries, source_queries, text_queries, vector_queries
+from corpusgraph.plans import graph_queries, source_queries, store_queries, text_queries, vector_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (vector_queries, text_queries, graph_queries, source_queries):
+for _module in (vector_queries, text_queries, graph_queries, source_queries, store_queries):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import functions as F
 
 from corpusgraph.operators import evaluation as E
-from corpusgraph.plans.derived import edges, nodes, table
+from corpusgraph.plans.derived import EDGES_SQL, NODES_SQL, edges, nodes, table
 from corpusgraph.plans.graph_queries import _RANGES, _ranges, _snapshots
 from corpusgraph.sources import code_graph, parsers, sinks
 from corpusgraph.sources.scratch import scratch_dir
@@ -97,26 +100,37 @@ def eval_accuracy(spark, d):
     return E.accuracy(c).join(c.agg(F.sum("start_diff").alias("start_diff"), F.count_if("type_match").alias("types")))
 
 
-def _small(spark, d):
-    n = nodes(spark, d).where("entity_type in ('region', 'nation', 'supplier')").withColumns({"project_id": F.lit("p"), "entity_type": F.when(F.col("entity_type") == "nation", "namespace").otherwise(F.col("entity_type"))})
+def _graph(spark, d):
+    """The whole derived graph, nations as namespaces of a project for each kind of thing."""
+    project = F.when(F.col("entity_type").isin("region", "nation", "supplier"), "places").otherwise("trade")
+    n = nodes(spark, d).withColumns({"project_id": project, "entity_type": F.when(F.col("entity_type") == "nation", "namespace").otherwise(F.col("entity_type"))})
     return n, edges(spark, d)
 
 
 def export_dot(spark, d):
-    return sinks.dot_lines(*_small(spark, d)).select("part", "line")
+    return sinks.dot_lines(*_graph(spark, d)).select("part", "line")
 
 
 def export_json(spark, d):
-    return sinks.export_json(*_small(spark, d)).select("part", "line")
+    return sinks.export_json(*_graph(spark, d)).select("part", "line")
 
 
 def export_gexf(spark, d):
-    return sinks.gexf_lines(*_small(spark, d)).select("part", "line")
+    return sinks.gexf_lines(*_graph(spark, d)).select("part", "line")
 
 
 def export_html(spark, d):
-    n = nodes(spark, d).where("entity_type in ('region', 'nation')").withColumn("project_id", F.lit("p"))
-    return spark.createDataFrame([(sinks.html_page(n, edges(spark, d)),)], "page string")
+    """What the page of one project holds: its data and its lists of types, read back from the page."""
+    page = sinks.html_page(*_graph(spark, d), project="places")
+    data = json.loads(page.split("const graph=", 1)[1].split(", colors=", 1)[0])
+    rows = [("node", x["entity_type"], x["id"]) for x in data["nodes"]] + [("edge", x["relation_type"], f"{x['source']} {x['target']}") for x in data["edges"]]
+    rows += [("option", x, "") for x in re.findall("<option>(.*?)</option>", page)]
+    return spark.createDataFrame(rows, "kind string, type string, id string")
+
+
+def export_types(spark, d):
+    one, two = sinks.type_lists(*_graph(spark, d))
+    return one.select(F.lit("entity").alias("of"), F.col("entity_type").alias("type")).unionByName(two.select(F.lit("relation").alias("of"), F.col("relation_type").alias("type")))
 
 
 def stream_incremental(spark, d):
@@ -144,7 +158,7 @@ def stream_event_counts(spark, d):
     return spark.read.parquet(f"{folder}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (python_units, cpp_units, verilog_units, paragraph_packing, llm_ranges, code_graph_edges, code_graph_pending, eval_boundaries, eval_mismatches, eval_accuracy, export_dot, export_json, export_gexf, export_html, stream_incremental, stream_event_counts)}
+QUERIES = {f.__name__: f for f in (python_units, cpp_units, verilog_units, paragraph_packing, llm_ranges, code_graph_edges, code_graph_pending, eval_boundaries, eval_mismatches, eval_accuracy, export_dot, export_json, export_gexf, export_html, export_types, stream_incremental, stream_event_counts)}
 
 _JUDGED = f"""WITH {_RANGES}, labels AS (SELECT id AS label_id, min(file_path) AS file_path, min(CASE WHEN split_part(id, '-', 2)::INTEGER % 4 = 0 THEN 'zz' ELSE name END) AS name,
   min(CASE entity_type WHEN 'class' THEN 'class_template' WHEN 'function' THEN 'struct' ELSE entity_type END) AS kind, min(line_start + split_part(id, '-', 4)::INTEGER % 2) AS line_start, min(line_end) AS line_end FROM ranges GROUP BY id),
@@ -158,7 +172,32 @@ o AS (SELECT label_id, CASE WHEN n1 > 0 OR (n2 = 0 AND ex > 0) THEN 'exact' WHEN
 _S = "'s' || s_suppkey || '.cpp'"
 _P = f"'p:' || {_S} || ':"
 _DIFF = """WITH old AS (SELECT source AS p, doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 1), new AS (SELECT source AS p, doc_id, sha256(CASE WHEN doc_id % 10 = 2 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 3)"""
+_G = f"""edges AS (SELECT * FROM ({EDGES_SQL})), raw AS ({NODES_SQL}), nodes AS (SELECT id, CASE entity_type WHEN 'nation' THEN 'namespace' ELSE entity_type END AS entity_type, name, seq, CASE WHEN entity_type IN ('region', 'nation', 'supplier') THEN 'places' ELSE 'trade' END AS project_id FROM raw),
+e AS (SELECT * FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes))"""
+_HEAD = ", ".join(f"(0, '{x}')" for x in sinks.DOT_HEAD)
+_XML = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_GEXF = ('<?xml version="1.0" encoding="UTF-8"?>', '<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2"><graph defaultedgetype="directed"><attributes class="node"><attribute id="0" title="entity_type" type="string"/></attributes><attributes class="edge"><attribute id="1" title="relation_type" type="string"/></attributes><nodes>')
 ORACLE_SQL = {
+    "paragraph_packing": r"""WITH RECURSIVE p AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda s: length(regexp_replace(s, '^\s+|\s+$', '', 'g'))) AS ls FROM documents WHERE regexp_replace(text, '\s+', '', 'g') <> ''),
+r(doc_id, i, line, size, k, idx, name, line_start, line_end, n) AS (SELECT doc_id, 0, 1, 0, 0, 0, NULL::INTEGER, NULL::INTEGER, NULL::INTEGER, NULL::INTEGER FROM p
+  UNION ALL SELECT doc_id, i + 1, line + 2, CASE WHEN l = 0 THEN size WHEN c THEN l ELSE size + l END, CASE WHEN l = 0 THEN k WHEN c THEN 1 ELSE k + 1 END, CASE WHEN c THEN idx + 1 ELSE idx END,
+    CASE WHEN c THEN idx END, CASE WHEN c THEN line - 2 * (k - 1) - 1 END, CASE WHEN c THEN line END, CASE WHEN c THEN size + 2 * (k - 1) END
+  FROM (SELECT r.*, ls[i + 1]::INTEGER AS l, ls[i + 1] > 0 AND k > 0 AND size + ls[i + 1] > 2048 AS c FROM r JOIN p USING (doc_id) WHERE i < len(ls)))
+SELECT doc_id || '.docx' AS file_path, 'paragraph_' || name AS name, line_start, line_end, n FROM r WHERE name IS NOT NULL
+UNION ALL SELECT doc_id || '.docx', 'paragraph_' || idx, line, line + 2 * (k - 1), size + 2 * (k - 1) FROM r JOIN p USING (doc_id) WHERE i = len(ls) AND k > 0""",
+    "export_dot": f"""WITH {_G}, shown AS (SELECT id, '"' || id || '" [label="' || replace(name, '"', '\\"') || '", style=filled, fillcolor=' || CASE entity_type WHEN 'namespace' THEN 'lightgreen' ELSE 'white' END || '];' AS line FROM nodes),
+i AS (SELECT src, name AS ns, dst FROM e JOIN nodes ON src = id WHERE relation_type = 'CONTAINS' AND entity_type = 'namespace')
+SELECT * FROM (VALUES {_HEAD}, (9, '}}')) v(part, line)
+UNION ALL SELECT 1, '  subgraph cluster_' || translate(src, ':/', '__') || ' {{' || chr(10) || '    label="' || ns || '";' || chr(10) || '    style=filled;' || chr(10) || '    color=lightgrey;' || chr(10) || '    fontsize=12;' FROM (SELECT DISTINCT src, ns FROM i)
+UNION ALL SELECT 1, '    ' || line FROM i JOIN shown ON dst = id UNION ALL SELECT 1, '  }}' FROM (SELECT DISTINCT src FROM i)
+UNION ALL SELECT 2, '  ' || line FROM shown WHERE id NOT IN (SELECT dst FROM i) UNION ALL SELECT 3, '  "' || src || '" -> "' || dst || '" [label="' || relation_type || '"];' FROM e WHERE relation_type <> 'CONTAINS'""",
+    "export_json": f"WITH {_G} SELECT 'nodes' AS part, to_json({{'id': id, 'entity_type': entity_type, 'name': name, 'seq': seq, 'project_id': project_id}})::VARCHAR AS line FROM nodes UNION ALL SELECT 'edges', to_json({{'source': src, 'target': dst, 'relation_type': relation_type}})::VARCHAR FROM edges",
+    "export_gexf": f"""WITH {_G} SELECT * FROM (VALUES (0, '{_GEXF[0]}' || chr(10) || '{_GEXF[1]}'), (2, '</nodes><edges>'), (4, '</edges></graph></gexf>')) v(part, line)
+UNION ALL SELECT 1, '<node id="' || {_XML.format("id")} || '" label="' || {_XML.format("name")} || '"><attvalues><attvalue for="0" value="' || entity_type || '"/></attvalues></node>' FROM nodes
+UNION ALL SELECT 3, '<edge id="' || {_XML.format("src || '|' || dst || '|' || relation_type")} || '" source="' || src || '" target="' || dst || '"><attvalues><attvalue for="1" value="' || relation_type || '"/></attvalues></edge>' FROM e""",
+    "export_html": f"""WITH {_G}, p AS (SELECT * FROM nodes WHERE project_id = 'places'), q AS (SELECT * FROM edges WHERE src IN (SELECT id FROM p) AND dst IN (SELECT id FROM p))
+SELECT 'node' AS kind, entity_type AS type, id FROM p UNION ALL SELECT 'edge', relation_type, src || ' ' || dst FROM q UNION ALL SELECT DISTINCT 'option', entity_type, '' FROM p UNION ALL SELECT DISTINCT 'option', relation_type, '' FROM q""",
+    "export_types": f"WITH {_G} SELECT DISTINCT 'entity' AS of, entity_type AS type FROM nodes UNION ALL SELECT DISTINCT 'relation', relation_type FROM edges",
     "python_units": "SELECT 's' || s_suppkey || '.py' AS file_path, 'function' AS chunk_type, 'f_' || s_suppkey AS name, 3 AS line_start, 4 AS line_end FROM supplier UNION ALL SELECT 's' || s_suppkey || '.py', 'class', 'C_' || s_suppkey, 7, 8 FROM supplier",
     "cpp_units": f"SELECT {_S} AS file_path, k AS chunk_type, n || s_suppkey AS name, a AS line_start, a AS line_end FROM supplier, (VALUES ('struct', 'S_', 3), ('function', 'f_', 4), ('function', 'g_', 5)) v(k, n, a)",
     "verilog_units": "SELECT 's' || s_suppkey || '.v' AS file_path, 'module' AS chunk_type, 'm_' || s_suppkey AS name, 1 AS line_start, 3 AS line_end FROM supplier",

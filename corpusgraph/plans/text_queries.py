@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
 from corpusgraph.operators import chunking as C
+from corpusgraph.operators import enrich as N
 from corpusgraph.operators import retrieval as R
 from corpusgraph.operators import rules as S
 from corpusgraph.operators.relations import content_hash
 from corpusgraph.plans.derived import table
+from corpusgraph.sources import sinks as K
 
 
 def _docs(spark, d):
@@ -108,19 +110,9 @@ def sanitized_document(spark, d):
 
 
 def project_summary_sample(spark, d):
-    """First eight documents of a source as the lines that describe it."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id")
-    first = _docs(spark, d).select("source", "doc_id", "lang", F.substring("text", 1, 140).alias("line"), F.row_number().over(w).alias("k")).where("k <= 8")
-    line = F.concat(F.lit("- "), F.col("lang"), F.lit(":"), F.col("doc_id").cast("string"), F.lit(" -> "), F.col("line"))
-    return first.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("l")))), lambda s: s["l"]), "\n").alias("sample"))
-
-
-def project_summary_text(spark, d):
-    """The sentence that stands for a source without a language model."""
-    per = _docs(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3).alias("first"))
-    return per.select("source", F.concat(F.lit("Project "), "source", F.lit(" focuses on "), F.col("n").cast("string"), F.lit(" indexed documents. Representative symbols include "), F.array_join("first", ", "), F.lit(".")).alias("summary"))
+    """What a language model is shown of each source: its answer here is the question."""
+    docs = _docs(spark, d).select(F.col("source").alias("project_id"), "source", F.col("source").alias("project_name"), F.lit("/").alias("project_root"), F.col("lang").alias("language"), F.col("doc_id").cast("string").alias("name"), F.substring("text", 1, 300).alias("semantic_summary"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("seq"))
+    return N.project_summaries(docs, lambda prompt: prompt).select(F.col("project_id").alias("source"), F.col("text").alias("sample"))
 
 
 def prompt_assembly(spark, d):
@@ -147,26 +139,19 @@ def index_dry_run(spark, d):
 
 
 def result_distribution(spark, d):
-    """Counts by language, type and project with score ranges, in one pass over grouping sets."""
-    _docs(spark, d).select("lang", (F.col("doc_id") % 3).cast("string").alias("kind"), "source", F.col("n_chars").cast("double").alias("score")).createOrReplaceTempView("_cg_hits")
-    return spark.sql("SELECT lang, kind, source, count(*) AS n, min(score) AS low, max(score) AS high, round(avg(score), 6) AS mean FROM _cg_hits GROUP BY GROUPING SETS ((lang), (kind), (source))")
+    hits = _docs(spark, d).select("lang", (F.col("doc_id") % 3).cast("string").alias("kind"), "source", F.col("n_chars").cast("double").alias("score"))
+    return R.result_distribution(hits, "lang", "kind", "source").withColumn("mean", F.round("mean", 6))
 
 
 def collection_stats(spark, d):
-    return _docs(spark, d).groupBy(F.col("lang").alias("collection")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-
-
-def includes_extract(spark, d):
-    pattern = r'href="([^"]+)"'
-    lines = table(spark, d, "pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("pos", "line"))
-    return lines.select("page_id", (F.col("pos") + 1).alias("line"), F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(1))).alias("target"))
+    return K.collection_stats(_docs(spark, d).withColumnRenamed("lang", "collection"))
 
 
 def file_hashes(spark, d):
     return _docs(spark, d).select("doc_id", content_hash("text").alias("content_hash"))
 
 
-QUERIES = {f.__name__: f for f in (sensitive_flags, sensitive_rollup, sensitive_phone, privacy_match, leak_guard, line_windows, split_large_units, char_windows, semantic_windows, markdown_sections, chunk_ids, project_ids, language_family, declaration_extract, sanitized_document, project_summary_sample, project_summary_text, prompt_assembly, token_estimate, token_reduction, index_dry_run, result_distribution, collection_stats, includes_extract, file_hashes)}
+QUERIES = {f.__name__: f for f in (sensitive_flags, sensitive_rollup, sensitive_phone, privacy_match, leak_guard, line_windows, split_large_units, char_windows, semantic_windows, markdown_sections, chunk_ids, project_ids, language_family, declaration_extract, sanitized_document, project_summary_sample, prompt_assembly, token_estimate, token_reduction, index_dry_run, result_distribution, collection_stats, file_hashes)}
 
 
 def _q(s: str) -> str:
@@ -207,8 +192,7 @@ UNION ALL SELECT r_regionkey, (k + 1)::INTEGER, 'section', n_name, '## ' || n_na
     "language_family": "SELECT CASE doc_id % 7 WHEN 0 THEN 'c_family' WHEN 1 THEN 'c_family' WHEN 2 THEN 'systemc_tlm' WHEN 3 THEN 'python' WHEN 6 THEN 'markdown' ELSE 'hdl' END AS family, count(*) AS n FROM documents GROUP BY 1",
     "declaration_extract": f"WITH {_UNITS} SELECT p_partkey, declaration FROM decls",
     "sanitized_document": f"WITH {_UNITS} SELECT p_partkey, concat_ws(chr(10), 'project: parts', 'project_root: /srv/parts', 'file: p' || p_partkey, 'language: ' || language, 'symbol_type: function', 'symbol_name: ' || name, 'line_range: ' || line_start || '-' || line_end, 'declaration: ' || declaration, 'summary: ' || name || ' is a function in ' || language || ' defined at lines ' || line_start || '-' || line_end || '.') AS document FROM decls",
-    "project_summary_sample": "WITH f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) SELECT source, string_agg('- ' || lang || ':' || doc_id || ' -> ' || left(text, 140), chr(10) ORDER BY k) AS sample FROM f WHERE k <= 8 GROUP BY source",
-    "project_summary_text": "WITH f AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) SELECT source, 'Project ' || source || ' focuses on ' || count(*) || ' indexed documents. Representative symbols include ' || string_agg(doc_id::VARCHAR, ', ' ORDER BY k) FILTER (WHERE k <= 3) || '.' AS summary FROM f GROUP BY source",
+    "project_summary_sample": "WITH f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) SELECT source, regexp_replace('Summarize this project in at most three sentences, without code.' || chr(10) || 'Project: ' || source || chr(10) || string_agg('- ' || lang || ':' || doc_id || ' -> ' || left(CASE WHEN text = '' THEN doc_id::VARCHAR ELSE text END, 140), chr(10) ORDER BY k), '\\s+$', '') AS sample FROM f WHERE k <= 8 GROUP BY source",
     "prompt_assembly": f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents),
 b AS (SELECT lang, k, 'Project: ' || source || chr(10) || 'File: ' || source || '/' || doc_id || ' (lines 1-' || len(string_split(text, chr(10))) || '), type=section' || CASE WHEN doc_id % 4 = 0 THEN ' [HIGH-CONFIDENTIAL]' ELSE '' END || chr(10) || '```markdown' || chr(10)
   || CASE WHEN doc_id % 4 = 0 THEN '[PRIVACY-SAFE SUMMARY] summary of ' || doc_id || chr(10) || chr(10) || {_q(R.PRIVATE_NOTE)} ELSE text END || chr(10) || '```' AS block FROM h WHERE k <= 5),
@@ -219,6 +203,7 @@ SELECT query_id, md5(prompt) AS prompt_md5, length(prompt) // 4 AS chunk_tokens,
     "index_dry_run": "SELECT '.' || lang AS ext, count(*) AS files, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(greatest(1, length(text) // 4))::BIGINT AS tokens FROM documents GROUP BY lang",
     "result_distribution": "SELECT lang, kind, source, count(*) AS n, min(score) AS low, max(score) AS high, round(avg(score), 6) AS mean FROM (SELECT lang, (doc_id % 3)::VARCHAR AS kind, source, n_chars::DOUBLE AS score FROM documents) GROUP BY GROUPING SETS ((lang), (kind), (source))",
     "collection_stats": "SELECT lang AS collection, count(*) AS n, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY lang",
-    "includes_extract": "WITH l AS (SELECT page_id, string_split(html, chr(10)) AS ls FROM pages), x AS (SELECT page_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS k FROM l) SELECT page_id, k::INTEGER AS line, unnest(regexp_extract_all(line, 'href=\"([^\"]+)\"', 1)) AS target FROM x",
+    "sensitive_phone": r"""SELECT doc_id FROM documents WHERE len(list_filter(regexp_extract_all(regexp_replace(text, '([^0-9A-Za-z_\s\-().+])', '\1\1', 'g'), '(?:^|[^0-9A-Za-z_])(\+?\d[\d\s\-().]{6,}\d)(?:$|[^0-9A-Za-z_])', 1),
+  lambda x: length(regexp_replace(x, '\D', '', 'g')) BETWEEN 7 AND 15 AND regexp_matches(x, '[\s\-().]'))) > 0""",
     "file_hashes": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
 }

@@ -30,6 +30,15 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes one small file through Spark's own file system, wherever that is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    for at in range(0, len(data), 1 << 20):
+        out.write(bytearray(data[at : at + (1 << 20)]))
+    out.close()
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table of the shared folder: later steps neither recompute it nor depend on the executors that made it."""
     path = scratch_dir(df.sparkSession, label)

@@ -31,6 +31,11 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "project_id").parquet(path)
 
 
+def collection_stats(chunks: DataFrame) -> DataFrame:
+    """(collection, n, bytes): chunks of each collection and the bytes of their texts."""
+    return chunks.groupBy("collection").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
 def drop_collection(spark: SparkSession, path: str, name: str | None = None) -> None:
     """Removes a collection's folder, or with no name all of them, through Spark's own file system."""
     target = path if name is None else f"{path.rstrip('/')}/collection={name}"
