@@ -30,13 +30,22 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def put(spark: SparkSession, path: str, data: bytes) -> None:
-    """Writes one small file through Spark's own file system, wherever that is."""
+def put(spark: SparkSession, path: str, data: bytes) -> str:
+    """Writes one small file through Spark's own file system, wherever that is; returns its full name."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(target)
     for at in range(0, len(data), 1 << 20):
         out.write(bytearray(data[at : at + (1 << 20)]))
     out.close()
+    return fs.makeQualified(target).toString()
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes files and folders through Spark's own file system; what isn't there is no error."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

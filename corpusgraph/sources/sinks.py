@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.operators.graph import subgraph
 from corpusgraph.operators.vector import keep_first
+from corpusgraph.sources.scratch import remove
 
 #: Colours of node kinds, head of a DOT file
 COLORS = {
@@ -38,9 +39,7 @@ def collection_stats(chunks: DataFrame) -> DataFrame:
 
 def drop_collection(spark: SparkSession, path: str, name: str | None = None) -> None:
     """Removes a collection's folder, or with no name all of them, through Spark's own file system."""
-    target = path if name is None else f"{path.rstrip('/')}/collection={name}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(target)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    remove(spark, path if name is None else f"{path.rstrip('/')}/collection={name}")
 
 
 def write_hashes(files: DataFrame, path: str) -> None:

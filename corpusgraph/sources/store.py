@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgraph.sources.scratch import remove
+
 SNAPSHOTS = ("summaries", "nodes", "edges")  # the other tables are by file
 _KEY = "project_id string, version long"
 
@@ -65,12 +67,8 @@ class Store:
         return rows.join(dead, ["project_id", "file_path", "version"], "left_anti")
 
     def drop_old_snapshots(self, keep: int = 2) -> int:
-        """Removes all but the last ``keep`` committed snapshots of each project; returns how many folders went. Readers of a kept version aren't disturbed."""
+        """Removes all but the last ``keep`` committed snapshots of each project; returns how many. Readers of a kept version aren't disturbed."""
         rows = self.log().groupBy("project_id").agg(F.sort_array(F.collect_set("version"), asc=False).alias("v")).collect()
-        gone = 0
-        for r in rows:
-            for version in r.v[keep:]:
-                for name in SNAPSHOTS:
-                    folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder(name, r.project_id, version))
-                    gone += bool(folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True))
-        return gone
+        old = [(r.project_id, version) for r in rows for version in r.v[keep:]]
+        remove(self.spark, *(self.folder(name, project, version) for project, version in old for name in SNAPSHOTS))
+        return len(old)
