@@ -224,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, column: str =
         state.model.d[:] = 0
         return state.model
     tasks = max(1, round(count / PART_ROWS), -(-(size or 0) // PART_BYTES))
-    dealt = sample.repartition(tasks, "id").persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = sample.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)  # in turn: even parts, however ids hash
     schema = pa.schema([("task", pa.int32()), ("n", pa.int64()), ("state", pa.binary())])
 
     def one_round(start: State, number: int) -> list:
