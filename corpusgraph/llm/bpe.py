@@ -48,6 +48,8 @@ class Vocabulary:
             spec = json.load(f)
         letters = byte_letters()
         to_bytes = lambda token: bytes(letters[c] for c in token)
+        if odd := [t["content"] for t in spec["added_tokens"] if any(t.get(f) for f in ("lstrip", "rstrip", "single_word"))]:
+            raise ValueError(f"added tokens that take in what stands around them are not supported: {odd[:3]}")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab = spec["model"]["vocab"]
         self.bytes_of = {i: t.encode() if t in self.special else to_bytes(t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
@@ -61,6 +63,11 @@ class Vocabulary:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
 
+    @property
+    def context(self) -> int:
+        """Characters on which a boundary between pre-tokens may depend: the longest added token, or the look-ahead of the pattern."""
+        return max(16, *map(len, self.special)) if self.special else 16
+
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text in order; their concatenation is the text. Added tokens stand alone."""
         if self.split is None or not any(s in text for s in self.special):
@@ -414,7 +421,7 @@ def _rows(path: str, lexicon: str | None, columns: list[str]):
 def encode_documents(docs: DataFrame, path: str, lexicon: str | None = None, columns: tuple[str, ...] = ("doc_id", "n_tokens", "ids")) -> DataFrame:
     """One row per document row with the wanted of: doc_id, n_tokens, ids (array), decoded (text of the ids), ids_sha256, decoded_sha256.
 
-    Null text is empty: no ids. doc_id may be null or repeated, one row each; other columns of docs are not read. Empty: no rows.
+    Null text is empty: no ids. Very long texts are encoded whole. doc_id may be null or repeated, one row each; other columns of docs are not read. Empty: no rows.
     ``path``: the tokenizer file, at the same place on every executor; ``lexicon``: what build_lexicon returned.
     """
     sql = {"doc_id": "long", "n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}

@@ -4,17 +4,39 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgraph.sources.scratch import put, remove
 from corpusgraph.sources.scratch import shared_root as shared_dir
 
 
-def stage_table(df: DataFrame, label: str) -> DataFrame:
+_STAGED: list[list[str]] = []  # folders made within each staging() that is open
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Folders that stage_table and others make inside go when the block ends; what is read after it must be kept, or written elsewhere."""
+    _STAGED.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_STAGED.pop())
+
+
+def staged_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    path = f"{shared_dir(spark)}/corpusgraph/{label}-{uuid.uuid4().hex}"
+    if _STAGED and not keep:
+        _STAGED[-1].append(path)
+    return path
+
+
+def stage_table(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet into the shared folder and rereads it: lineage ends here and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/corpusgraph/{label}-{uuid.uuid4().hex}"
+    path = staged_path(df.sparkSession, label, keep)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -23,7 +45,7 @@ class Growing:
     """A Parquet table of the shared folder that is written in parts, one after the other."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
-        self.spark, self.path, self.schema = spark, f"{shared_dir(spark)}/corpusgraph/{label}-{uuid.uuid4().hex}", None
+        self.spark, self.path, self.schema = spark, staged_path(spark, label), None
 
     def append(self, df: DataFrame) -> None:
         df.write.mode("append").option("compression", "zstd").parquet(self.path)
@@ -35,13 +57,7 @@ class Growing:
 
 def share_bytes(spark: SparkSession, name: str, data: bytes) -> str:
     """Writes a small file into the shared folder and has Spark hand it to every executor; tasks find it by SparkFiles.get(name)."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpusgraph/{name}")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(target)
-    for at in range(0, len(data), 1 << 20):
-        out.write(bytearray(data[at : at + (1 << 20)]))
-    out.close()
-    spark.sparkContext.addFile(fs.makeQualified(target).toString())
+    spark.sparkContext.addFile(put(spark, f"{shared_dir(spark)}/corpusgraph/{name}", data))
     return name
 
 
@@ -85,7 +101,11 @@ def parts_for(df: DataFrame, column: str, part_bytes: int = 128 << 20) -> int:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, kept_out: Column, rows: int) -> DataFrame:
-    """(y, text) of at most ``rows`` labelled rows of each class, chosen by the hash of their id; the chosen ids, 2 * rows at most, are broadcast."""
+    """(y, text, _cg_id) of at most ``rows`` labels of each class, chosen by the hash of their id; the chosen ids, 2 * rows at most, are broadcast.
+
+    A label that is repeated counts as often as it is there, one with both values as both; a document row that is repeated gives a row for each of its labels. Labels without an id
+    or of another value than 0 and 1, and documents without a label, take no part.
+    """
     usable = labels.select(F.col("doc_id").cast("long").alias("_cg_id"), F.col(column).cast("int").alias("y"), "doc_id").where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~kept_out).select("_cg_id", "y")
     chosen = None
     for y in (0, 1):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-import corpus_pipeline
+from corpusgraph.llm import pipeline
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -12,6 +12,6 @@ for _n in range(1, 11):
     _module = import_module(f"corpusgraph.llm.op{_n}")
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+QUERIES["pipeline"] = pipeline.run
+if pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = pipeline.ORACLE_SQL

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import batch_of, map_arrow, parts_for, shared_dir, slices, stage_table
+from corpusgraph.llm.common import batch_of, map_arrow, parts_for, slices, stage_table, staged_path
 
 WIDTH = 50
 GRAM = 16
@@ -238,7 +238,7 @@ def _pages(docs: DataFrame, n: int) -> DataFrame:
 
     name = f"cg_pages_{uuid.uuid4().hex}"
     packed = map_arrow(docs, pack, "page long, blob binary").repartition(n, "page")
-    packed.write.bucketBy(n, "page").option("compression", "none").option("path", f"{shared_dir(spark)}/corpusgraph/{name}").format("parquet").saveAsTable(name)
+    packed.write.bucketBy(n, "page").option("compression", "none").option("path", staged_path(spark, name)).format("parquet").saveAsTable(name)
     pages = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # only its name: the files stay, and the plan has found them
     return pages

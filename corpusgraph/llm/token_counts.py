@@ -19,15 +19,14 @@ from corpusgraph.llm.bpe import Coder
 from corpusgraph.llm.common import batch_of, map_arrow, slices
 
 BLOCK = 64  # pre-tokens of a leaf
-CONTEXT = 16  # characters on which a boundary may depend: the longest added token and the look-ahead of the pattern
 Edit = tuple[int, int, str]  # characters [start, end) of the text as it is then become the string
 
 
 class TokenTree:
     """Pre-tokens of one document and the sums over them."""
 
-    def __init__(self, words: list[str], split: Callable[[str], list[str]], count: Callable[[list[str]], list[int]], block: int = BLOCK) -> None:
-        self.split, self.count, self.block = split, count, block
+    def __init__(self, words: list[str], split: Callable[[str], list[str]], count: Callable[[list[str]], list[int]], block: int = BLOCK, context: int = 16) -> None:
+        self.split, self.count, self.block, self.context = split, count, block, context
         self.recounted = 0
         self._build(words, count(words))
 
@@ -90,13 +89,13 @@ class TokenTree:
         """Replaces characters [start, end), held inside the text, by ``new``."""
         start = min(max(start, 0), self.chars)
         end = min(max(end, start), self.chars)
-        first, i, left = self.find(max(0, start - CONTEXT))
+        first, i, left = self.find(max(0, start - self.context))
         if i == len(self.words[first]) and i:  # past the end: the last pre-token may grow
             i -= 1
             left -= len(self.words[first][i])
         head, tail = "", ""
         old_ends: dict[int, tuple[int, int]] = {}  # characters of the tail before an old boundary: the place after it
-        stop, want, at = None, 4 * CONTEXT, left
+        stop, want, at = None, 4 * self.context, left
         rest = self._after(first, i)
         found = None
         while found is None:
@@ -119,7 +118,7 @@ class TokenTree:
             for n, w in enumerate(words):
                 place += len(w)
                 # a boundary on an old one, with enough of the text after it to be sure of it
-                if place >= fixed and place - fixed in old_ends and (ended or len(tail) - (place - fixed) >= CONTEXT):
+                if place >= fixed and place - fixed in old_ends and (ended or len(tail) - (place - fixed) >= self.context):
                     found = (words[: n + 1], old_ends[place - fixed])
                     break
             if found is None and ended:
@@ -162,7 +161,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_pretokens", pa.int64()), ("n_token
 def count_with_edits(docs: DataFrame, path: str, edits: Callable[[str], list[Edit]] = redaction_edits) -> DataFrame:
     """One row per document row: counts before, the edits, the pre-tokens that they made to be counted again, and counts after.
 
-    Null text is empty. doc_id may be null or repeated. Other columns are not read. Empty: no rows. Edits beyond a text's end are held at its end.
+    Null text is empty; a very long one has a deeper tree. doc_id may be null or repeated. Other columns are not read. Empty: no rows. Edits beyond a text's end are held at its end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +178,7 @@ def count_with_edits(docs: DataFrame, path: str, edits: Callable[[str], list[Edi
 
             rows = []
             for t, ws in zip(texts, words, strict=True):
-                tree = TokenTree(ws, coder.vocabulary.words, count)
+                tree = TokenTree(ws, coder.vocabulary.words, count, context=coder.vocabulary.context)
                 before = (tree.pretokens, tree.tokens)
                 some = edits(t)
                 for e in some:

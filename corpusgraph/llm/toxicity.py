@@ -386,7 +386,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every row. Only text is read; null is empty, and an empty text is scored like any other. Repeated rows score alike. Empty table: no rows."""
+    """doc_id and score of every row. Only text is read; null is empty, and an empty text is scored like any other. Very long texts are scored whole. Repeated rows score alike. Empty table: no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
