@@ -1,45 +1,5 @@
-"""Training-data pipeline: five stages over documents, each written as Parquet and reread as the next one's input."""
+"""The training-data pipeline of the optional subpackage: its stages, and run(spark, sf_dir), which applies them to documents."""
 
-from __future__ import annotations
+from corpusgraph.llm.pipeline import ORACLE_SQL, STAGES, decontaminate, encode, near_dedup, quality_filter, run, suffix_dedup_stage
 
-import public_tokenizers
-
-from corpusgraph.llm import bpe, decontam, quality, simhash, suffix_dedup
-from corpusgraph.llm.common import read_table, stage_table
-
-
-def quality_filter(spark, docs, sf_dir):
-    """Rows that the byte-level network scores below 0.5 go."""
-    return quality.keep_good(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
-
-
-def near_dedup(spark, docs, sf_dir):
-    """One row of each class stays, that of the smallest doc_id; texts link at a similarity of 0.8 or more of their five-word shingles."""
-    return simhash.keep_first_of_class(docs, simhash.similar_classes(docs, words=5, similarity=0.8))
-
-
-def suffix_dedup_stage(spark, docs, sf_dir):
-    """Strings of 50 bytes that an earlier document holds are cut."""
-    return suffix_dedup.cut_documents(docs)
-
-
-def decontaminate(spark, docs, sf_dir):
-    """Rows that hold ten consecutive words of a benchmark item go."""
-    return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-
-
-def encode(spark, docs, sf_dir):
-    """What is left, with its token ids."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.append_tokens(docs, path, bpe.build_lexicon(docs, path))
-
-
-STAGES = [("quality", quality_filter), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup_stage), ("decontaminate", decontaminate), ("bpe", encode)]
-ORACLE_SQL = None  # a learned network, XXH64 fingerprints and BPE are not SQL; tests hold each stage against brute force
-
-
-def run(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "decontaminate", "encode", "near_dedup", "quality_filter", "run", "suffix_dedup_stage"]
