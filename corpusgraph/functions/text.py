@@ -56,6 +56,7 @@ def declaration(text: Column | str, language: Column | str, kind: Column | str,
     return F.when(_col(language).isin("c", "cpp"), closed).otherwise(plain)
 
 
+#: The sentences of the next three functions
 def behavior_summary(name: Column | str, kind: Column | str, language: Column | str, start: Column | str, end: Column | str) -> Column:
     """The sentence used without a language model."""
     return F.format_string("%s is a %s in %s defined at lines %d-%d.", _col(name), _col(kind), _col(language), _col(start), _col(end))

@@ -86,6 +86,7 @@ def project_summaries(chunks: DataFrame, complete: Complete | None = None, order
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("k", c.alias("v")))), lambda s: s["v"])
     per = first.groupBy("project_id", "project_name", "project_root").agg(F.array_join(ordered(line), "\n").alias("sample"), F.array_join(F.slice(ordered(F.col("name")), 1, 3), ", ").alias("names"))
     per = per.join(chunks.groupBy("project_id").agg(F.count("*").cast("string").alias("n")), "project_id")
+    #: The sentences that stand for a project without a model, and where it fails
     plain = F.concat(F.lit("Project "), "project_name", F.lit(" focuses on "), "n", F.lit(" indexed documents. Representative symbols include "), "names", F.lit("."))
     failed = F.concat(F.lit("Project "), "project_name", F.lit(" includes "), "n", F.lit(" indexed documents and symbols such as "), "names", F.lit("."))
     prompt = F.concat(F.lit("Summarize this project in at most three sentences, without code.\nProject: "), "project_name", F.lit("\n"), "sample")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import extension, trim_space
 
-#: Patterns of sensitive data and of source text
+#: Patterns of sensitive data and of source text; the names that a text breaks are sorted, so their order has no effect
 SENSITIVE = {
     "email": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
     "ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",

@@ -185,8 +185,6 @@ class Reader:
                 u, i2 = self._record(i, end, template)
                 if u is not None:
                     out.append(u)
-                    if owner is not None and i2 < end and self.t[i2].kind == "id":
-                        pass
                     i, template = i2, -1
                     continue
             u, i2 = self._declaration(first, end, template, owner)

@@ -8,8 +8,8 @@ from __future__ import annotations
 import json
 import urllib.error
 import urllib.request
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
+from functools import lru_cache, reduce
 
 #: The two public dialects, timeouts in seconds, and words of an error that mean that an input is too long
 DIALECTS = {
@@ -17,6 +17,7 @@ DIALECTS = {
     "anthropic": {"path": "/v1/messages", "auth": ("x-api-key", "{}"), "headers": {"anthropic-version": "2023-06-01"}, "body": {"max_tokens": 1024}, "at": ("content",), "signs": ("anthropic", "messages", "max_tokens")},
 }
 DETECT_TIMEOUT, EMBED_TIMEOUT, CHAT_TIMEOUT, TEMPERATURE = 10, 30, 300, 0.2
+EMBED_BATCH = 16
 TOO_LONG = (("too large",), ("too long",), ("maximum context",), ("batch size",), ("token", "limit"))
 
 
@@ -81,13 +82,7 @@ class ChatModel:
 
     def detected(self) -> ChatModel:
         """The same with its dialect found by a short question, where it is auto."""
-        if self.dialect in DIALECTS:
-            return self
-        for name, d in DIALECTS.items():
-            r = self._ask(name, "ping", DETECT_TIMEOUT, max_tokens=8)
-            if d["at"][0] in r.data or r.status not in (404, 405) and any(s in r.text.lower() for s in d["signs"]):
-                return ChatModel(self.base_url, self.model, self.api_key, name, self.max_tokens)
-        raise RuntimeError(f"{self.base_url} speaks neither dialect: {', '.join(DIALECTS)}")
+        return self if self.dialect in DIALECTS else _detected(self)
 
     def __call__(self, prompt: str) -> str:
         me = self.detected()
@@ -99,6 +94,16 @@ class ChatModel:
         return text
 
 
+@lru_cache(maxsize=64)
+def _detected(model: ChatModel) -> ChatModel:
+    """Asked once in a process: a failure is not kept."""
+    for name, d in DIALECTS.items():
+        r = model._ask(name, "ping", DETECT_TIMEOUT, max_tokens=8)
+        if d["at"][0] in r.data or r.status not in (404, 405) and any(s in r.text.lower() for s in d["signs"]):
+            return replace(model, dialect=name)
+    raise RuntimeError(f"{model.base_url} speaks neither dialect: {', '.join(DIALECTS)}")
+
+
 def pieces_of(text: str, chars: int = 900, overlap: int = 120) -> list[str]:
     """Overlapping pieces of a trimmed text; the last ends with it."""
     t = text.strip()
@@ -118,9 +123,12 @@ class EmbeddingModel:
     model: str
     api_key: str | None = None
 
-    def one(self, text: str) -> list[float]:
+    def _post(self, texts: str | list[str]) -> Reply:
         headers = {"Authorization": f"Bearer {self.api_key}"} if self.api_key else {}
-        r = post(self.base_url.rstrip("/") + "/v1/embeddings", {"model": self.model, "input": text}, headers, EMBED_TIMEOUT)
+        return post(self.base_url.rstrip("/") + "/v1/embeddings", {"model": self.model, "input": texts}, headers, EMBED_TIMEOUT)
+
+    def one(self, text: str) -> list[float]:
+        r = self._post(text)
         found = r.data.get("data")
         if r.status < 400 and found:
             return [float(x) for x in found[0]["embedding"]]
@@ -130,4 +138,15 @@ class EmbeddingModel:
         raise RuntimeError(f"status {r.status} without a vector: {r.text[:200]}")
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
-        return [self.one(t) for t in texts]
+        """Vectors of texts, EMBED_BATCH of them in a request; where a service doesn't take several at once, or one is too long, each is asked for alone."""
+        out: list[list[float]] = []
+        for at in range(0, len(texts), EMBED_BATCH):
+            some = texts[at : at + EMBED_BATCH]
+            r = self._post(some) if len(some) > 1 else None
+            found = r.data.get("data") if r is not None and r.status < 400 else None
+            if isinstance(found, list) and len(found) == len(some):
+                ordered = sorted(found, key=lambda x: x.get("index", 0)) if all("index" in x for x in found) else found
+                out += [[float(v) for v in x["embedding"]] for x in ordered]
+            else:
+                out += map(self.one, some)
+        return out

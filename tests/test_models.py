@@ -21,8 +21,8 @@ class Server(BaseHTTPRequestHandler):
         if self.path == "/v1/messages" and self.speaks == "anthropic":
             status, out = 200, {"content": [{"text": "key " + self.headers.get("x-api-key", "none")}]}
         if self.path == "/v1/embeddings":
-            n = len(body["input"])
-            status, out = (413, {"error": {"message": "input too large"}}) if n > 900 else (200, {"data": [{"embedding": [n, 1]}]})
+            texts = [body["input"]] if isinstance(body["input"], str) else body["input"]
+            status, out = (413, {"error": {"message": "input too large"}}) if max(map(len, texts)) > 900 else (200, {"data": [{"embedding": [len(t), 1], "index": n} for n, t in enumerate(texts)][::-1]})
         data = json.dumps(out).encode()
         self.send_response(status)
         self.send_header("Content-Length", str(len(data)))
@@ -48,14 +48,17 @@ def test_dialects(url):
     Server.speaks = "anthropic"
     assert M.ChatModel(url, "m", "k")("x") == "key k"
     Server.speaks = "neither"
-    with pytest.raises(RuntimeError):
-        M.ChatModel(url, "m").detected()
+    assert M.ChatModel(url, "m").detected().dialect == "openai"  # asked once
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            M.ChatModel(url, "other").detected()
     with pytest.raises(RuntimeError):
         M.ChatModel("http://127.0.0.1:9", "m", dialect="openai")("x")
 
 
 def test_embeddings(url):
     assert M.EmbeddingModel(url, "e")(["abc", "y" * 1000]) == [[3.0, 1.0], [(900 + 220) / 2, 1.0]]
+    assert M.EmbeddingModel(url, "e")(["x" * n for n in range(1, 40)]) == [[float(n), 1.0] for n in range(1, 40)]
     assert M.mean_of([[1, 3], [3, 5]]) == [2, 4]
     assert M.Reply(413, "TOKEN limit").too_long and not M.Reply(200, "too large").too_long and not M.Reply(400, "token").too_long
     assert M.pieces_of(" ") == [] and [len(p) for p in M.pieces_of("x" * 1681)] == [900, 900, 121]
