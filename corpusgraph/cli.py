@@ -104,7 +104,8 @@ def index(spark: SparkSession, path: str, store: str, name: str | None = None, l
     spans = current("chunks").groupBy("file_path", "line_start", "line_end").agg(F.min("chunk_id").alias("chunk_id"))  # a node's chunk has its lines
     nodes = nodes.drop("project_id", "chunk_id").join(spans, ["file_path", "line_start", "line_end"], "left").withColumn("chunk_id", F.when(F.col("entity_type") == "file", "").otherwise(F.coalesce("chunk_id", F.lit(""))))
     where.append("nodes", nodes, project, version)
-    where.append("edges", edges, project, version)
+    order = F.concat_ws("#", F.when(F.col("relation_type") == "CONTAINS", "1").otherwise("0"), "relation_type")  # of several relations between two nodes containment is the last written
+    where.append("edges", graph.upsert_edges(edges.withColumn("seq", order)), project, version)
     where.append("summaries", embedded(enrich.project_summaries(current("chunks"), complete)).drop("project_id"), project, version)
     if rules is not None:
         run.private_files = current("hashes").where(is_private("file_path", rules)).count()
@@ -180,12 +181,12 @@ def run_query(spark: SparkSession, store: str, text: str, k: int = 5, complete=N
 
 
 def stored_graph(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of all projects; of several relations between two nodes containment is the last written."""
+    """Nodes and edges of all projects."""
     where = Store(spark, store)
     nodes, edges = where.live("nodes"), where.live("edges")
     if nodes is None:
         raise SystemExit(f"nothing is indexed in {store}")
-    return nodes, graph.upsert_edges(edges.withColumn("seq", F.concat_ws("#", F.when(F.col("relation_type") == "CONTAINS", "1").otherwise("0"), "relation_type")))
+    return nodes, edges
 
 
 def graph_command(spark: SparkSession, store: str, what: str, entity: str | None = None, depth: int = 3, to: str | None = None, form: str = "dot") -> DataFrame | str:

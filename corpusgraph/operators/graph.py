@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.sources.scratch import cut
 
-LEVELS = 3  # steps of a traversal in one plan; deeper ones are cut there
+LEVELS = 3  # steps of growing paths in one plan; longer ones are cut there
 FORWARD = ("CALLS", "REFERENCES", "INHERITS_FROM")
 
 
@@ -69,43 +69,41 @@ def neighbors(edges: DataFrame, start: str, direction: str = "both", types: list
 
 
 def _steps(edges: DataFrame, types: list[str] | tuple[str, ...] | None, direction: str) -> DataFrame:
+    """(a, b) for each step; both directions come from one pass over the edges."""
     e = of_types(edges, types)
-    ahead, back = e.select(F.col("src").alias("a"), F.col("dst").alias("b")), e.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    return {"out": ahead, "in": back, "both": ahead.unionByName(back)}[direction]
+    one = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    if direction == "both":
+        return e.select(F.explode(F.array(one("src", "dst"), one("dst", "src"))).alias("s")).select("s.*")
+    return e.select(F.col("src").alias("a"), F.col("dst").alias("b")) if direction == "out" else e.select(F.col("dst").alias("a"), F.col("src").alias("b"))
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int = 3, types: list[str] | tuple[str, ...] | None = None, direction: str = "out", keep_seeds: bool = False) -> DataFrame:
     """(id, depth) of what is within ``depth`` steps of the seeds (a table of ids), by least depth; seeds only with keep_seeds, where a cycle leads back to them.
 
-    Every level joins the last frontier with the edges. LEVELS of them are one plan, in which the edges are dealt out once and each frontier's exchange serves the next level
-    and the result; deeper traversals are cut into written tables there, drop what was reached before, and end with an empty frontier.
+    Every level joins the last frontier with the edges and drops what was reached before. A frontier is written, so its size is known when the next level is planned: a small one is
+    broadcast by Spark's own measure and the edges are only scanned, a large one meets them in a shuffle. Edges are never copied, and an empty frontier ends the loop. Edges that cost
+    much to make should be stored first.
     """
     steps = _steps(edges, types, direction)
     seeds = seeds.select("id").distinct()
-    found = None
     frontier = seeds
-    for first in range(1, depth + 1, LEVELS):
-        last = min(depth, first + LEVELS - 1)
-        steps = cut(steps, "steps") if first == 1 and last < depth else steps
-        levels = []
-        for n in range(first, last + 1):
-            frontier = frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
-            levels.append(frontier.withColumn("depth", F.lit(n)))
-        new = reduce(DataFrame.unionByName, levels).groupBy("id").agg(F.min("depth").alias("depth"))
-        new = new if keep_seeds else new.join(seeds, "id", "left_anti")
-        new = new if found is None else new.join(found.select("id"), "id", "left_anti")
-        if last == depth:
-            return new if found is None else found.unionByName(new)
-        new = cut(new, "reached")
-        found = new if found is None else found.unionByName(new)
-        frontier = new.where(F.col("depth") == last).select("id")
-        if frontier.isEmpty():
-            return found
-    return seeds.limit(0).withColumn("depth", F.lit(0))
+    reached = None if keep_seeds else seeds
+    levels: list[DataFrame] = []
+    for n in range(1, depth + 1):
+        new = steps.join(frontier, F.col("a") == F.col("id")).select(F.col("b").alias("id")).distinct()
+        if reached is not None:
+            new = new.join(reached, "id", "left_anti")
+        frontier = cut(new, "frontier")
+        levels.append(frontier.withColumn("depth", F.lit(n)))
+        reached = frontier if reached is None else reached.unionByName(frontier)
+        if n < depth and frontier.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, levels)
 
 
 def ids(spark, *values: str) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], "id string")
+    """A table of ids whose size the planner knows."""
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, values)).cast("array<string>")).alias("id"))
 
 
 def simple_paths(edges: DataFrame, src: str, dst: str, max_hops: int = 5, types: list[str] | None = None) -> DataFrame:
@@ -118,11 +116,16 @@ def simple_paths(edges: DataFrame, src: str, dst: str, max_hops: int = 5, types:
     if src == dst:
         return spark.createDataFrame([], "hops int, path array<string>")
     e = of_types(edges, types).select("src", "dst", F.lit("").alias("relation_type"))
-    ahead = reach(e, ids(spark, src), max_hops - 1, keep_seeds=True).select("id").unionByName(ids(spark, src)).distinct()
+    ahead = reach(e, ids(spark, src), max_hops - 1).select("id").unionByName(ids(spark, src)) if max_hops > 1 else ids(spark, src)
     e = cut(e.join(ahead, F.col("src") == F.col("id"), "left_semi").distinct(), "edges")
-    left = reach(e, ids(spark, dst), max_hops - 1, None, "in").withColumnRenamed("depth", "left").unionByName(spark.createDataFrame([(dst, 0)], "id string, left int"))
+    level = ids(spark, dst)
+    levels = [level.withColumn("left", F.lit(0))]
+    for n in range(1, max_hops):  # one plan over what is left of the edges
+        level = e.join(level, F.col("dst") == F.col("id")).select(F.col("src").alias("id")).distinct()
+        levels.append(level.withColumn("left", F.lit(n)))
+    left = reduce(DataFrame.unionByName, levels).groupBy("id").agg(F.min("left").alias("left"))
     e = cut(e.join(left, F.col("dst") == F.col("id")).select("src", "dst", "left"), "edges")
-    paths = spark.createDataFrame([([src],)], "path array<string>")
+    paths = ids(spark, src).select(F.array("id").alias("path"))
     done: list[DataFrame] = []
     for n in range(1, max_hops + 1):
         grown = paths.join(e.where(F.col("left") <= max_hops - n), F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))

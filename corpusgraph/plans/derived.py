@@ -28,13 +28,15 @@ def nodes(spark, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def edges(spark, sf_dir: str) -> DataFrame:
+def edges(spark, sf_dir: str, repeated: bool = False) -> DataFrame:
+    """The derived graph's edges; repeated: with those that lineitem holds more than once, which a traversal doesn't mind, so that each of its levels is only a scan."""
     t = lambda n: table(spark, sf_dir, n)
     e = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("relation_type"))
     line = t("lineitem")
+    some = lambda a, b: line.select(a, b) if repeated else line.select(a, b).distinct()  # noqa: E731  (on the keys, before they become strings)
     parts = [
-        e(line, _id("order", "l_orderkey"), _id("part", "l_partkey"), "CALLS").distinct(),
-        e(line, _id("part", "l_partkey"), _id("supplier", "l_suppkey"), "CALLS").distinct(),
+        e(some("l_orderkey", "l_partkey"), _id("order", "l_orderkey"), _id("part", "l_partkey"), "CALLS"),
+        e(some("l_partkey", "l_suppkey"), _id("part", "l_partkey"), _id("supplier", "l_suppkey"), "CALLS"),
         e(t("orders"), _id("order", "o_orderkey"), _id("customer", "o_custkey"), "REFERENCES"),
         e(t("supplier"), _id("supplier", "s_suppkey"), _id("nation", "s_nationkey"), "INHERITS_FROM"),
         e(t("customer"), _id("customer", "c_custkey"), _id("nation", "c_nationkey"), "INHERITS_FROM"),

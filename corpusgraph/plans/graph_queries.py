@@ -55,24 +55,24 @@ def find_entity(spark, d):
 
 
 def impact_scope(spark, d):
-    return G.reach(edges(spark, d), G.ids(spark, "order:0"), 3, G.FORWARD)
+    return G.reach(edges(spark, d, True), G.ids(spark, "order:0"), 3, G.FORWARD)
 
 
 def find_callers(spark, d):
-    return G.callers(edges(spark, d), G.ids(spark, "supplier:0"), 2)
+    return G.callers(edges(spark, d, True), G.ids(spark, "supplier:0"), 2)
 
 
 def find_callees(spark, d):
-    return G.callees(edges(spark, d), G.ids(spark, "order:5"), 3)
+    return G.callees(edges(spark, d, True), G.ids(spark, "order:5"), 3)
 
 
 def reach_cycle(spark, d):
     """Over the ring of nations: the start comes back after 25 steps."""
-    return G.reach(edges(spark, d), G.ids(spark, "nation:0"), 6, ("INCLUDES", "CONTAINS"), keep_seeds=True)
+    return G.reach(edges(spark, d, True), G.ids(spark, "nation:0"), 6, ("INCLUDES", "CONTAINS"), keep_seeds=True)
 
 
 def simple_paths(spark, d):
-    return G.simple_paths(edges(spark, d), "order:0", "region:0", 5).select("hops", F.array_join("path", ">").alias("path"))
+    return G.simple_paths(edges(spark, d, True), "order:0", "region:0", 5).select("hops", F.array_join("path", ">").alias("path"))
 
 
 def class_hierarchy(spark, d):

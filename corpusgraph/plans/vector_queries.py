@@ -105,7 +105,7 @@ def hybrid_retrieval(spark, sf_dir):
     hits = V.top_k(_hits(spark, sf_dir).select("vec_id", "score"), 5, "vec_id")
     hits = hits.select(F.concat(F.lit("part:"), "vec_id").alias("chunk_id"), F.lit("").alias("name"), F.lit("").alias("file_path"), F.row_number().over(Window.orderBy("score", "vec_id")).alias("rank"))
     nodes = D.nodes(spark, sf_dir).withColumns({"chunk_id": F.when(F.col("entity_type").isin("part", "supplier"), F.col("id")).otherwise(F.lit("")), "file_path": F.lit("-")})
-    return R.hybrid(hits, nodes, D.edges(spark, sf_dir), types=["CALLS"]).select("chunk_id", "origin", F.col("rank").cast("long").alias("rank"))
+    return R.hybrid(hits, nodes, D.edges(spark, sf_dir, True), types=["CALLS"]).select("chunk_id", "origin", F.col("rank").cast("long").alias("rank"))
 
 
 QUERIES = {f.__name__: f for f in (knn_topk, knn_filtered_topk, knn_topk_per_partition, knn_multi_collection, two_stage_retrieval, hits_dedup_keep_best, fallback_union, rerank_topk, rerank_model, vector_mean, pairwise_cosine, hybrid_retrieval)}
