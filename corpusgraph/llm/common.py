@@ -100,6 +100,11 @@ def parts_for(df: DataFrame, column: str, part_bytes: int = 128 << 20) -> int:
     return max(partitions(df.sparkSession), -(-size // part_bytes))
 
 
+def parts_of(rows: DataFrame, row_bytes: int, part_bytes: int = 128 << 20) -> int:
+    """The same for rows of about row_bytes; rows should be a stored table, whose count costs nothing."""
+    return max(partitions(rows.sparkSession), -(-rows.count() * row_bytes // part_bytes))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, kept_out: Column, rows: int) -> DataFrame:
     """(y, text, _cg_id) of at most ``rows`` labels of each class, chosen by the hash of their id; the chosen ids, 2 * rows at most, are broadcast.
 

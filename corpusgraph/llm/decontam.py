@@ -230,7 +230,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """One row per document row: doc_id, text_key, n_words, starts and ends (word spans hit, merged), items (ids as strings, sorted, distinct).
 
     A window is ``window`` consecutive words of an item, or all of a shorter item's words. Null or empty texts have no words. Repeated or null
-    doc_ids: one row each. Items without words or id are never hit; items of one id count once. Other columns aren't read. Empty
+    doc_ids: one row each. Very long texts have segments of their own. Items without words or id are never hit; items of one id count once. Other columns aren't read. Empty
     documents: no rows; empty benchmark: no hits. ``segments``: an index that build_segments made before, used instead of docs.
     """
     segments = build_segments(docs, window) if segments is None else segments

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import batch_of, has_repeats, map_arrow, partitions, slices, stage_table, text_bytes
+from corpusgraph.llm.common import batch_of, has_repeats, map_arrow, parts_of, slices, stage_table, text_bytes
 from corpusgraph.llm.components import connected_components
 
 SEED = 42
@@ -162,9 +162,8 @@ def _shards(max_shard: int | None):
     return run
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    n = partitions(rows.sparkSession)
-    return rows.repartition(n, "mask", "shard").sortWithinPartitions("mask", "shard", "fp")
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(parts, "mask", "shard").sortWithinPartitions("mask", "shard", "fp")
 
 
 def links(distinct_fps: DataFrame, max_shard: int = 4096) -> DataFrame:
@@ -173,9 +172,10 @@ def links(distinct_fps: DataFrame, max_shard: int = 4096) -> DataFrame:
     keyed = distinct_fps.select("fp", F.explode(F.array(*(F.lit(as_long(m)).cast("long") for m in _FIRST))).alias("mask"))
     keyed = keyed.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("shard"), "fp")
     schema = "a long, b long, mask long, shard long"
-    first = stage_table(map_arrow(_dealt(keyed), _shards(max_shard), schema), "shards")
+    parts = parts_of(distinct_fps, 24 * len(_FIRST))
+    first = stage_table(map_arrow(_dealt(keyed, parts), _shards(max_shard), schema), "shards")
     over = first.where("b is null").select("mask", "shard", F.col("a").alias("fp"))
-    second = map_arrow(_dealt(over), _shards(None), schema)
+    second = map_arrow(_dealt(over, parts), _shards(None), schema)
     return first.where("b is not null").select("a", "b").unionByName(second.select("a", "b"))
 
 
@@ -184,7 +184,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataF
 
     component_id is the smallest doc_id reachable over links. Null text: fingerprint zero, linked like any other; equal
     fingerprints are linked. Rows with a null doc_id keep their row and take the class's smallest doc_id (null if there
-    is none). Repeated doc_ids: one output row a row. Other columns of docs, whatever their names, are not read. Empty: no rows.
+    is none). Very long texts are read whole, their shingles in blocks. Repeated doc_ids: one output row a row. Other columns of docs, whatever their names, are not read. Empty: no rows.
     """
     fps = stage_table(fingerprints(docs, words), "fps")
     firsts = stage_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fp")
@@ -459,7 +459,7 @@ def _settled_shards(least: float):
     return run
 
 
-def _settled(docs: DataFrame, signed: DataFrame, nodes: DataFrame, marks: DataFrame, rooted: DataFrame, words: int, least: float) -> DataFrame:
+def _settled(docs: DataFrame, signed: DataFrame, nodes: DataFrame, marks: DataFrame, rooted: DataFrame, words: int, least: float, parts: int) -> DataFrame:
     """(a, b): links between roots, from the sets of the doubtful nodes (node, key) that share a key. Only the texts of these nodes are read in full."""
     marks = marks.distinct().join(rooted.select("node", "root"), "node")
     open_ = marks.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
@@ -474,7 +474,7 @@ def _settled(docs: DataFrame, signed: DataFrame, nodes: DataFrame, marks: DataFr
 
     every = map_arrow(texts, sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
     full = marks.join(nodes.select("node", "first_id", "sketch").join(every, "node"), "node").select("key", "first_id", "node", "root", "sketch", "hashes")
-    return map_arrow(full.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "first_id", "node"), _settled_shards(least), "a long, b long")
+    return map_arrow(full.repartition(parts, "key").sortWithinPartitions("key", "first_id", "node"), _settled_shards(least), "a long, b long")
 
 
 def _blocks(rows: DataFrame, half: int) -> DataFrame:
@@ -512,10 +512,10 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, ho
     candidates among leaders and their members, and decide clear cases and the sets themselves, brought to the shard, every pair between classes within MARGIN of the threshold. A shard above ``hot`` nodes is dealt out by the nodes' hash,
     its parts' leaders meet in a second round under two pairs of min-hashes, and then all its nodes of different classes in blocks. Nulls, repeats and empty texts are as in near_duplicate_classes; all texts without words are one class.
     """
-    n = partitions(docs.sparkSession)
     signed = stage_table(_signatures(docs, words), "signatures")
     nodes = stage_table(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
     schema = "a long, b long, key long, kind int"
+    n = parts_of(nodes, BANDS * (BINS + 64))
 
     def searched(rows: DataFrame) -> DataFrame:
         full = rows.join(nodes.select("node", "first_id", "sketch"), "node").select("key", "salt", "salts", "node", "first_id", "sketch", "root")
@@ -541,7 +541,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, ho
         blocks = stage_table(searched(_blocks(keyed.join(over, "key").join(rooted.select("node", "root"), "node"), max(1, hot // 2))), "blocks")
         rooted = stage_table(_rooted(rooted, blocks.where("kind = 0").select("a", "b")), "roots")
         marks = marks.unionByName(blocks.where("kind = 1").select(F.col("a").alias("node"), "key"))
-    rooted = _rooted(rooted, _settled(docs, signed, nodes, marks, rooted, words, similarity))
+    rooted = _rooted(rooted, _settled(docs, signed, nodes, marks, rooted, words, similarity, n))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("node").alias("k"), "component_id")
     out = signed.select("doc_id", "text_key", "fp", "node").join(named, F.col("node") == F.col("k"))

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import Growing, batch_of, map_arrow, partitions, slices, stage_table
+from corpusgraph.llm.common import Growing, batch_of, map_arrow, parts_of, slices, stage_table
 
 SCALE = 256
 SEEDS = 1024
@@ -178,14 +178,14 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str
     """
     spark = vectors.sparkSession
     rows = stage_table(ready(vectors, id_column, column), "vectors")
-    buckets = stage_table(rows.repartitionByRange(partitions(spark), F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id"), "buckets")
+    widest = rows.agg(F.max(F.octet_length("v"))).first()[0] or 8
+    buckets = stage_table(rows.repartitionByRange(parts_of(rows, widest + 24), F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id"), "buckets")
     seeds = rows.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).collect()
     seed = matrix([r.v for r in seeds])
     seed_uid = np.array([r.uid for r in seeds], np.int64)
     queries = rows.where(F.col("vec_id") % every == 0)
-    count, widest = queries.agg(F.count("*"), F.max(F.octet_length("v"))).first()
-    block = block or max(256, BLOCK_BYTES // max(8, widest or 8))
-    blocks = max(1, -(-count * 5 // (4 * block)))  # hashing deals unevenly: aim at four fifths of a block
+    block = block or max(256, BLOCK_BYTES // max(8, widest))
+    blocks = max(1, -(-queries.count() * 5 // (4 * block)))  # hashing deals unevenly: aim at four fifths of a block
 
     def hits(n: int) -> tuple[DataFrame, Broadcast]:
         part = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("uid"), F.lit(blocks)) == n)).collect()
