@@ -33,6 +33,7 @@ DOUBLED = 4.0  # what it costs to read a doubled letter as one
 
 _GAP_RUN = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}){2,}(?!\S)")
 _SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _JOINED = re.compile(r"\w(?:[.\-_*~]\w){2,}\Z")
 _HEAD, _TAIL = "\"'([{<*#%&-_", ".,;:?!\"')]}>*#%&$-_|"
@@ -193,7 +194,7 @@ def reading(core: str, model: np.ndarray) -> str:
 
 def words_of_token(token: str, model: np.ndarray) -> list[str]:
     """Words of a token: as written, and as restored if it is disguised."""
-    out = re.findall(r"[^\W\d_]+", token)
+    out = _LETTERS.findall(token)
     for core in disguised(token):
         out += reading(core, model).split()
     return out
@@ -250,9 +251,18 @@ class Scorer:
         self.model = model
         self.seen: dict[str, float] = {}
         self.marked = {f[1:] for f, w in model.weights.items() if f[0] == "=" and w > 0}
+        self.heads = {f[1:5] for f in model.weights}  # no other word has a feature
+
+    def of_word(self, word: str) -> float:
+        return self.model.of_word(word) if word[:4] in self.heads else 0.0
 
     def token(self, token: str) -> float:
-        return max(map(self.model.of_word, words_of_token(token, self.model.chars)), default=0.0)
+        plain = token if token.isalpha() else token.rstrip(_BARE_TAIL).lstrip(_BARE_HEAD)
+        if plain.isalpha():  # letters between signs that can't be letters
+            if not _DOUBLE.search(plain):
+                return self.of_word(plain)
+            token = plain
+        return max(map(self.of_word, words_of_token(token, self.model.chars)), default=0.0)
 
     def split_words(self, tokens: list[str]) -> set[str]:
         """Marking words that a gap splits in two, where the lattice of both pieces reads them as one."""
@@ -272,7 +282,7 @@ class Scorer:
         for text, every, tokens in zip(low, lists, sets, strict=True):
             found = [w for w in map(self.seen.__getitem__, tokens) if w > 0]
             more = set(gap_runs(text, self.model.chars)) | self.split_words(every)
-            found += [x for w in more if (x := self.model.of_word(w)) > 0]
+            found += [x for w in more if (x := self.of_word(w)) > 0]
             out.append(inputs(found, len(tokens)))
         return np.array(out).reshape(len(out), TOP + 3)
 
