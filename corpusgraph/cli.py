@@ -313,6 +313,7 @@ def main(argv: list[str] | None = None) -> None:
             search(spark, x.store, x.text, x.k, **asked).select("score", "file_path", "chunk_type", "name", "line_start", "line_end").show(truncate=False)
     elif x.command == "stats":
         chunks_of(spark, x.store).groupBy("collection", "project_name").agg(F.count("*").alias("chunks")).orderBy("collection", "project_name").show(truncate=False)
+        sinks.stored_bytes(spark, x.store).show()
     elif x.what == "watch":
         for counts in watch_folder(spark, x.path, x.store, x.ticks, x.seconds):
             print(", ".join(f"{k} {v}" for k, v in sorted(counts.items())) or "nothing changed")

@@ -32,6 +32,21 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "project_id").parquet(path)
 
 
+def collection(spark: SparkSession, path: str, name: str, schema: str = "collection string, project_id string, chunk_id string, text string, embedding array<float>") -> DataFrame:
+    """A collection of a chunk table, whose folder is all that is read; an empty one of the schema if there is none yet."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path).where(F.col("collection") == name)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """(files, bytes) under a path; contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def collection_stats(chunks: DataFrame) -> DataFrame:
     """(collection, n, bytes): chunks of each collection and the bytes of their texts."""
     return chunks.groupBy("collection").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))

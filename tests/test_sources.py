@@ -12,6 +12,7 @@ from corpusgraph.operators import enrich as N
 from corpusgraph.operators import graph as G
 from corpusgraph.operators import retrieval as R
 from corpusgraph.operators import rules as S
+from corpusgraph.sources import codecs as J
 from corpusgraph.sources import files as X
 from corpusgraph.sources import sinks as K
 from corpusgraph.streaming.watch import Watch
@@ -204,10 +205,23 @@ def test_chunk_tables(spark, tmp_path):
     out = K.upsert_chunks(old, new)
     assert sorted((r.collection, r.chunk_id, r.text) for r in out.collect()) == [("c", "0", "z"), ("c", "1", "new"), ("c", "2", "b"), ("d", "1", "other")]
     K.write_chunks(out, str(tmp_path / "t"))
+    assert K.collection(spark, str(tmp_path / "t"), "d").count() == 1 and K.collection(spark, str(tmp_path / "t"), "no").count() == 0 == K.collection(spark, str(tmp_path / "none"), "c").count()
+    size = K.stored_bytes(spark, str(tmp_path / "t")).first()
+    assert size.files >= 2 and size.bytes > 500
     K.drop_collection(spark, str(tmp_path / "t"), "d")
     assert {r.collection for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {"c"}
 
 
+def test_records(spark):
+    n, e = graph(spark)
+    for rows, schema, keys in ((n, J.ENTITY, ("id",)), (e, J.RELATION, ("src", "dst")), (chunks(spark), J.CHUNK, ("chunk_id",))):
+        back = J.from_records(J.to_records(rows, *keys), schema)
+        have = [c for c in back.columns if c in rows.columns]
+        assert sorted(map(tuple, back.select(have).collect())) == sorted(map(tuple, rows.select(have).collect())) and len(have) >= 3
+    odd = spark.createDataFrame([('{"src": "a", "more": 1}',), ("{",), (None,)], "record string")
+    assert [tuple(r) for r in J.from_records(odd, J.RELATION).collect()] == [("a", None, None, None, None)]
+
+
 def test_graph_cases(spark):
     n, e = graph(spark)
     ids = lambda df: sorted(r.id for r in df.collect())
