@@ -459,12 +459,12 @@ def _settled_shards(least: float):
     return run
 
 
-def _settled(docs: DataFrame, signed: DataFrame, nodes: DataFrame, marks: DataFrame, rooted: DataFrame, words: int, least: float, parts: int) -> DataFrame:
+def _settled(docs: DataFrame, nodes: DataFrame, marks: DataFrame, rooted: DataFrame, words: int, least: float, parts: int) -> DataFrame:
     """(a, b): links between roots, from the sets of the doubtful nodes (node, key) that share a key. Only the texts of these nodes are read in full."""
     marks = marks.distinct().join(rooted.select("node", "root"), "node")
     open_ = marks.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     marks = stage_table(marks.join(open_, "key", "left_semi"), "doubtful")
-    wanted = signed.join(marks.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("k"))
+    wanted = nodes.select("node", "k").join(marks.select("node").distinct(), "node", "left_semi")  # one text of each node
     texts = docs.select(F.xxhash64("text").alias("k"), "text").join(wanted, "k").select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,7 +513,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, ho
     its parts' leaders meet in a second round under two pairs of min-hashes, and then all its nodes of different classes in blocks. Nulls, repeats and empty texts are as in near_duplicate_classes; all texts without words are one class.
     """
     signed = stage_table(_signatures(docs, words), "signatures")
-    nodes = stage_table(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = stage_table(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("k"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
     schema = "a long, b long, key long, kind int"
     n = parts_of(nodes, BANDS * (BINS + 64))
 
@@ -541,7 +541,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, ho
         blocks = stage_table(searched(_blocks(keyed.join(over, "key").join(rooted.select("node", "root"), "node"), max(1, hot // 2))), "blocks")
         rooted = stage_table(_rooted(rooted, blocks.where("kind = 0").select("a", "b")), "roots")
         marks = marks.unionByName(blocks.where("kind = 1").select(F.col("a").alias("node"), "key"))
-    rooted = _rooted(rooted, _settled(docs, signed, nodes, marks, rooted, words, similarity, n))
+    rooted = _rooted(rooted, _settled(docs, nodes, marks, rooted, words, similarity, n))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("node").alias("k"), "component_id")
     out = signed.select("doc_id", "text_key", "fp", "node").join(named, F.col("node") == F.col("k"))
