@@ -161,3 +161,10 @@ def test_cut_keeps_all_columns(spark):
 def test_no_table_stays_in_the_catalog(spark):
     D.deduplicate(spark.createDataFrame(rows_of(1), "doc_id long, text string")).count()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("cg_")]
+
+
+def test_sql(spark):
+    from corpusgraph.llm.op10 import ORACLE_SQL, QUERIES
+    from tests.oracle import compare
+
+    assert compare(spark, QUERIES["op10_suffix_array_dedup"], ORACLE_SQL["op10_suffix_array_dedup"], "/root/testdata/sf0.001") == 200
