@@ -19,7 +19,7 @@ _STAGED: list[list[str]] = []  # folders made within each staging() that is open
 
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
-    """Folders that stage_table and others make inside go when the block ends; what is read after it must be kept, or written elsewhere."""
+    """Folders that stage_table and others make inside go when the block ends; what is read after it must be written elsewhere."""
     _STAGED.append([])
     try:
         yield
@@ -34,9 +34,9 @@ def staged_path(spark: SparkSession, label: str, keep: bool = False) -> str:
     return path
 
 
-def stage_table(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """Writes df as Parquet into the shared folder and rereads it: lineage ends here and a lost executor costs no recomputation."""
-    path = staged_path(df.sparkSession, label, keep)
+def stage_table(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder (or a given one) and rereads it: lineage ends here and a lost executor costs no recomputation."""
+    path = path or staged_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -202,6 +202,7 @@ BANDS = 16  # pairs of min-hashes; texts of similarity 0.8 share none of them on
 BINS = 512  # of a sketch: its similarity has a standard deviation of 0.018 at most
 MARGIN = 0.06  # nearer to the wanted similarity than this, exact sets decide instead of sketches
 HOT = 8_000  # nodes of a shard; larger ones are dealt out, their leaders meet, then parts of different classes meet in pairs
+SETTLED = 512  # doubtful nodes of a shard whose sets one task compares
 PEEK = 64  # bins of a sketch that are looked at first
 _RNG = np.random.default_rng(8)
 _MUL = _RNG.integers(0, 1 << 63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -459,11 +460,15 @@ def _settled_shards(least: float):
     return run
 
 
-def _settled(docs: DataFrame, nodes: DataFrame, marks: DataFrame, rooted: DataFrame, words: int, least: float, parts: int) -> DataFrame:
-    """(a, b): links between roots, from the sets of the doubtful nodes (node, key) that share a key. Only the texts of these nodes are read in full."""
+def _settled(docs: DataFrame, nodes: DataFrame, marks: DataFrame, rooted: DataFrame, words: int, least: float, parts: int, most: int) -> DataFrame:
+    """(a, b): links between roots, from the sets of the doubtful nodes (node, key) that share a key; keys of more than ``most`` nodes are dealt out. Only the texts of these nodes are read in full."""
     marks = marks.distinct().join(rooted.select("node", "root"), "node")
     open_ = marks.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    marks = stage_table(marks.join(open_, "key", "left_semi"), "doubtful")
+    marks = stage_table(marks.join(open_, "key", "left_semi").select("key", "node", "root"), "doubtful")
+    large = marks.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > most).select("key")
+    if large.limit(1).count():  # families at the threshold: their pairs are tried in blocks, as those of large shards are
+        dealt = _blocks(marks.join(large, "key"), max(1, most // 2)).select("key", "node", "root")
+        marks = stage_table(marks.join(large, "key", "left_anti").unionByName(dealt), "doubtful")
     wanted = nodes.select("node", "k").join(marks.select("node").distinct(), "node", "left_semi")  # one text of each node
     texts = docs.select(F.xxhash64("text").alias("k"), "text").join(wanted, "k").select("node", "text")
 
@@ -541,7 +546,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, ho
         blocks = stage_table(searched(_blocks(keyed.join(over, "key").join(rooted.select("node", "root"), "node"), max(1, hot // 2))), "blocks")
         rooted = stage_table(_rooted(rooted, blocks.where("kind = 0").select("a", "b")), "roots")
         marks = marks.unionByName(blocks.where("kind = 1").select(F.col("a").alias("node"), "key"))
-    rooted = _rooted(rooted, _settled(docs, nodes, marks, rooted, words, similarity, n))
+    rooted = _rooted(rooted, _settled(docs, nodes, marks, rooted, words, similarity, n, min(hot, SETTLED)))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("node").alias("k"), "component_id")
     out = signed.select("doc_id", "text_key", "fp", "node").join(named, F.col("node") == F.col("k"))
