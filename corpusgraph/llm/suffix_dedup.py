@@ -57,9 +57,10 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_B), n, 1 << 64))
 
 
-def _hashes(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every start of ``width`` bytes: the least hash of the GRAM-byte strings in it, and its own hash."""
-    powers = {1: _T[x]}
+def _strings(x: np.ndarray, width: int, powers: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """The hash of the ``width`` bytes at every start; powers gets those of shorter strings."""
+    powers = {} if powers is None else powers
+    powers[1] = _T[x]
     n = 1
     while 2 * n <= width:
         h = powers[n]
@@ -71,7 +72,13 @@ def _hashes(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
             part = powers[bit]
             whole = part if whole is None else whole[: len(x) - width + 1 + (width - have - bit)] * _power(bit) + part[have : have + len(x) - have - bit + 1][: len(x) - have - bit + 1]
             have += bit
-    whole = whole[: len(x) - width + 1]
+    return whole[: len(x) - width + 1]
+
+
+def _hashes(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every start of ``width`` bytes: the least hash of the GRAM-byte strings in it, and its own hash."""
+    powers: dict[int, np.ndarray] = {}
+    whole = _strings(x, width, powers)
     least = _mix(powers[GRAM])
     n, span = 1, width - GRAM + 1
     while 2 * n <= span:
@@ -169,29 +176,43 @@ def suffix_array(x: np.ndarray, start: np.ndarray, rank: np.ndarray, width: int)
     return order, np.minimum(common, width)
 
 
-def earlier_matches(keys: np.ndarray, rank_of: np.ndarray, texts: bytes, offsets: np.ndarray, counts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def _several(hashes: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Ascending places of the hashes that more than one rank has."""
+    order = np.argsort(hashes)
+    h, r = hashes[order], rank[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    shared = np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first)
+    return np.sort(order[np.repeat(shared, np.diff(np.r_[first, len(h)]))])
+
+
+def earlier_matches(keys: np.ndarray, rank_of: np.ndarray, texts: bytes, counts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(content, place) of the suffixes whose longest previous factor has ``width`` bytes.
 
-    Content i is texts[offsets[i] : offsets[i] + counts[i] + width - 1], of the document of rank rank_of[i]; suffixes start at its first
-    counts[i] bytes. Equal suffixes have equal keys, so suffix arrays of whole keys are as good as one of all.
+    Contents of counts[i] + width - 1 bytes stand in texts one after the other, in order of their keys; content i is of the document of rank rank_of[i], and suffixes start
+    at its first counts[i] bytes. Equal suffixes have equal keys, so suffix arrays of whole keys are as good as one of all; and a suffix whose first ``width`` bytes
+    have a hash that no other document has is left out of them, as it has no match.
     """
-    x = np.frombuffer(texts, np.uint8)
-    by_key = np.argsort(keys, kind="stable")
-    edge = np.r_[np.flatnonzero(np.r_[True, keys[by_key][1:] != keys[by_key][:-1]]), len(by_key)] if len(by_key) else np.zeros(1, np.int64)
-    total = np.r_[0, np.cumsum(counts[by_key])]
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)]
+    total, ends = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(counts + width - 1)]
     found = []
     k = 0
     while k < len(edge) - 1:
         m = max(k + 1, int(np.searchsorted(total[edge], total[edge[k]] + _SORTED, side="right")) - 1)
-        some = by_key[edge[k] : edge[m]]
+        a, e = edge[k], edge[m]
         k = m
-        c = counts[some]
-        item = np.repeat(some, c)
+        x = np.frombuffer(texts[ends[a] : ends[e]], np.uint8)
+        c = counts[a:e]
+        item = np.repeat(np.arange(a, e), c)
         place = np.arange(len(item)) - np.repeat(np.cumsum(c) - c, c)
-        rank = rank_of[item]
-        order, common = suffix_array(x, offsets[item] + place, rank, width)
-        hit = np.sort(order[longest_previous(order, common, rank) >= width])
-        found.append((item[hit], place[hit]))
+        start = ends[item] - ends[a] + place
+        some = _several(_strings(x, width)[start], rank_of[item])
+        if len(some):
+            item, place, rank = item[some], place[some], rank_of[item[some]]
+            order, common = suffix_array(x, start[some], rank, width)
+            hit = np.sort(order[longest_previous(order, common, rank) >= width])
+            found.append((item[hit], place[hit]))
     return tuple(np.concatenate([f[n] for f in found]) if found else np.zeros(0, np.int64) for n in range(2))
 
 
@@ -473,19 +494,21 @@ def _fetch(shards: int, width: int) -> Callable:
 def _copies(key: np.ndarray, doc: np.ndarray, texts: bytes, offsets: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which runs have all their bytes as a run of a smaller document, and which have a key with runs of other bytes."""
     by = np.lexsort((doc, key))
-    keys, docs, starts, ends = key[by].tolist(), doc[by].tolist(), offsets[by].tolist(), (offsets[by] + lengths[by]).tolist()
+    docs, starts, ends = doc[by].tolist(), offsets[by].tolist(), (offsets[by] + lengths[by]).tolist()
     copy, differ = np.zeros(len(key), bool), np.zeros(len(key), bool)
-    at = 0
-    while at < len(keys):
-        k, to = keys[at], at + 1
-        while to < len(keys) and keys[to] == k:
-            to += 1
-        if to > at + 1:
-            first: dict[bytes, int] = {}
-            later = [i for i in range(at, to) if first.setdefault(texts[starts[i] : ends[i]], docs[i]) < docs[i]]
-            copy[by[later]] = True
-            differ[by[at:to]] = len(first) > 1
-        at = to
+    groups = [(a, e) for a, e in _by(key[by]) if e > a + 1]
+    open_: list[tuple[int, int]] = []
+    later: list[int] = []
+    for at, to in groups:
+        first: dict[bytes, int] = {}
+        for i in range(at, to):
+            if first.setdefault(texts[starts[i] : ends[i]], docs[i]) < docs[i]:
+                later.append(i)
+        if len(first) > 1:
+            open_.append((at, to))
+    copy[by[later]] = True
+    for at, to in open_:
+        differ[by[at:to]] = True
     return copy, differ
 
 
@@ -506,7 +529,9 @@ def _match(width: int) -> Callable:
             offsets = np.cumsum(lengths) - lengths
             copy, differ = _copies(key, doc, texts, offsets, lengths)
             some = np.flatnonzero(differ & ~copy)
-            item, place = earlier_matches(key[some], doc[some], texts, offsets[some], counts[some], width)
+            some = some[np.argsort(key[some], kind="stable")]
+            mine = b"".join([texts[a:e] for a, e in zip(offsets[some].tolist(), (offsets[some] + lengths[some]).tolist(), strict=True)])
+            item, place = earlier_matches(key[some], doc[some], mine, counts[some], width)
             item = some[item]
             at = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1)]) if len(item) else item
             count = np.diff(np.r_[at, len(item)])
