@@ -40,7 +40,7 @@ _PIECE = 50  # starts of a run at most
 _STARTS = 1 << 18  # starts hashed at once
 _FLUSH = 1 << 21  # runs that a task holds before it sends
 _FETCHED = 1 << 24  # bytes of runs that a task holds before it sends
-_SORTED = 1 << 19  # suffixes in one suffix array, or as many as one key has
+_SORTED = 1 << 17  # suffixes in one suffix array, or as many as one key has
 _LEN_BITS = 8
 _T = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.uint64(0x9E3779B97F4A7C15)
