@@ -38,7 +38,7 @@ HOT = 32  # different contents of one key in a task from which its runs are spli
 PAGE_BYTES = 1 << 20  # of text in a page; a longer text has a page of its own
 _PIECE = 50  # starts of a run at most
 _STARTS = 1 << 18  # starts hashed at once
-_FLUSH = 1 << 21  # runs that a task holds before it sends
+_FLUSH = 1 << 18  # runs that a task holds before it sends; about 150 bytes of memory each then
 _FETCHED = 1 << 24  # bytes of runs that a task holds before it sends
 _SORTED = 1 << 17  # suffixes in one suffix array, or as many as one key has
 _LEN_BITS = 8
@@ -308,7 +308,7 @@ def _by(values: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
 
 
-def _same_bytes(x: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, at_once: int = 1 << 21) -> np.ndarray:
+def _same_bytes(x: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, at_once: int = 1 << 18) -> np.ndarray:
     """Whether x holds the same ``size`` bytes at places a and b."""
     out = np.ones(len(a), bool)
     ends = np.cumsum(size)
@@ -332,17 +332,19 @@ def _places(page: np.ndarray, spot: np.ndarray, kind: int, shards: int) -> Itera
 
 
 def _find_runs(shards: int, width: int) -> Callable:
-    def flush(parts: list[tuple[np.ndarray, ...]], pages: list[int], ids: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        number, start, count, key, content = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def flush(parts: list[list[np.ndarray]], pages: list[int], ids: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        number, start, count, key, content = (np.concatenate([p.pop(0) for p in parts]) for _ in range(5))  # a column's parts go as it is joined
         page, doc, offset = np.array(pages)[number, 0], np.array(ids, np.int64)[number], np.array(pages)[number, 1] + start
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         at = (np.cumsum(sizes) - sizes)[number] + start
         spot = _spot(offset, count)
+        del number, start, offset
         order = np.lexsort((doc, key ^ (content * _B)))
         both = (key ^ (content * _B))[order]
         first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
         least = np.empty(len(order), np.int64)  # the copy in the smallest document
         least[order] = np.repeat(order[first], np.diff(np.r_[first, len(order)]))
+        del order, both, first
         later = np.flatnonzero((doc > doc[least]) & (count == count[least]))
         if len(later):
             later = later[_same_bytes(np.frombuffer(b"".join(texts), np.uint8), at[later], at[least[later]], count[later] + width - 1)]
@@ -350,6 +352,7 @@ def _find_runs(shards: int, width: int) -> Callable:
             stay = np.ones(len(key), bool)
             stay[later] = False
             page, doc, spot, key, content = page[stay], doc[stay], spot[stay], key[stay], content[stay]
+        del at, count, least, later
         order = np.lexsort((content, key))
         page, doc, spot, key, content = page[order], doc[order], spot[order], key[order], content[order]
         group = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -382,7 +385,7 @@ def _find_runs(shards: int, width: int) -> Callable:
                         pages.append((number, base))
                         texts.append(t)
                 for x in runs(rows, width):
-                    parts.append(x)
+                    parts.append(list(x))
                     n += len(x[0])
                 if n >= _FLUSH:
                     yield from flush(parts, pages, ids, texts)

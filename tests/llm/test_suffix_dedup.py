@@ -168,3 +168,27 @@ def test_sql(spark):
     from tests.oracle import compare
 
     assert compare(spark, QUERIES["op10_suffix_array_dedup"], ORACLE_SQL["op10_suffix_array_dedup"], "/root/testdata/sf0.001") == 200
+
+
+def test_memory_of_a_task_that_finds_runs():
+    """A task of 8 MB of text, half of it copies, holds less than 60 MB more at once, so that two beside a full heap fit an executor."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    texts = [bytes(r.integers(97, 123, 4000, dtype=np.uint8)).decode() for _ in range(1000)] * 2
+    pages = []
+    for at in range(0, 2000, 250):
+        rows = pa.record_batch({"doc_id": pa.array(range(at, at + 250), pa.int64()), "text": texts[at : at + 250]})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_batch(rows)
+        pages.append(sink.getvalue().to_pybytes())
+    batch = pa.record_batch({"page": pa.array(range(8), pa.int64()), "blob": pages})
+    tracemalloc.start()
+    try:
+        sent = sum(b.num_rows for b in D._find_runs(40, 50)(iter([batch])))
+        assert sent and tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
