@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
-
 from pyspark.sql import functions as F
 
 from corpusgraph.operators import evaluation as E
@@ -121,11 +118,13 @@ def export_gexf(spark, d):
 
 def export_html(spark, d):
     """What the page of one project holds: its data and its lists of types, read back from the page."""
-    page = sinks.html_page(*_graph(spark, d), project="places")
-    data = json.loads(page.split("const graph=", 1)[1].split(", colors=", 1)[0])
-    rows = [("node", x["entity_type"], x["id"]) for x in data["nodes"]] + [("edge", x["relation_type"], f"{x['source']} {x['target']}") for x in data["edges"]]
-    rows += [("option", x, "") for x in re.findall("<option>(.*?)</option>", page)]
-    return spark.createDataFrame(rows, "kind string, type string, id string")
+    page = sinks.html_lines(*_graph(spark, d), project="places")
+    node, edge = "id string, entity_type string", "source string, target string, relation_type string"
+    part = lambda n, schema: page.where(F.col("part") == n).select(F.from_json(F.ltrim("line", F.lit(",")), schema).alias("x"))
+    nodes_ = part(1, node).select(F.lit("node").alias("kind"), F.col("x.entity_type").alias("type"), F.col("x.id").alias("id"))
+    edges_ = part(3, edge).select(F.lit("edge").alias("kind"), F.col("x.relation_type").alias("type"), F.concat("x.source", F.lit(" "), "x.target").alias("id"))
+    options = page.where("part = 0").select(F.lit("option").alias("kind"), F.explode(F.regexp_extract_all("line", F.lit("<option>(.*?)</option>"))).alias("type"), F.lit("").alias("id"))
+    return nodes_.unionByName(edges_).unionByName(options)
 
 
 def export_types(spark, d):

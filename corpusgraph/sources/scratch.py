@@ -41,6 +41,19 @@ def put(spark: SparkSession, path: str, data: bytes) -> str:
     return fs.makeQualified(target).toString()
 
 
+def join_files(spark: SparkSession, folder: str, path: str) -> None:
+    """The files of a folder (hidden ones left out) as one file, in order of their names, through Spark's own file system."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    fs = source.getFileSystem(conf)
+    out = fs.create(target)
+    for part in sorted((f.getPath() for f in fs.listStatus(source) if f.getPath().getName()[0] not in "._"), key=lambda x: x.getName()):
+        into = fs.open(part)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(into, out, 1 << 20, False)
+        into.close()
+    out.close()
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes files and folders through Spark's own file system; what isn't there is no error."""
     for path in paths:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.operators.graph import subgraph
 from corpusgraph.operators.vector import keep_first
-from corpusgraph.sources.scratch import remove
+from corpusgraph.sources.scratch import cut, join_files, remove
 
 #: Colours of node kinds, head of a DOT file
 COLORS = {
@@ -101,21 +101,33 @@ def export_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e)
 
 
+#: First and last line of a node-link document that has one element a line; files.graph_json reads these in parallel
+DOCUMENT_HEAD, DOCUMENT_TAIL = '{"directed": true, "multigraph": false, "graph": {"layout": "lines"}, "nodes": [', "]}"
+
+
 def graph_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(part, id, line) of one node-link JSON document, {"nodes": [...], "edges": [...]}, that files.graph_json reads. Equal relations between two nodes show once."""
+    """(part, id, line) of one node-link JSON document, {"nodes": [...], "edges": [...]}, that files.graph_json reads. Equal relations between two nodes show once.
+
+    Each element has a line of its own, and an edge's object stands after a blank: so a line tells what it is wherever a reader's task begins.
+    """
     spark = nodes.sparkSession
-    rows = export_json(nodes, edges.dropDuplicates(["src", "dst", "relation_type"])).withColumn("id", F.when(F.col("part") == "edges", F.concat("id", F.lit("\x00"), F.get_json_object("line", "$.relation_type"))).otherwise(F.col("id")))
-    fixed = spark.createDataFrame([(0, "", '{"directed": true, "multigraph": false, "graph": {}, "nodes": ['), (2, "", '], "edges": ['), (4, "", "]}")], "part int, id string, line string")
-    for kind, part in (("nodes", 1), ("edges", 3)):
+    key = F.when(F.col("part") == "edges", F.concat("id", F.lit("\x00"), F.get_json_object("line", "$.relation_type"))).otherwise(F.col("id"))
+    rows = export_json(nodes, edges.dropDuplicates(["src", "dst", "relation_type"])).withColumn("id", key)
+    least = (nodes.agg(F.min("id")).scalar(), edges.agg(F.min(F.concat("src", F.lit("\x00"), "dst", F.lit("\x00"), "relation_type"))).scalar())
+    fixed = spark.createDataFrame([(0, "", DOCUMENT_HEAD), (2, "", '], "edges": ['), (4, "", DOCUMENT_TAIL)], "part int, id string, line string")
+    for (kind, part, blank), first in zip((("nodes", 1, ""), ("edges", 3, " ")), least, strict=True):
         mine = rows.where(F.col("part") == kind)
-        first = mine.agg(F.min("id")).scalar()
-        fixed = fixed.unionByName(mine.select(F.lit(part).alias("part"), "id", F.concat(F.when(F.col("id") == first, "").otherwise(","), "line").alias("line")))
+        fixed = fixed.unionByName(mine.select(F.lit(part).alias("part"), "id", F.concat(F.when(F.col("id") == first, blank).otherwise("," + blank), "line").alias("line")))
     return fixed
 
 
 def write_document(lines: DataFrame, path: str) -> None:
-    """One text file, as a reader of the whole document needs it; the order of parts and ids is the lines' order."""
-    lines.orderBy("part", "id", "line").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """One text file, as a reader of the whole document needs it; the order of parts and ids is the lines' order. Parts are sorted and written in parallel, then joined byte by byte."""
+    spark = lines.sparkSession
+    remove(spark, path)
+    lines.orderBy("part", "id", "line").select("line").write.text(f"{path}/_parts")
+    join_files(spark, f"{path}/_parts", f"{path}/part-00000.txt")
+    remove(spark, f"{path}/_parts")
 
 
 def _xml(x: Column | str) -> Column:
@@ -170,13 +182,35 @@ def type_lists(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     return tuple(df.select(c).where(F.col(c) != "").distinct().orderBy(c) for df, c in ((nodes, "entity_type"), (edges, "relation_type")))
 
 
+def _listed(kinds) -> str:
+    return "".join(f"<option>{t}</option>" for t in sorted(set(filter(None, kinds))))
+
+
+def html_lines(nodes: DataFrame, edges: DataFrame, project: str | None = None, types: list[str] | None = None) -> DataFrame:
+    """(part, id, line) of the page of a graph of any size: nodes and edges stay in tasks, only counts by type come to the driver. write_document makes it one file."""
+    n, e = subgraph(nodes, edges, project, types)
+    kept, counts = [], []
+    shown = ((n, "entity_type", ("id",), F.struct("id", "name", "entity_type")), (e, "relation_type", ("src", "dst", "relation_type"), F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "relation_type")))
+    for df, kind, keys, item in shown:
+        key = F.concat(*(F.concat(F.lit("\x00"), F.coalesce(c, F.lit(""))) for c in keys))
+        line = F.replace(F.to_json(item, {"ignoreNullFields": "false"}), F.lit("</"), F.lit("<\\/"))
+        kept.append(cut(df.select(key.alias("id"), line.alias("line"), F.col(kind).alias("kind"), F.monotonically_increasing_id().alias("nth")), "page"))
+        counts.append({r[0]: r[1] for r in kept[-1].groupBy("kind").count().collect()})
+    n_by, e_by = counts
+    head, tail = _PAGE.format(project=project or "all", n_nodes=sum(n_by.values()), n_edges=sum(e_by.values()), options=_listed(n_by), relations=_listed(e_by), colors=json.dumps(COLORS), data="\x00").split("\x00")
+    fixed = n.sparkSession.createDataFrame([(0, "", head + '{"nodes": ['), (2, "", '], "edges": ['), (4, "", "]}" + tail)], "part int, id string, line string")
+    for part, rows in zip((1, 3), kept, strict=True):
+        first = F.col("nth") == rows.agg(F.min(F.struct("id", "nth"))["nth"]).scalar()  # it has no comma, and stands before all others
+        fixed = fixed.unionByName(rows.select(F.lit(part).alias("part"), F.when(first, "").otherwise(F.col("id")).alias("id"), F.concat(F.when(first, "").otherwise(","), "line").alias("line")))
+    return fixed
+
+
 def html_page(nodes: DataFrame, edges: DataFrame, project: str | None = None, types: list[str] | None = None, most: int = 50_000) -> str:
-    """One page with the graph in it. A page is read by a person: more than ``most`` nodes or edges are refused, never cut."""
+    """One page with the graph in it, as a string of the driver: more than ``most`` nodes or edges are refused, never cut; html_lines has no such limit."""
     n, e = subgraph(nodes, edges, project, types)
     n_rows, e_rows = n.select("id", "name", "entity_type").limit(most + 1).collect(), e.select("src", "dst", "relation_type").limit(most + 1).collect()
     if len(n_rows) > most or len(e_rows) > most:
-        raise ValueError(f"more than {most} nodes or edges: filter by project or relation type, or export DOT, GEXF or JSON")
+        raise ValueError(f"more than {most} nodes or edges: filter by project or relation type, or write html_lines")
     data = {"nodes": [r.asDict() for r in sorted(n_rows)], "edges": [{"source": r.src, "target": r.dst, "relation_type": r.relation_type} for r in sorted(e_rows)]}
-    listed = lambda kinds: "".join(f"<option>{t}</option>" for t in sorted(set(filter(None, kinds))))
-    options, relations = listed(r.entity_type for r in n_rows), listed(r.relation_type for r in e_rows)
+    options, relations = _listed(r.entity_type for r in n_rows), _listed(r.relation_type for r in e_rows)
     return _PAGE.format(project=project or "all", n_nodes=len(n_rows), n_edges=len(e_rows), options=options, relations=relations, colors=json.dumps(COLORS), data=json.dumps(data, ensure_ascii=False, default=str).replace("</", "<\\/"))

@@ -247,3 +247,27 @@ def test_ids(spark):
 
     r = spark.range(1).select(T.chunk_id(F.lit("a/b.rs"), F.lit("rust"), F.lit("f"), F.lit("x::y/z")).alias("c"), T.project_id(F.lit("/p")).alias("p"), T.declaration(F.lit("  class X\n : Y { z }"), F.lit("cpp"), F.lit("class"), F.lit("X")).alias("d")).first()
     assert r.c == f"rus:{hashlib.sha256(b'a/b.rs').hexdigest()[:8]}:f:x__y_z:0" and r.p == hashlib.sha256(b"/p").hexdigest()[:12] and r.d == "class X : Y;"
+
+
+def test_page_of_any_size(spark, tmp_path):
+    """The lines of a page are one page, whatever a string of the driver may hold; equal and null ids too."""
+    n = spark.createDataFrame([("b", "x</script>", "class", "p"), ("a", None, "file", "p"), ("a", None, "file", "p"), ("q", "q", "file", "q")], "id string, name string, entity_type string, project_id string")
+    e = spark.createDataFrame([("a", "b", "CALLS"), ("a", "b", "CALLS"), ("b", "a", "USES"), ("a", "q", "CALLS")], "src string, dst string, relation_type string")
+    K.write_document(K.html_lines(n, e, "p"), str(tmp_path / "page"))
+    (part,) = (p for p in (tmp_path / "page").iterdir() if p.name.startswith("part"))
+    page = part.read_text()
+    data = json.loads(page.split("const graph=", 1)[1].split(", colors=", 1)[0])
+    assert [x["id"] for x in data["nodes"]] == ["a", "a", "b"] and [(x["source"], x["target"], x["relation_type"]) for x in data["edges"]] == [("a", "b", "CALLS"), ("a", "b", "CALLS"), ("b", "a", "USES")]
+    assert "3 nodes, 3 edges" in page and page.count("</script>") == 1 and data["nodes"][2]["name"] == "x</script>"
+    K.write_document(K.html_lines(n.limit(0), e.limit(0)), str(tmp_path / "page"))
+    assert '{"nodes": [\n], "edges": [\n]}' in next(p for p in (tmp_path / "page").iterdir() if p.name.startswith("part")).read_text()
+
+
+def test_page_query_above_the_limit_of_a_string(spark, tmp_path):
+    from corpusgraph.plans import registry
+
+    for t in ("region", "nation", "customer", "part", "orders", "lineitem"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    spark.range(50_001).selectExpr("id as s_suppkey", "concat('s', id) as s_name", "cast(id % 25 as int) as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    out = registry.QUERIES["export_html"](spark, str(tmp_path))
+    assert out.where("type = 'supplier' and kind = 'node'").count() == out.where("type = 'INHERITS_FROM' and kind = 'edge'").count() == 50_001
