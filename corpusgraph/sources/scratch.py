@@ -54,6 +54,21 @@ def join_files(spark: SparkSession, folder: str, path: str) -> None:
     out.close()
 
 
+def ends(spark: SparkSession, path: str, first: int, last: int) -> list[tuple[str, bytes, bytes]]:
+    """(name, first bytes, last bytes) of a file, or of the files of a folder; hidden ones are left out, and none are found where there is nothing."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for f in fs.listStatus(target) if fs.exists(target) else []:
+        if f.isFile() and f.getPath().getName()[0] not in "._":
+            into = fs.open(f.getPath())
+            head = bytes(into.readNBytes(first))
+            into.seek(max(0, f.getLen() - last))
+            found.append((f.getPath().toString(), head, bytes(into.readNBytes(last))))
+            into.close()
+    return found
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes files and folders through Spark's own file system; what isn't there is no error."""
     for path in paths:

@@ -271,3 +271,24 @@ def test_page_query_above_the_limit_of_a_string(spark, tmp_path):
     spark.range(50_001).selectExpr("id as s_suppkey", "concat('s', id) as s_name", "cast(id % 25 as int) as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
     out = registry.QUERIES["export_html"](spark, str(tmp_path))
     assert out.where("type = 'supplier' and kind = 'node'").count() == out.where("type = 'INHERITS_FROM' and kind = 'edge'").count() == 50_001
+
+
+def test_document_is_read_in_parallel(spark, tmp_path):
+    """A document of an element a line is read in as many tasks as its bytes need, in its order; other layouts as before; a cut one is empty."""
+    n = spark.range(3000).selectExpr("concat('n', lpad(id, 5, '0')) as id", "concat('{\"x, ', id, '\n') as name", "'file' as entity_type")
+    e = spark.range(3000).selectExpr("concat('n', id % 7) as src", "concat('n', id % 3000) as dst", "'CALLS' as relation_type", "'k' as id")
+    path = str(tmp_path / "d")
+    K.write_document(K.graph_document(n, e.unionByName(e)), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        nodes, edges = X.graph_json(spark, path)
+        assert nodes.rdd.getNumPartitions() > 4 and edges.count() == 3000
+        assert [(r.id, r.name) for r in nodes.orderBy("seq").collect()] == sorted((r.id, r.name) for r in n.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (part,) = (p for p in (tmp_path / "d").iterdir() if p.name.startswith("part"))
+    whole = json.loads(part.read_text())
+    (tmp_path / "one.json").write_text(json.dumps(whole))
+    (tmp_path / "cut.json").write_text(part.read_text()[:-5000])
+    assert [df.count() for df in X.graph_json(spark, str(tmp_path / "one.json"))] == [3000, 3000] and [df.count() for df in X.graph_json(spark, str(tmp_path / "cut.json"))] == [0, 0]
