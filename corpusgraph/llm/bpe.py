@@ -29,6 +29,7 @@ from corpusgraph.llm.common import batch_of, map_arrow, share_bytes, slices, sta
 #: Fixed value: the published pattern of byte-level pre-tokenizers
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEXICON_WORDS = 1 << 16
+LEXICON_CHARS = 64  # of a piece in the lexicon, at most; longer ones are merged like all that it lacks
 CACHE_WORDS = 800_000
 _LONG = 48  # bytes; longer words merge one by one, through a heap
 
@@ -338,17 +339,15 @@ class Coder:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): how often the pieces between spaces occur over all documents. A batch leaves out the pieces that it saw once."""
+    """(word, n): how often each piece between spaces occurs over all documents; all pieces count, those that a batch saw once too."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096):
             pieces = pc.value_counts(pc.list_flatten(pc.split_pattern(b.column("text"), " ")))
-            word, n = pieces.field("values"), pieces.field("counts")
-            some = pc.and_(pc.greater(n, 1), pc.less_equal(pc.utf8_length(word), 64))
-            yield batch_of(schema, word=word.filter(some), n=n.filter(some))
+            yield batch_of(schema, word=pieces.field("values"), n=pieces.field("counts"))
 
-    return map_arrow(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("text"), run, "word string, n long").where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_bins(often: dict[int, int], size: int) -> tuple[int | None, int | None, int]:
@@ -379,7 +378,8 @@ def frequent_words(counts: DataFrame, size: int) -> list[str]:
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> str:
     """Compiles the most frequent words, ``size`` at most (a few MB at any input), and ships the file to all executors; returns its name."""
     vocabulary = Vocabulary(path)
-    top = frequent_words(stage_table(word_counts(docs), "words"), size)
+    short = word_counts(docs).where(F.length("word") <= LEXICON_CHARS)  # before the shuffle: a text without spaces doesn't travel
+    top = frequent_words(stage_table(short, "words"), size)
     words = [w for w in dict.fromkeys(p for t in top for p in vocabulary.words(" " + t)) if w not in vocabulary.special]
     raw = [w.encode() for w in words]
     name = f"lexicon-{uuid.uuid4().hex}.bin"

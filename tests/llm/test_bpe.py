@@ -99,3 +99,10 @@ def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     got = sorted(tuple(x) for x in op5_bpe_encode_decode(spark, "/root/testdata/sf0.001").collect())
     assert got == sorted(row(r.doc_id, r.text) for r in docs)
+
+
+def test_word_counts_are_whole(spark):
+    """A piece that each batch sees once counts as often as it is there."""
+    df = spark.createDataFrame([(f"once {'x' * 70} twice twice w{i}",) for i in range(6)] + [(None,), ("",)], "text string").repartition(8)
+    got = {r.word: r.n for r in B.word_counts(df).collect()}
+    assert got.pop("") == 1 and got == {"once": 6, "x" * 70: 6, "twice": 12} | {f"w{i}": 1 for i in range(6)}
